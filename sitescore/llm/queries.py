@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_anchors, toxicity_segments
+from . import decontam_prefix, langid_subword, pii_feistel, quality_cascade, simhash_anchors, toxicity_segments
 from .common import table
 
 
@@ -19,5 +19,22 @@ def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_anchors, op2_toxicity_segments)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_langid_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_subword.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.quality(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymised(table(spark, sf_dir, "documents"))
+
+
+def op8_decontam_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam_prefix.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_anchors, op2_toxicity_segments, op4_langid_subword, op5_quality_cascade, op6_pii_feistel, op8_decontam_prefix)}
+ORACLE_SQL: dict[str, str] = {"op5_quality_cascade": quality_cascade.SQL, "op8_decontam_prefix": decontam_prefix.SQL}

@@ -76,3 +76,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def edges_to_minimum(edges: DataFrame, low: DataFrame) -> DataFrame:
     """Each node with its smallest neighbour where that is smaller than itself."""
     return low.where("m < a").select("a", F.col("m").alias("b"))
+
+
+def filesystem(uri: str):
+    """The file system that a URI names, and the path there; a bare path is local."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if uri.startswith("file:"):
+        return LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return FileSystem.from_uri(uri)

@@ -24,14 +24,16 @@ from .common import checkpoint
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that stand in for words never seen in training.
-PREFIXES = range(4, 9)
+PREFIXES = range(3, 9)
 FOLDS = 5
 #: Bound on the labelled rows that the model is fitted on, and on the features that it keeps.
 MAX_TRAIN_ROWS = 60_000
 MAX_FEATURES = 50_000
+#: Weight of the prior, in documents.
 PRIOR = 50.0
-MIN_Z = 2.5
-MIN_LOG_ODDS = 1.5
+#: What a feature must reach to count as toxic.
+MIN_Z = 3.2
+MIN_LOG_ODDS = 3.0
 DRIFT = 0.1
 #: Expected number of chance segments in a text, up to which a segment is significant.
 E_VALUE = 0.5
@@ -115,14 +117,6 @@ def probability(best: float, total: float, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * math.log1p(best) + c * math.log1p(total)))))
 
 
-def log_odds(tox: np.ndarray, clean: np.ndarray, n_tox: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each feature under a Dirichlet prior that follows the corpus, and their z-scores."""
-    alpha = PRIOR * (tox + clean) / max(1, n_tox + n_clean)
-    of = lambda y, n: np.log((y + alpha) / (n + 2 * PRIOR - y - alpha))
-    delta = of(tox, n_tox) - of(clean, n_clean)
-    return delta, delta / np.sqrt(1 / (tox + alpha) + 1 / (clean + alpha))
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """(text, toxic) of the labelled documents outside the held-out fold; by an even hash no more
     than about max_rows of them. Repeated labels count once, toxic if any says so; copies of a text once."""
@@ -160,14 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     sums = words.where("word = ''").first()
     if sums is None or not sums["tox"] or not sums["clean"]:
         return Model()
-    n_tox, n_clean = sums["tox"], sums["clean"]
     whole = words.where("word <> ''").select(F.concat(F.lit("="), "word").alias("feature"), "tox", "clean")
     begins = words.select(F.explode(F.array(*[F.when(F.length("word") > n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in PREFIXES])).alias("feature"), "tox", "clean")
     begins = begins.where("feature is not null").groupBy("feature").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
-    alpha = F.lit(PRIOR / (n_tox + n_clean)) * (F.col("tox") + F.col("clean"))
-    of = lambda y, n: F.log((F.col(y) + alpha) / F.greatest(F.lit(1e-9), F.lit(float(n + 2 * PRIOR)) - F.col(y) - alpha))
+    # A word counts once for each document that has it; the sums over words are the classes' sizes.
+    all_tox, all_clean = words.where("word <> ''").agg(F.sum("tox"), F.sum("clean")).first()
+    weight = PRIOR / (sums["tox"] + sums["clean"])
+    alpha, prior = weight * (F.col("tox") + F.col("clean")), weight * ((all_tox or 0) + (all_clean or 0))
+    of = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(float((n or 0) + prior + 1)) - F.col(y) - alpha))
     z = F.col("delta") / F.sqrt(1 / (F.col("tox") + alpha) + 1 / (F.col("clean") + alpha))
-    rated = whole.union(begins).withColumn("delta", of("tox", n_tox) - of("clean", n_clean)).withColumn("z", z)
+    rated = whole.union(begins).withColumn("delta", of("tox", all_tox) - of("clean", all_clean)).withColumn("z", z)
     best = rated.where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_LOG_ODDS)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
     model = Model(scores={r["feature"]: r["delta"] for r in best.collect()})
     return calibrated(model, rows)

@@ -27,7 +27,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def repeat_words(words: Column) -> Column:
@@ -40,8 +40,18 @@ def repeat_words(words: Column) -> Column:
         start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(starts, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")), lambda a: a["n"])
 
+    def joined(a: Column, b: Column, shift: int) -> Column:
+        """The hashes of a, each with that of b shift places on, where there is one."""
+        return F.zip_with(F.slice(a, F.lit(1), F.size(b) - shift), F.slice(b, F.lit(shift + 1), F.size(b) - shift), lambda x, y: F.xxhash64(x, y))
+
+    def windows(h: Column) -> Column:
+        """Each word's hash with those of the next four: pairs, pairs of pairs, and one more."""
+        pairs = joined(h, h, 1)
+        fours = let(pairs, lambda p: joined(p, p, 2))
+        return let(fours, lambda f: joined(f, h, WINDOW - 1))
+
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
         return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
     return let(words, lambda w: F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(of(w)))
@@ -69,13 +79,17 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
+
+
 #: Rejecting rules by name, each from the measures m and the text t. Empty texts don't reach them.
 RULES: dict[str, Callable[[Column, Column], Column]] = {
     "symbols": lambda m, t: 10 * m["n_symbols"] > m["n_words"],
     "word_length": lambda m, t: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     "duplicate_lines": lambda m, t: 10 * m["n_dup_lines"] > 3 * F.size(lines(t)),
-    "upper_case": lambda m, t: 2 * F.regexp_count(t, F.lit(r"\p{Lu}")) > F.regexp_count(t, F.lit(r"\p{L}")),
-    "few_letters": lambda m, t: 2 * F.regexp_count(t, F.lit(r"\p{L}")) < m["word_chars"],
+    "upper_case": lambda m, t: 2 * F.regexp_count(t, F.lit(r"\p{Lu}")) > letters(t),
+    "few_letters": lambda m, t: 2 * letters(t) < m["word_chars"],
 }
 
 
@@ -88,7 +102,7 @@ def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rules: dict[str, Calla
     rules = RULES if rules is None else rules
     share = min(1.0, sample_rows / max(1, docs.count()))
     sample = docs.select("doc_id", "text").where(F.xxhash64("doc_id", F.lit("sample")).bitwiseAND((1 << 30) - 1) <= int(share * (1 << 30)))
-    sample = checkpoint(measures(sample).select("text", "__m").where(~base_failed(F.col("__m"))))
+    sample = checkpoint(measures(checkpoint(sample)).select("text", "__m").where(~base_failed(F.col("__m"))))
     found = []
     for name in sorted(rules):
         began = time.perf_counter()

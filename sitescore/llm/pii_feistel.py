@@ -140,7 +140,8 @@ def ipv4(value: str, key: bytes, undo: bool) -> str | None:
 
 def day(value: str, key: bytes, undo: bool) -> str | None:
     """A calendar date from 1900 to 2099, year first or last; a date that fits both orders is read
-    day first. Equal dates in different layouts get equal pseudonyms."""
+    day first. Equal dates in different layouts get equal pseudonyms; days up to 12 stay such, so that
+    a pseudonym is read in the order of its date."""
     sep = next(c for c in value if not c.isdigit())
     parts = value.split(sep)
     orders = ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1))
@@ -152,7 +153,11 @@ def day(value: str, key: bytes, undo: bool) -> str | None:
             continue
         if not 0 <= n < DAYS:
             continue
-        new = FIRST_DAY + timedelta(permute_below(n, DAYS, key, "date", undo))
+        while True:
+            n = permute_below(n, DAYS, key, "date", undo)
+            new = FIRST_DAY + timedelta(n)
+            if (new.day > 12) == (d > 12):
+                break
         out = [""] * 3
         for i, x in zip(order, (new.year, new.month, new.day), strict=True):
             out[i] = f"{x:0{4 if i == order[0] else 2}d}"

@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 DIM = 16
 FOLDS, HELD_OUT = 3, 1
 #: Bound on the rows that the model is fitted on.
-MAX_TRAIN_ROWS = 4_000
+MAX_TRAIN_ROWS = 2_500
 EPOCHS = 6
 RATE = 0.5
 #: Share of the accepted calibration rows that may be wrong.
@@ -75,7 +75,7 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             piece = text[lo : lo + BLOCK + longest] if lo + BLOCK < len(text) else text[lo:]
             if lo and len(piece) <= longest:
                 break
-            if lo + BLOCK < len(text):  # a cut piece stands alone, so that no n-gram counts twice
+            if lo or lo + BLOCK < len(text):  # a cut piece stands alone, so that no n-gram counts twice
                 yield from _cut(at, piece)
                 continue
             parts.append(piece)

@@ -85,8 +85,10 @@ def test_non_definite_blocks(spark, sf):
     assert objective.failed_candidates(scores).first()[0] == len(bad)
     picked = [r["sensor_id"] for r in greedy.greedy_select(k, 4, R).collect()]
     assert len(picked) == 4 and not bad & {*picked}
+    single = cut(fixtures.k_blocks(spark, sf, 1, "bad"))  # two values a sensor would make the determinant positive
     for side in (8_000, 0):
-        assert objective.config_logdet(k, configs(spark, [[5, 1], [1, 2]]), R, dense_side=side).orderBy("config_id").first()["logdet"] == -math.inf
+        got = objective.config_logdet(single, configs(spark, [[5, 1], [1, 2]]), R, dense_side=side).orderBy("config_id").collect()
+        assert got[0]["logdet"] == -math.inf and got[1]["logdet"] > 0
 
 
 def test_budgets_and_no_valid_candidate(spark, sf, k4):

@@ -16,6 +16,8 @@ from .state import cut
 
 #: Configurations of more values than this a side are scored block by block instead of in one task.
 DENSE_SIDE = 8_000
+#: Selections of more values than this a side aren't factored on the driver.
+PLAIN_SIDE = 2_000
 
 
 def config_submatrix(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
@@ -130,23 +132,25 @@ def singleton_scores(blocks: DataFrame, r_sq: float, triangle: str = "upper") ->
     return own.select(F.col("block_row").alias("sensor_id"), block_scores(F.col("block")).alias("score"))
 
 
-def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: str = "upper", plain_side: int = PLAIN_SIDE) -> DataFrame:
     """(sensor_id, score): for each sensor not in selected(position, sensor_id) the log-determinant of its
     Schur complement; null where that isn't positive definite.
 
-    The plain form, which solves with the whole factor of the selected ones; a selection of more than
-    DENSE_SIDE values a side goes through greedy.advance() instead. The factor comes to the driver,
-    DENSE_SIDE values a side at most, and is broadcast.
+    The plain form, which solves with the whole factor of the selected ones: it comes to the driver,
+    PLAIN_SIDE values a side at most, and is broadcast. A larger selection is replayed pick by pick on
+    the candidates' states instead.
     """
     spark = blocks.sparkSession
     order = selected.orderBy("position").collect()
     if not order:
         return singleton_scores(blocks, r_sq, triangle)
+    k, nt = len(order), int(blocks.select(F.size("block")).first()[0] ** 0.5)
+    if k * nt > plain_side:
+        from .greedy import resume_state  # which is built on this module
+
+        return resume_state(blocks, selected.select(F.col("position").alias("step"), "sensor_id"), r_sq, triangle).select("sensor_id", "score")
     first = selected.select(F.lit(0).alias("config_id"), "position", "sensor_id")
     sub = config_submatrix(blocks, first, r_sq, triangle).collect()
-    k, nt = len(order), int(len(sub[0]["block"]) ** 0.5)
-    if k * nt > DENSE_SIDE:
-        raise ValueError("the selection is too large for the plain form; use greedy.advance()")
     m = np.zeros((k, nt, k, nt))
     for r in sub:
         m[r["i"], :, r["j"]] = np.reshape(r["block"], (nt, nt))

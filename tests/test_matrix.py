@@ -63,6 +63,7 @@ def test_gains_add_up_and_never_rise(spark, k4, dense):
         for c in (0, 7, 33):
             assert scores[c] == pytest.approx(logdet(dense, [*ids[:n], c]) - (logdet(dense, ids[:n]) if n else 0))
         assert before is None or all(scores[c] <= before[c] + 1e-9 for c in scores)
+        assert scores == pytest.approx({r["sensor_id"]: r["score"] for r in objective.schur_gains(k4, configs(spark, [ids[:n]]), R, plain_side=0).collect()})
         before = scores
 
 

@@ -19,6 +19,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SAMPLE_ROWS = 2_000
+#: So many repeated windows of a text are looked up in a list; more are found by sorting.
+FEW = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,12 +36,22 @@ def repeat_words(words: Column) -> Column:
     """The words inside windows of WINDOW words that are found twice or more in the array."""
 
     def covered(windows: Column) -> Column:
-        placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-        twice = let(placed, lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))))
-        starts = F.sort_array(F.transform(twice, lambda x: x["p"]))
+        again = let(F.sort_array(windows), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+        starts = let(again, lambda r: F.when(F.size(r) <= FEW, found(windows, r)).otherwise(placed(windows)))
         start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(starts, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")), lambda a: a["n"])
 
+    def found(windows: Column, again: Column) -> Column:
+        """The places of windows that are in again, a short list."""
+        return F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda i: F.array_contains(again, F.get(windows, i)))
+
+    def placed(windows: Column) -> Column:
+        """The places of windows that occur twice or more, by sorting them with their places."""
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        same = lambda s, i, x: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+        twice = let(pairs, lambda s: F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x)))
+        return F.sort_array(F.transform(twice, lambda x: x["p"]))
+
     def joined(a: Column, b: Column, shift: int) -> Column:
         """The hashes of a, each with that of b shift places on, where there is one."""
         return F.zip_with(F.slice(a, F.lit(1), F.size(b) - shift), F.slice(b, F.lit(shift + 1), F.size(b) - shift), lambda x, y: F.xxhash64(x, y))

@@ -30,7 +30,9 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len({*lines}), len(inside)
 
 
-def test_quality_against_brute_force(spark, edge):
+@pytest.mark.parametrize("few", [qc.FEW, 0])
+def test_quality_against_brute_force(spark, edge, monkeypatch, few):
+    monkeypatch.setattr(qc, "FEW", few)
     rng = random.Random(3)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["x y\nx y\n\n \nz", "é# ü$ %", "a b c d e " * 3 + "a b c", None]
     docs = edge.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))

@@ -26,8 +26,8 @@ DIM = 16
 FOLDS, HELD_OUT = 3, 1
 #: Bound on the rows that the model is fitted on.
 MAX_TRAIN_ROWS = 2_500
-EPOCHS = 6
-RATE = 0.5
+EPOCHS = 3
+RATE = 1.0
 #: Share of the accepted calibration rows that may be wrong.
 ACCEPTED_ERROR = 0.01
 BLOCK = 1 << 19

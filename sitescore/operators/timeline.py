@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Names and limits of timeline events.
 IO_NAMES = ("gpu_buffer_wait", "hdf5_read")
 MAIN_NAMES = ("wait_for_io", "await_dispatch", "trsm_host")
 GPU_NAME = "compute"

@@ -19,6 +19,7 @@ from ..functions.linalg import listed, stacked
 N_LON = 12
 WINDOW = 48
 R_SQ = 4.0
+#: The timed parts of a candidate, in order.
 SEGMENTS = ("h2d_si", "h2d_ii", "cast_si", "cast_ii", "scale_si", "trsm", "scale_ii_diag", "schur_gemm", "chol")
 
 

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The files' columns and formats.
 SAMPLES = "sample_id long, logdet double, retries int"
 SCALING = "ranks int, actual_evals long, io_time double, compute_time double, wall_time double, imbalance_time double, comm_time double"
 EVENT = "struct<lane: string, name: string, start_ms: double, dur_ms: double, candidate: long, buffer: int>"

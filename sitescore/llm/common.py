@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").union(edges_to_minimum(edges, low)).distinct()
+        large = large.where("a <> b").union(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -73,11 +73,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select("a", F.col("b").alias("root"))
 
 
-def edges_to_minimum(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """Each node with its smallest neighbour where that is smaller than itself."""
-    return low.where("m < a").select("a", F.col("m").alias("b"))
-
-
 def filesystem(uri: str):
     """The file system that a URI names, and the path there; a bare path is local."""
     from pyarrow.fs import FileSystem, LocalFileSystem

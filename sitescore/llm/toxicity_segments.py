@@ -60,7 +60,7 @@ class Model:
         """A token's score: that of the word if it is known, else the best of its beginnings."""
         got = self._memo.get(word)
         if got is None:
-            if len(self._memo) > 500_000:
+            if len(self._memo) > 200_000:
                 self._memo.clear()
             whole, *begins = features(word)
             got = self.scores.get(whole) or max((self.scores.get(x, 0.0) for x in begins), default=0.0)
@@ -95,13 +95,16 @@ def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for low, high, a, b in stack]
 
 
-def scan(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
-    """The number of tokens and the maximal segments of a text; a null text has none."""
+def token_scores(text: str | None, model: Model) -> list[float]:
+    """The score of each token of a text; a null text has none."""
     words = TOKEN.findall((text or "").lower())
-    token = model.token
-    memo = model._memo
-    values = [memo[w] if w in memo else token(w) for w in words]
-    return len(words), segments([(i, x) for i, x in enumerate(values) if x > 0])
+    values = list(map(model._memo.get, words))
+    return [model.token(w) if v is None else v for w, v in zip(words, values, strict=True)] if None in values else values
+
+
+def scan(values: list[float]) -> list[tuple[int, int, float]]:
+    """The maximal segments of a text with these token scores."""
+    return segments([(i, x) for i, x in enumerate(values) if x > 0]) if any(values) else []
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
@@ -144,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
                 own = by[int(toxic > 0)]
                 own.update({*TOKEN.findall(text.lower())})
                 own[""] += 1
-                if len(by[0]) + len(by[1]) > 300_000:
+                if len(by[0]) + len(by[1]) > 150_000:
                     yield out()
                     by[0].clear()
                     by[1].clear()
@@ -175,16 +178,12 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, sums = shared.value, Counter()
         for frame in frames:
             out = []
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                n, found = scan(text, own)
-                if not toxic:
-                    sums.clear()
-                    words = TOKEN.findall(text.lower())
-                    sums.update(x for w in words if (x := own._memo.get(w, 0.0)) > 0)
-                out.append((float(n), int(toxic > 0), [float(s) for _, _, s in found], [float(x) for x in sums.elements()] if not toxic else []))
+                values = token_scores(text, shared.value)
+                found, hits = scan(values), [] if toxic > 0 else [x for x in values if x > 0]
+                out.append((float(len(values)), int(toxic > 0), [s for _, _, s in found], hits))
             yield pd.DataFrame(out, columns=["n", "toxic", "found", "hits"])
 
     got = rows.mapInPandas(measure, "n double, toxic int, found array<double>, hits array<double>").toPandas()
@@ -231,9 +230,9 @@ def scored(model: Model, docs: DataFrame, text: str = "text"):
     def run(texts: pd.Series) -> pd.DataFrame:
         own, out = shared.value, []
         for t in texts:
-            n, found = scan(t, own)
-            best, total, significant = evidence(n, found, own)
-            out.append((probability(best, total, own), n, [{"first": a, "last": b, "score": s} for a, b, s in significant]))
+            values = token_scores(t, own)
+            best, total, significant = evidence(len(values), scan(values), own)
+            out.append((probability(best, total, own), len(values), [{"first": a, "last": b, "score": s} for a, b, s in significant]))
         return pd.DataFrame(out, columns=["score", "n_tokens", "passages"])
 
     return run(F.col(text))

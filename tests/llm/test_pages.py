@@ -44,6 +44,7 @@ def text(html):
         ("<main><p>x</p><table><tr><td>1<td>2<tr><td>3</table></main>", "x\n1 2\n3"),
         ("<p>no article<p>here<div id=cookie-notice>c</div>", "no article\nhere"),
         ("<article><p><b>open<p>next</article><p>after", "open\nnext"),
+        ("<article><p>x</p><ins class=adsbygoogle>a</ins><div id=siteFooter>f</div><ol class='comment-list'><li>c</ol><p>y</article>", "x\ny"),
         ("", ""),
     ],
 )
@@ -62,6 +63,12 @@ def test_shared_lines_go(spark):
     assert got[101].startswith("Menu\n")  # the only page of its host
 
 
+def test_rows_of_one_url_and_id_spread(spark):
+    rows = [(7, "http://h.org/same", f"<article><p>text {i}</p></article>") for i in range(400)]
+    found = hp.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8))
+    assert sorted(r["text"] for r in found.collect()) == sorted(f"text {i}" for i in range(400))
+
+
 def test_copies_do_not_delete_each_other(spark):
     rows = [(i, f"http://h.org/{i}", "<div>same text</div><div>in all of them</div>") for i in range(5)]
     got = {r["text"] for r in hp.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

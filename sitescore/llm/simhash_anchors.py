@@ -148,10 +148,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, third_block_fro
     return rows.join(checkpoint(found), "fp").select("doc_id", "fp", "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that near_duplicates() makes their component's smallest doc_id, each doc_id
-    once; rows without a doc_id stay. The columns are those of docs."""
-    groups = near_duplicates(docs, **options)
+def keep_one(docs: DataFrame, near=near_duplicates, **options) -> DataFrame:
+    """The rows of docs that near(), near_duplicates() here, makes their component's smallest doc_id,
+    each doc_id once; rows without a doc_id stay. The columns are those of docs."""
+    groups = near(docs, **options)
     kept = checkpoint(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")))
     own = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
     if kept.where("__n > 1").limit(1).count():

@@ -131,6 +131,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return rows.where("text is not null").select("text", "toxic")
 
 
+def significance(all_tox: int, all_clean: int):
+    """The signed root of the likelihood ratio of a feature's tox and clean counts against the classes'
+    sizes, with one more clean document for each feature: it grows with the toxic count and with
+    purity, whatever the number of rows."""
+    share = (all_tox + 1.0) / (all_tox + all_clean + 2.0)
+    tox, clean = F.col("tox"), F.col("clean") + 1
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((tox + clean) * p))).otherwise(0.0)
+    g = 2 * (part(tox, share) + part(clean, 1 - share))
+    return F.when(tox > (tox + clean) * share, F.sqrt(F.greatest(g, F.lit(0.0)))).otherwise(0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Learn from docs(doc_id, text, ...) and labels(doc_id, toxic, ...) outside the held-out fold.
 
@@ -165,8 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     weight = PRIOR / (sums["tox"] + sums["clean"])
     alpha, prior = weight * (F.col("tox") + F.col("clean")), weight * ((all_tox or 0) + (all_clean or 0))
     of = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(float((n or 0) + prior + 1)) - F.col(y) - alpha))
-    z = F.col("delta") / F.sqrt(1 / (F.col("tox") + alpha) + 1 / (F.col("clean") + alpha))
-    rated = whole.union(begins).withColumn("delta", of("tox", all_tox) - of("clean", all_clean)).withColumn("z", z)
+    rated = whole.union(begins).withColumn("delta", of("tox", all_tox) - of("clean", all_clean)).withColumn("z", significance(all_tox or 0, all_clean or 0))
     best = rated.where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_LOG_ODDS)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
     model = Model(scores={r["feature"]: r["delta"] for r in best.collect()})
     return calibrated(model, rows)

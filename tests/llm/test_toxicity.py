@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitescore.llm import toxicity_segments as ts
@@ -74,3 +76,19 @@ def test_held_out_labels_are_not_read(spark):
 def test_no_labels_scores_near_zero(edge, labels):
     got = ts.toxicity(edge, labels.limit(0)).collect()
     assert all(0 <= r["score"] < 1e-6 and r["predicted"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("n", [600, 60_000])
+def test_pure_toxic_word_at_any_number_of_rows(spark, n):
+    """A word of 20 toxic and no clean training documents is learned; one of a toxic and a clean one isn't."""
+    training = [i for i in range(2 * n) if zlib.crc32(str(i).encode()) % ts.FOLDS][:n]
+    toxic = {i: int(at % 10 == 0) for at, i in enumerate(training)}
+    words = {i: f"plain{i % 7} text{i % 11}" for i in training}
+    for i in [i for i in training if toxic[i]][:20]:
+        words[i] += " zork"
+    words[training[10]] += " both"
+    words[training[11]] += " both"
+    docs = spark.createDataFrame([*words.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([*toxic.items()], "doc_id long, toxic int")
+    scores = ts.fit(docs, labels).scores
+    assert "=zork" in scores and "=both" not in scores

@@ -73,3 +73,15 @@ def test_errors(spark):
     with pytest.raises(PySparkException):
         timeline.profiler_window(spark.createDataFrame([(0, "a", "X", 1.0, 1.0)], "event_seq long, name string, ph string, ts double, dur double")).collect()
     assert timeline.plain_bounds(events).first()[:] == (0.0, 1.0)
+
+
+def test_written_documents_stay_small(spark, tmp_path, monkeypatch):
+    """More events make more documents, not longer ones."""
+    from sitescore.jobs import measurements
+    from sitescore.sources import fixtures
+
+    many = spark.range(400_000).select(F.col("id").alias("event_seq"), F.lit("io").alias("lane"), F.lit("a").alias("name"), F.lit(0.0).alias("start_ms"), F.lit(1.0).alias("dur_ms"), F.floor(F.col("id") / 20).alias("candidate"), F.lit(0).alias("buffer"))
+    monkeypatch.setattr(fixtures, "timeline", lambda *_: many)
+    found = records.timeline_json(measurements._timeline_spans(spark, ""), F.lit(5.0), "document")
+    sizes = [r[0] for r in found.select(F.size(F.from_json("value", records.TIMELINE)["events"])).collect()]
+    assert max(sizes) <= 10_000 and len(sizes) > 16

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import baseline, blocks, greedy, objective
-from ..operators.state import cut
+from ..operators.state import cut, shared_path
 from ..sources import fixtures as fx
 from ..sources import records
 from ..streaming.merge import merge_rank_files_stream
@@ -18,24 +15,18 @@ from ..streaming.merge import merge_rank_files_stream
 SELECTED = ((0, 17), (1, 3), (2, 40))
 SELECTED_SQL = "sel AS (SELECT * FROM (VALUES (0, 17), (1, 3), (2, 40)) t(position, sensor_id))"
 R = fx.R_SQ
-BUDGET = 4
+BUDGET = 40
+RESUMED = 24
 SAMPLES = 5
 SEED = 42
+#: Longitudes of the grids that b5 lays out, one for each part.
+N_LON = 12
 
 
 def r6(name: str, value=None):
     return F.round(F.col(name) if value is None else value, 6).alias(name)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares, or a temporary one where it names none."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def selected(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*SELECTED], "position int, sensor_id int")
 
@@ -45,8 +36,11 @@ def cells(k: DataFrame) -> DataFrame:
 
 
 def s1_synthetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n_lon, n_lat = fx.grid(spark, sf_dir)
-    return blocks.synthetic_blocks(spark, n_lon * n_lat, 4, "double")
+    """For each sensor the blocks and values of its column, and whether their mean and variance are those of
+    standard normal values (within six standard errors) and single precision."""
+    cell = blocks.blocks_to_entries(blocks.synthetic_blocks(fx.sensors(spark, sf_dir), 2, "single"))
+    by = cell.groupBy(F.col("block_col").alias("sensor_id")).agg((F.count("*") / 4).cast("long").alias("n_blocks"), F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.bool_and(F.col("value") == F.col("value").cast("float")).alias("single"))
+    return by.select("sensor_id", "n_blocks", F.col("n").alias("n_values"), ((F.abs("m") < 6 / F.sqrt("n")) & (F.abs(F.col("v") - 1) < 6 * F.sqrt(2 / F.col("n")))).alias("normal"), "single")
 
 
 def s2_matrix_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +50,9 @@ def s2_matrix_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s3_entries_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = blocks.blocks_to_entries(fx.k_blocks(spark, sf_dir, 4))
-    dense = own.select((F.col("block_row") * 4 + F.col("t")).alias("i"), (F.col("block_col") * 4 + F.col("t2")).alias("j"), "value")
-    return cells(blocks.entries_to_blocks(dense, 4))
+    own = blocks.blocks_to_entries(fx.k_blocks(spark, sf_dir, 2))
+    dense = own.select((F.col("block_row") * 2 + F.col("t")).alias("i"), (F.col("block_col") * 2 + F.col("t2")).alias("j"), "value")
+    return cells(blocks.entries_to_blocks(dense, 2))
 
 
 def s4_diagonal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +129,12 @@ def p1_clean_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = fx.k_blocks(spark, sf_dir, 4).withColumn("block", F.transform("block", lambda x, i: x + F.floor(i / 4) * 0.5))
-    return cells(blocks.symmetrize(k.where(F.abs(F.col("block_row") - F.col("block_col")) <= 1)))
+    k = fx.k_blocks(spark, sf_dir, 2).withColumn("block", F.transform("block", lambda x, i: x + F.floor(i / 2) * 0.5))
+    return cells(blocks.symmetrize(k))
 
 
 def p3_regularize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = fx.k_blocks(spark, sf_dir, 4).where(F.abs(F.col("block_row") - F.col("block_col")) <= 1)
-    return cells(blocks.regularize(k, R))
+    return cells(blocks.regularize(fx.k_blocks(spark, sf_dir, 2), R))
 
 
 def p4_exclude_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,24 +198,31 @@ def _selection(df: DataFrame) -> DataFrame:
     return df.select("step", "sensor_id", r6("gain"), r6("logdet"))
 
 
+def stored(spark: SparkSession, sf_dir: str, nt: int, variant: str = "") -> DataFrame:
+    """The matrix in files, from which a selection reads by the winner's id."""
+    path = shared_path(spark, "blocks")
+    blocks.write_blocks(fx.k_blocks(spark, sf_dir, nt, variant).where("block_row <= block_col"), path)
+    return blocks.read_blocks(spark, path)
+
+
 def c9_greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selection(greedy.greedy_select(cut(fx.k_blocks(spark, sf_dir, 1)), BUDGET, R))
+    return _selection(greedy.greedy_select(stored(spark, sf_dir, 1), BUDGET, R))
 
 
 def c10_extend_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores after the given selection, by state: the same as C4."""
-    k = cut(fx.k_blocks(spark, sf_dir, 2))
+    k = stored(spark, sf_dir, 2)
     state = greedy.initial_state(k, R)
     for _, sensor in SELECTED:
         state = greedy.advance(state, k, sensor, R)
-    return state.select("sensor_id", r6("score"))
+    return state.scores().select("sensor_id", r6("score"))
 
 
 def c11_resume_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A selection that is stopped after two picks and goes on from its checkpoint."""
-    k, path = cut(fx.k_blocks(spark, sf_dir, 1)), shared_path(spark, "selection")
-    greedy.greedy_select(k, 2, R, checkpoint=path)
-    return _selection(greedy.greedy_select(k, BUDGET, R, restart=path))
+    """A selection that is stopped after twelve picks and goes on from its checkpoint."""
+    k, path = stored(spark, sf_dir, 1), shared_path(spark, "selection")
+    greedy.greedy_select(k, 12, R, checkpoint=path)
+    return _selection(greedy.greedy_select(k, RESUMED, R, restart=path))
 
 
 def c12_cumulative_logdet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,9 +241,12 @@ def b2_random_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b3_baseline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, path = cut(fx.k_blocks(spark, sf_dir, 2, "bad")), shared_path(spark, "samples")
+    """Three samples, then two more, beside what the run reports."""
+    k, path = cut(fx.k_blocks(spark, sf_dir, 1, "bad")), shared_path(spark, "samples")
     baseline.baseline_run(k, path, 3, 6, R, SEED, "3,17").collect()
-    return baseline.baseline_run(k, path, 5, 6, R, SEED, "3,17")
+    report = baseline.baseline_run(k, path, 5, 6, R, SEED, "3,17")
+    own = records.read_samples(spark, path).select("sample_id", r6("logdet"))
+    return own.crossJoin(F.broadcast(report))  # report has one row
 
 
 def b4_uniform_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +256,7 @@ def b4_uniform_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b5_base_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fx.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 600 + 1).cast("int").alias("budget"), (F.col("p_size") + 2).alias("n_lat"))
-    b_lon, b_lat = baseline.base_grid(F.col("budget"), F.lit(fx.N_LON), F.col("n_lat"))
+    b_lon, b_lat = baseline.base_grid(F.col("budget"), F.lit(N_LON), F.col("n_lat"))
     return own.select("p_partkey", "budget", "n_lat", b_lon.alias("b_lon"), b_lat.alias("b_lat"))
 
 
@@ -286,7 +289,7 @@ def b9_uniform_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b10_uniform_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_lon, n_lat, budget = budget_of(spark, sf_dir)
-    return baseline.uniform_score(fx.k_blocks(spark, sf_dir, 2), n_lon, n_lat, budget, R, SEED).select(r6("logdet"))
+    return baseline.uniform_score(fx.k_blocks(spark, sf_dir, 1), n_lon, n_lat, budget, R, SEED).select(r6("logdet"))
 
 
 def b11_selected_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,20 +331,27 @@ GAINS = f"{AUGMENTED}, gains AS (SELECT config_id AS sensor_id, CASE WHEN min(v)
 
 
 def greedy_sql(budget: int) -> str:
-    """Greedy selection at one value a sensor, pick by pick."""
-    out = [f"q AS MATERIALIZED (SELECT block_row AS s, block_col AS c, {R} * value + CASE WHEN block_row = block_col THEN 1 ELSE 0 END AS v FROM k)", "d0 AS MATERIALIZED (SELECT c, v AS d FROM q WHERE s = c)"]
+    """Greedy selection at one value a sensor, pick by pick; each candidate carries its row of the factor as a list."""
+    out = [f"q AS MATERIALIZED (SELECT block_row AS s, block_col AS c, {R} * value + CASE WHEN block_row = block_col THEN 1 ELSE 0 END AS v FROM k)", "d0 AS MATERIALIZED (SELECT c, v AS d, []::DOUBLE[] AS ys FROM q WHERE s = c)"]
     for p in range(budget):
-        out.append(f"w{p} AS MATERIALIZED (SELECT c, d FROM d{p} WHERE d > 0 ORDER BY d DESC, c LIMIT 1)")
+        out.append(f"w{p} AS MATERIALIZED (SELECT c, d, ys FROM d{p} WHERE d > 0 ORDER BY d DESC, c LIMIT 1)")
         if p < budget - 1:
-            minus = "".join(f" - (SELECT y FROM y{t} WHERE c = (SELECT c FROM w{p})) * y{t}.y" for t in range(p))
-            joins = "".join(f" JOIN y{t} ON y{t}.c = q.c" for t in range(p))
-            out.append(f"y{p} AS MATERIALIZED (SELECT q.c, (q.v{minus}) / (SELECT sqrt(d) FROM w{p}) AS y FROM q{joins} WHERE q.s = (SELECT c FROM w{p}))")
-            out.append(f"d{p + 1} AS MATERIALIZED (SELECT d{p}.c, d{p}.d - y{p}.y * y{p}.y AS d FROM d{p} JOIN y{p} USING (c) WHERE d{p}.c <> (SELECT c FROM w{p}))")
+            minus = f" - list_dot_product(d{p}.ys, w{p}.ys)" if p else ""
+            y = f"SELECT d{p}.c, d{p}.d, d{p}.ys, (q.v{minus}) / sqrt(w{p}.d) AS y FROM d{p}, w{p}, q WHERE q.s = w{p}.c AND q.c = d{p}.c AND d{p}.c <> w{p}.c"
+            out.append(f"d{p + 1} AS MATERIALIZED (SELECT c, d - y * y AS d, list_append(ys, y) AS ys FROM ({y}))")
     picks = " UNION ALL ".join(f"SELECT {p} AS step, c AS sensor_id, ln(d) AS gain FROM w{p}" for p in range(budget))
     return f"WITH {fx.k_sql(1)}, {', '.join(out)}, picks AS ({picks}) SELECT step::INT AS step, sensor_id, round(gain, 6) AS gain, round(sum(gain) OVER (ORDER BY step), 6) AS logdet FROM picks"
 
 
-NEAR = "abs(block_row - block_col) <= 1"
+def factored(variant: str, before: str) -> str:
+    """A query's head: the factorisation st(config_id, p, i, d) of cfg(config_id, i, sensor_id), made in before, at one
+    value a sensor; d at p = i are the pivots."""
+    return f"""WITH RECURSIVE {fx.k_sql(1, variant)}, q AS MATERIALIZED (SELECT block_row AS s, block_col AS c, {R} * value + CASE WHEN block_row = block_col THEN 1 ELSE 0 END AS v FROM k), {before},
+st AS (SELECT config_id, 0 AS p, i, sensor_id, v AS d, []::DOUBLE[] AS ys FROM cfg JOIN q ON s = sensor_id AND c = sensor_id
+  UNION ALL SELECT config_id, p + 1, i, sensor_id, d - y * y, list_append(ys, y) FROM (SELECT a.config_id, a.p, a.i, a.sensor_id, a.d, a.ys,
+    (q.v - CASE WHEN a.p = 0 THEN 0 ELSE list_dot_product(a.ys, b.ys) END) / sqrt(b.d) AS y FROM st a JOIN st b ON a.config_id = b.config_id AND b.i = b.p AND a.i > b.i JOIN q ON q.s = b.sensor_id AND q.c = a.sensor_id))"""
+
+
 SINGLE = f"""singles AS (SELECT sensor_id, CASE WHEN a > 0 AND a * d - b * c > 0 THEN ln(a * d - b * c) END AS score FROM (SELECT block_row AS sensor_id,
   max(CASE WHEN t = 0 AND t2 = 0 THEN {R} * value + 1 END) AS a, max(CASE WHEN t = 0 AND t2 = 1 THEN {R} * value END) AS b,
   max(CASE WHEN t = 1 AND t2 = 0 THEN {R} * value END) AS c, max(CASE WHEN t = 1 AND t2 = 1 THEN {R} * value + 1 END) AS d FROM k WHERE block_row = block_col GROUP BY block_row))"""
@@ -351,8 +361,9 @@ UNIFORM = """CASE WHEN {k} <= 0 THEN []::INT[] WHEN {k} >= {n} THEN range({n})::
   ELSE list_transform(range({k}), lambda i: round_even(i * (({n} - 1)::DOUBLE / greatest({k} - 1, 1)), 0))::INT[] END"""
 
 SQL: dict[str, str] = {
+    "s1_synthetic_blocks": f"WITH {fx.SENSORS} SELECT sensor_id, (SELECT count(*) FROM sensors) AS n_blocks, 4 * (SELECT count(*) FROM sensors) AS n_values, true AS normal, true AS single FROM sensors",
     "s2_matrix_info": f"WITH {fx.k_sql(2)} SELECT (max(t) + 1)::INT AS nt, (max(block_row) + 1)::INT AS nd, (count(*) // 4)::BIGINT AS n_blocks FROM k",
-    "s3_entries_blocks": f"WITH {fx.k_sql(4)} SELECT block_row, block_col, t, t2, round(value, 6) AS value FROM k",
+    "s3_entries_blocks": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(value, 6) AS value FROM k",
     "s4_diagonal_blocks": f"WITH {fx.k_sql(4)} SELECT block_row AS sensor_id, t, t2, round(value, 6) AS value FROM k WHERE block_row = block_col",
     "s5_cross_blocks": f"WITH {fx.k_sql(2, 'lopsided')}, {SELECTED_SQL} SELECT position, s.sensor_id, c.sensor_id AS candidate, t, t2, round(value, 6) AS value FROM sel s, sensors c, LATERAL (SELECT CASE WHEN s.sensor_id > c.sensor_id THEN t2 ELSE t END AS t, CASE WHEN s.sensor_id > c.sensor_id THEN t ELSE t2 END AS t2, value FROM k WHERE block_row = least(s.sensor_id, c.sensor_id) AND block_col = greatest(s.sensor_id, c.sensor_id))",
     "s5_cross_blocks_stored": f"WITH {fx.k_sql(2, 'lopsided')}, {SELECTED_SQL} SELECT position, sensor_id, block_col AS candidate, t, t2, round(value, 6) AS value FROM sel JOIN k ON block_row = sensor_id",
@@ -366,8 +377,8 @@ SELECT config_id, (min(sensor_id) * 4)::INT AS row_start, ((max(sensor_id) + 1)
     "s10_checkpoint_objective": f"WITH {fx.SAMPLES} SELECT sample_id, round(format('{{:.6f}}', logdet)::DOUBLE, 4) AS objective FROM samples WHERE logdet < 'inf'::DOUBLE",
     "s14_read_coords": f"WITH {fx.SENSORS} SELECT sensor_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM sensors",
     "p1_clean_nan": f"WITH {fx.k_sql(4, 'nan')} SELECT block_row, block_col, t, t2, CASE WHEN isnan(value) THEN 0 ELSE round(value, 6) END AS value FROM k WHERE block_row = block_col",
-    "p2_symmetrize": f"WITH {fx.k_sql(4)}, s AS (SELECT block_row, block_col, t, t2, value + 0.5::DOUBLE * t AS value FROM k WHERE {NEAR}) SELECT a.block_row, a.block_col, a.t, a.t2, round(CASE WHEN a.block_row = a.block_col THEN 0.5::DOUBLE * (a.value + b.value) ELSE a.value END, 6) AS value FROM s a JOIN s b ON a.block_row = b.block_row AND a.block_col = b.block_col AND a.t = b.t2 AND a.t2 = b.t",
-    "p3_regularize": f"WITH {fx.k_sql(4)} SELECT block_row, block_col, t, t2, round(4 * value + CASE WHEN block_row = block_col AND t = t2 THEN 1 ELSE 0 END, 6) AS value FROM k WHERE {NEAR}",
+    "p2_symmetrize": f"WITH {fx.k_sql(2)}, s AS MATERIALIZED (SELECT block_row, block_col, t, t2, value + 0.5::DOUBLE * t AS value FROM k), d AS MATERIALIZED (SELECT * FROM s WHERE block_row = block_col) SELECT block_row, block_col, t, t2, round(value, 6) AS value FROM s WHERE block_row <> block_col UNION ALL SELECT a.block_row, a.block_col, a.t, a.t2, round(0.5::DOUBLE * (a.value + b.value), 6) FROM d a JOIN d b ON a.block_row = b.block_row AND a.t = b.t2 AND a.t2 = b.t",
+    "p3_regularize": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(4 * value + CASE WHEN block_row = block_col AND t = t2 THEN 1 ELSE 0 END, 6) AS value FROM k",
     "p4_exclude_sensors": f"WITH {fx.SENSORS} SELECT sensor_id FROM sensors WHERE sensor_id NOT IN (3, 17, 5)",
     "p5_remaining_candidates": f"WITH {fx.SENSORS}, {fx.SELECTION} SELECT sensor_id FROM sensors WHERE sensor_id NOT IN (SELECT sensor_id FROM selection)",
     "p6_split_candidates": f"WITH {fx.SENSORS} SELECT sensor_id, (sensor_id // ceil((SELECT max(sensor_id) + 1 FROM sensors) / 7)::INT)::INT AS worker FROM sensors",
@@ -409,7 +420,11 @@ SELECT b::INT AS bin, round(low + b * width, 6) AS left_edge, round(low + (b + 1
     "b14_compare_designs": f"WITH {fx.SAMPLES}, v AS (SELECT count(*) AS n, avg(logdet) AS mean, max(logdet) AS max, stddev_samp(logdet) AS stddev FROM samples WHERE logdet < 'inf'::DOUBLE) SELECT 'greedy' AS design, 250.0::DOUBLE AS logdet, round((250 - mean) / stddev, 6) AS to_mean, round((250 - max) / stddev, 6) AS to_max FROM v UNION ALL SELECT 'uniform', 180, NULL, NULL UNION ALL SELECT 'random', round(mean, 6), NULL, NULL FROM v UNION ALL SELECT 'random max', round(max, 6), NULL, NULL FROM v UNION ALL SELECT 'random stddev', round(stddev, 6), NULL, NULL FROM v",
 }
 SQL["c2_config_logdet_blocked"] = SQL["c2_config_logdet"]
-SQL["c11_resume_state"] = SQL["c9_greedy_select"]
+SQL["c11_resume_state"] = greedy_sql(RESUMED)
+UNIFORM_CONFIG = SQL["b9_uniform_config"]
+SQL["b10_uniform_score"] = f"""{factored("", f"cfg AS MATERIALIZED (SELECT 0 AS config_id, row_number() OVER (ORDER BY sensor_id) - 1 AS i, sensor_id FROM ({UNIFORM_CONFIG}))")} SELECT round(sum(ln(d)), 6) AS logdet FROM st WHERE p = i"""
+SQL["b3_baseline_run"] = f"""{factored("bad", "fine AS MATERIALIZED (SELECT block_row AS sensor_id FROM k WHERE block_row = block_col AND 1 + value > 0), cfg AS MATERIALIZED (SELECT s::INT AS config_id, row_number() OVER (PARTITION BY s ORDER BY md5('42-' || s || '-' || sensor_id), sensor_id) - 1 AS i, sensor_id FROM fine, range(5) x(s) WHERE sensor_id NOT IN (3, 17) QUALIFY i < 6)")}
+SELECT config_id::BIGINT AS sample_id, round(sum(ln(d)), 6) AS logdet, 5::BIGINT AS n_samples, 0::BIGINT AS retries, (SELECT count(*) FROM sensors) - (SELECT count(*) FROM fine) AS n_screened FROM st WHERE p = i GROUP BY config_id"""
 
 NAMES = (
     s1_synthetic_blocks, s2_matrix_info, s3_entries_blocks, s4_diagonal_blocks, s5_cross_blocks, s5_cross_blocks_stored, s6_contiguous_runs, s7_selection_roundtrip, s8_append_samples, s9_merge_rank_files_stream,

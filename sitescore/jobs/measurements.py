@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scaling, timeline
+from ..operators.state import shared_path
 from ..sources import fixtures as fx
 from ..sources import records
-from .matrix import r6, shared_path
+from .matrix import r6
 
 #: Events of one document, about; a timeline's candidate has 20.
 DOCUMENT = 10_000
@@ -177,17 +178,18 @@ def m19_merge_io(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A timeline whose main events last long enough to cover some gaps, with compute after I/O."""
+    """A timeline with compute after all I/O, in which some main events last long enough to cover the gaps."""
     own = fx.timeline(spark, sf_dir)
-    own = own.withColumn("start_ms", F.when(F.col("lane") == "gpu", F.col("start_ms") + 2_000_000).otherwise(F.col("start_ms")))
-    return own.withColumn("dur_ms", F.when(F.col("lane") == "main", F.col("dur_ms") * (1 + 40 * (F.col("event_seq") % 3))).otherwise(F.col("dur_ms")))
+    own = own.withColumn("start_ms", F.when(F.col("lane") == "gpu", F.col("start_ms") + 1e9).otherwise(F.col("start_ms")))
+    return own.withColumn("dur_ms", F.when((F.col("lane") == "main") & (F.col("event_seq") % 11 == 0), 1e12).otherwise(F.col("dur_ms")))
 
 
 def m20_dispatch_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _tight(spark, sf_dir)
-    seen = timeline.timeline_window(own, X)
-    found = timeline.dispatch_gaps(timeline.merge_io(seen), own, seen.where("lane = 'main'"), X)
-    return found.select("candidate", "name", F.round("start_ms", 3).alias("start_ms"), F.round("dur_ms", 3).alias("dur_ms"))
+    shown = timeline.timeline_window(own, X)
+    out = lambda found, kind: found.select(F.lit(kind).alias("kind"), "candidate", "name", F.round("start_ms", 3).alias("start_ms"), F.round("dur_ms", 3).alias("dur_ms"))
+    every = timeline.dispatch_gaps(timeline.merge_io(own), own, own.where("lane = 'main'"))
+    return out(every, "all").union(out(timeline.dispatch_gaps(timeline.merge_io(shown), own, shown.where("lane = 'main'"), X), "shown"))
 
 
 def m21_lane_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,10 +306,10 @@ p AS (SELECT x * i / 99 AS k, c FROM range(100) t(i), e, c) SELECT round(k, 6) A
     "m17_io_bandwidth": f"WITH {fx.TIMELINE} SELECT count(*) AS n, (count(*) * ((175 * 420 * 420 + 420 * 420) * 4))::BIGINT AS bytes, round(sum(dur_ms / 1000), 4) AS seconds, round(count(*) * ((175 * 420 * 420 + 420 * 420) * 4) / 1073741824.0::DOUBLE / sum(dur_ms / 1000), 6) AS gib_per_s FROM timeline WHERE name = 'hdf5_read'",
     "m18_timeline_window": f"WITH {fx.TIMELINE}, {seen_sql('timeline')} SELECT event_seq, lane, name, {TIMES} FROM seen",
     "m19_merge_io": f"WITH {fx.TIMELINE}, {bars_sql('timeline')} SELECT candidate, lane, name, {TIMES} FROM bars",
-    "m20_dispatch_gaps": f"""WITH {fx.TIMELINE}, tight AS (SELECT event_seq, lane, name, CASE WHEN lane = 'gpu' THEN start_ms + 2000000 ELSE start_ms END AS start_ms, CASE WHEN lane = 'main' THEN dur_ms * (1 + 40 * (event_seq % 3)) ELSE dur_ms END AS dur_ms, candidate FROM timeline), {seen_sql('tight')}, {bars_sql('seen')},
-gpu AS (SELECT candidate, arg_max(start_ms, event_seq) AS s FROM tight WHERE lane = 'gpu' AND candidate BETWEEN {X - 1} AND {X + 4} GROUP BY candidate),
-gaps AS (SELECT candidate, start_ms + dur_ms AS a, s AS b FROM bars JOIN gpu USING (candidate) WHERE s - (start_ms + dur_ms) >= 1)
-SELECT candidate, 'await_dispatch' AS name, round(a, 3) AS start_ms, round(b - a, 3) AS dur_ms FROM gaps WHERE NOT EXISTS (SELECT 1 FROM seen m WHERE m.lane = 'main' AND m.candidate = gaps.candidate AND m.start_ms <= a + 0.05 AND m.start_ms + m.dur_ms >= b - 0.05)""",
+    "m20_dispatch_gaps": f"""WITH {fx.TIMELINE}, tight AS (SELECT event_seq, lane, name, CASE WHEN lane = 'gpu' THEN start_ms + 1e9::DOUBLE ELSE start_ms END AS start_ms, CASE WHEN lane = 'main' AND event_seq % 11 = 0 THEN 1e12::DOUBLE ELSE dur_ms END AS dur_ms, candidate FROM timeline), {seen_sql('tight')},
+{bars_sql('tight')}, {bars_sql('seen').replace('bars AS', 'shown AS', 1)}, gpu AS (SELECT candidate, arg_max(start_ms, event_seq) AS s FROM tight WHERE lane = 'gpu' GROUP BY candidate),
+gaps AS (SELECT kind, candidate, start_ms + dur_ms AS a, s AS b FROM (SELECT 'all' AS kind, * FROM bars UNION ALL SELECT 'shown', * FROM shown WHERE candidate BETWEEN {X - 1} AND {X + 4}) JOIN gpu USING (candidate) WHERE s - (start_ms + dur_ms) >= 1)
+SELECT kind, candidate, 'await_dispatch' AS name, round(a, 3) AS start_ms, round(b - a, 3) AS dur_ms FROM gaps WHERE NOT EXISTS (SELECT 1 FROM tight m WHERE m.lane = 'main' AND m.candidate = gaps.candidate AND m.start_ms <= a + 0.05 AND m.start_ms + m.dur_ms >= b - 0.05)""",
     "m21_lane_assign": f"WITH {fx.TIMELINE} SELECT event_seq, 'gpu' || coalesce(buffer, candidate % 2) AS lane FROM timeline WHERE lane = 'gpu'",
     "m22_window_bounds": f"""WITH {fx.TIMELINE}, {seen_sql('timeline')}, {bars_sql('seen')}, plot AS (SELECT lane, candidate, start_ms, dur_ms FROM bars UNION ALL SELECT lane, candidate, start_ms, dur_ms FROM seen WHERE lane <> 'io'), {bounds_sql('plot')}
 SELECT 'anchored' AS kind, round(lo, 3) AS lo, round(hi, 3) AS hi FROM bounds UNION ALL SELECT 'plain', round(a - 0.03 * greatest(b - a, 1), 3), round(b + 0.03 * greatest(b - a, 1), 3) FROM (SELECT min(start_ms) AS a, max(start_ms + dur_ms) AS b FROM plot)""",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import clean_nan, diagonal_blocks, regularize, symmetrize
-from .objective import block_scores, config_logdet, config_submatrix, pivoted
+from .objective import block_scores, config_logdet, config_upper, pivoted
 from .state import cut
 
 #: Random configurations of more values than this a side are built block by block.
@@ -70,21 +70,23 @@ def random_orders(candidates: DataFrame, samples: DataFrame, seed: int) -> DataF
     return pairs.select("sample_id", (F.row_number().over(by) - 1).alias("position"), "sensor_id")
 
 
-def random_configs(blocks: DataFrame, candidates: DataFrame, n_samples: int, budget: int, r_sq: float, seed: int, slack: int = 8, max_attempts: int = 20, first_sample: int = 0, dense_side: int = DENSE_SIDE) -> DataFrame:
+def random_configs(blocks: DataFrame, candidates: DataFrame, n_samples: int, budget: int, r_sq: float, seed: int, slack: int = 8, first_sample: int = 0, dense_side: int = DENSE_SIDE) -> DataFrame:
     """(sample_id, logdet, retries, sensors): for each sample the first candidates in its order whose
     Schur complements are positive definite, budget of them.
 
     The first budget + slack candidates of an order are tried; a sample that they don't fill is tried
-    again with all candidates, and one that these don't fill starts another order (a retry). Samples
-    that no attempt fills have a null logdet. Small ones are built in one task each, others block by
-    block, all samples one candidate at a time.
+    again with all candidates, and one that these don't fill starts another order (a retry), until
+    every sample is filled; a budget of more than the candidates is an error. Small ones are built in
+    one task each, others block by block, all samples one candidate at a time.
     """
     spark = blocks.sparkSession
     todo = spark.range(first_sample, first_sample + n_samples).select(F.col("id").cast("int").alias("sample_id"), F.lit(0).alias("attempt"))
     n_all = candidates.count()
+    if budget > n_all:
+        raise ValueError("the budget exceeds the candidates")
     found = None
     attempt = 0
-    while attempt < max_attempts:
+    while True:
         for tried in sorted({min(budget + slack, n_all), n_all}):
             got = cut(_attempt(blocks, random_orders(candidates, todo, seed), tried, budget, r_sq, dense_side).withColumn("retries", F.lit(attempt)))
             full = got.where(F.size("sensors") == budget)
@@ -93,15 +95,14 @@ def random_configs(blocks: DataFrame, candidates: DataFrame, n_samples: int, bud
             if not todo.count():
                 return found.select("sample_id", "logdet", "retries", "sensors")
         attempt += 1
+        found = cut(found)
         todo = todo.withColumn("attempt", F.lit(attempt))
-    none = todo.select("sample_id", F.lit(None).cast("double").alias("logdet"), F.lit(attempt).alias("retries"), F.array().cast("array<int>").alias("sensors"))
-    return found.select("sample_id", "logdet", "retries", "sensors").union(none)
 
 
 def _attempt(blocks: DataFrame, orders: DataFrame, tried: int, budget: int, r_sq: float, dense_side: int) -> DataFrame:
     orders = orders.where(F.col("position") < tried)
     configs = orders.select(F.col("sample_id").alias("config_id"), "position", "sensor_id")
-    sub = config_submatrix(blocks, configs, r_sq).where("i <= j")
+    sub = config_upper(blocks, configs, r_sq)
     nt = int((blocks.select(F.size("block")).limit(1).collect() or [[1]])[0][0] ** 0.5)
     if tried * nt > dense_side:
         rows = pivoted(sub, tried, budget)

@@ -15,29 +15,34 @@ from ..functions.linalg import listed
 SCHEMA = "block_row int, block_col int, block array<double>"
 
 
-def synthetic_blocks(spark: SparkSession, n_candidates: int = 600, nt: int = 420, precision: str = "single", seed: int = 0) -> DataFrame:
-    """A full matrix of standard normal values, the same for any partitioning as each block has its own seed."""
+def synthetic_blocks(candidates: DataFrame, nt: int = 420, precision: str = "single", seed: int = 0) -> DataFrame:
+    """A full matrix of standard normal values for candidates(sensor_id), the same for any partitioning as
+    each block has its own seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo in range(0, len(ids), max(1, (4 << 20) // (nt * nt))):
-                own = ids[lo : lo + max(1, (4 << 20) // (nt * nt))]
-                i, j = own // n_candidates, own % n_candidates
+            rows, cols = (batch.column(x).to_numpy() for x in (0, 1))
+            most = max(1, (4 << 20) // (nt * nt))
+            for lo in range(0, len(rows), most):
+                i, j = rows[lo : lo + most], cols[lo : lo + most]
                 values = np.stack([np.random.default_rng((seed, int(a), int(b))).standard_normal((nt, nt)) for a, b in zip(i, j, strict=True)])
                 values = values.astype(np.float32 if precision == "single" else np.float64).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), listed(values)], ["block_row", "block_col", "block"])
 
-    return spark.range(n_candidates * n_candidates).mapInArrow(run, SCHEMA)
+    # The matrix has a block for every pair of candidates.
+    pairs = candidates.select(F.col("sensor_id").alias("block_row")).crossJoin(candidates.select(F.col("sensor_id").alias("block_col")))
+    return pairs.mapInArrow(run, SCHEMA)
 
 
 def matrix_bytes(n_candidates: int, nt: int, precision: str = "single") -> int:
     return (n_candidates * nt) ** 2 * (4 if precision == "single" else 8)
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Blocks clustered by column, so that one candidate's panel lies together, rows in order for min/max pruning."""
-    blocks.repartition("block_col").sortWithinPartitions("block_col", "block_row").write.mode("overwrite").parquet(path)
+def write_blocks(blocks: DataFrame, path: str, tile: int = 16) -> None:
+    """Blocks clustered by square tiles of the matrix, each tile in one file and in order there, so that the
+    files' least and largest ids rule most of them out for one sensor's row as well as for its column."""
+    tiles = [F.floor(F.col(c) / tile) for c in ("block_col", "block_row")]
+    blocks.repartition(*tiles).sortWithinPartitions(*tiles, "block_col", "block_row").write.mode("overwrite").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,37 +1,78 @@
 """Greedy selection of sensors by the largest gain in log-determinant.
 
 Each candidate keeps its part of the factor, y (one block for each sensor picked so far), and its
-Schur complement. A pick reads one row of the matrix's blocks and the winner's part, which is
-broadcast, and brings every candidate's state up to date in one pass; the matrix is never read
-again as a whole, and no task holds more than one candidate's state at a time.
+Schur complement. The state has two parts. The front, rewritten at each pick, has the Schur
+complement, the score and the blocks of the last few picks; older blocks lie in chunks of CHUNK
+picks that are written once and never again. A pick reads one row of the matrix's blocks by a
+pushed-down filter, broadcasts the winner's part (k blocks), reads the chunks in one pass, and
+checkpoints the new front alone: the plan of a pick doesn't depend on the picks before, and what
+it reads and computes is linear in their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.linalg import listed, log_dets, nullable, stacked
+from ..functions.linalg import log_dets
 from .blocks import diagonal_blocks, normalised, oriented, regularize
-from .objective import best_candidate, block_scores
-from .state import cut
+from .objective import best_candidate
+from .state import cut, remove
 
-STATE = "sensor_id int, y array<double>, schur array<double>, score double"
 SELECTION = "step int, sensor_id int, gain double, logdet double"
 CHECKPOINT_EVERY = 10
+#: Picks whose blocks make up one chunk.
+CHUNK = 10
 
 
-def initial_state(blocks: DataFrame, r_sq: float, candidates: DataFrame | None = None, triangle: str = "upper") -> DataFrame:
+@dataclass
+class State:
+    """front(sensor_id, recent, schur, score): recent holds the blocks y since the last chunk, one after
+    the other; chunks[n](sensor_id, y) those of picks n * CHUNK on. Blocks are doubles as bytes, row by row."""
+
+    front: DataFrame
+    n_recent: int = 0
+    chunks: list[DataFrame] = field(default_factory=list)
+
+    def scores(self) -> DataFrame:
+        """(sensor_id, score) of the candidates that aren't picked."""
+        return self.front.select("sensor_id", "score")
+
+
+def packed(block: Column) -> Column:
+    """A block of doubles as bytes."""
+
+    @F.pandas_udf("binary")
+    def run(blocks: pd.Series) -> pd.Series:
+        return blocks.map(lambda x: np.asarray(x, np.float64).tobytes())
+
+    return run(block)
+
+
+def unpacked(values: pd.Series, nt: int) -> np.ndarray:
+    """(rows, blocks, nt, nt) of a column of equally many packed blocks each."""
+    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1, nt, nt)
+
+
+def initial_state(blocks: DataFrame, r_sq: float, candidates: DataFrame | None = None, triangle: str = "upper") -> State:
     """The state before the first pick, hash-partitioned by candidate."""
-    own = regularize(normalised(diagonal_blocks(blocks), triangle), r_sq)
-    own = own.select(F.col("block_row").alias("sensor_id"), F.array().cast("array<double>").alias("y"), F.col("block").alias("schur"), block_scores(F.col("block")).alias("score"))
+    own = regularize(normalised(diagonal_blocks(blocks), triangle), r_sq).select(F.col("block_row").alias("sensor_id"), "block")
     if candidates is not None:
         own = own.join(candidates.select("sensor_id"), "sensor_id", "left_semi")
-    return own.repartition("sensor_id")
+
+    @F.pandas_udf("double")
+    def score(blocks: pd.Series) -> pd.Series:
+        nt = int(len(blocks.iloc[0]) ** 0.5) if len(blocks) else 0
+        return pd.Series(log_dets(np.stack(blocks.to_numpy()).reshape(-1, nt, nt)) if nt else [], dtype="float64")
+
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.repartition(parts, "sensor_id")
+    null = F.nanvl(score("block"), F.lit(None).cast("double"))
+    return State(cut(own.select("sensor_id", F.lit(b"").alias("recent"), packed(F.col("block")).alias("schur"), null.alias("score"))))
 
 
 def matrix_row(blocks: DataFrame, sensor: int, triangle: str = "upper") -> DataFrame:
@@ -44,48 +85,94 @@ def matrix_row(blocks: DataFrame, sensor: int, triangle: str = "upper") -> DataF
     return own.select(other.alias("sensor_id"), oriented(F.col("block"), c, other).alias("k"))
 
 
-def advance(state: DataFrame, blocks: DataFrame, winner: int, r_sq: float, triangle: str = "upper") -> DataFrame:
+def advance(state: State, blocks: DataFrame, winner: int, r_sq: float, triangle: str = "upper") -> State:
     """The state after winner is picked: without it, with the others' blocks y and Schur complements."""
-    row = state.where(F.col("sensor_id") == winner).first()
-    nt = int(len(row["schur"]) ** 0.5)
-    own = np.array(row["y"], float).reshape(-1, nt, nt), np.linalg.cholesky(np.array(row["schur"], float).reshape(nt, nt))
-    shared = state.sparkSession.sparkContext.broadcast(own)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yw, low = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            y = stacked(batch.column(1), len(yw), nt, nt)
-            rest = r_sq * stacked(batch.column(3), nt, nt) - np.einsum("kab,nkac->nbc", yw, y, optimize=True)
-            new = np.linalg.solve(low, rest)
-            schur = stacked(batch.column(2), nt, nt) - np.swapaxes(new, 1, 2) @ new
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed(new), listed(schur), nullable(log_dets(schur))], ["sensor_id", "new", "schur", "score"])
-
-    joined = state.where(F.col("sensor_id") != winner).join(matrix_row(blocks, winner, triangle), "sensor_id")
-    step = joined.select("sensor_id", "y", "schur", "k").mapInArrow(run, "sensor_id int, new array<double>, schur array<double>, score double")
-    # The blocks y stay where they are: the step returns what is new, and a join on the same key adds it.
-    return state.select("sensor_id", "y").join(step, "sensor_id").select("sensor_id", F.concat("y", "new").alias("y"), "schur", "score")
+    sc, own, has_past = state.front.sparkSession.sparkContext, F.col("sensor_id") == winner, bool(state.chunks)
+    old = [x.withColumn("chunk", F.lit(n)) for n, x in enumerate(state.chunks)]
+    past = None
+    for x in old:
+        past = x if past is None else past.union(x)
+    row = state.front.where(own).first()
+    nt = int((len(row["schur"]) // 8) ** 0.5)
+    before = {r["chunk"]: np.frombuffer(r["y"], np.float64).reshape(-1, nt, nt) for r in past.where(own).collect()} if past is not None else {}
+    mine = np.frombuffer(row["recent"], np.float64).reshape(-1, nt, nt), np.linalg.cholesky(np.frombuffer(row["schur"], np.float64).reshape(nt, nt))
+    shared = sc.broadcast((before, *mine))
+    product = lambda a, b: np.einsum("kab,nkac->nbc", a, b, optimize=True)
+
+    @F.pandas_udf("binary")
+    def partial(chunk: pd.Series, y: pd.Series) -> pd.Series:
+        """The winner's blocks of a chunk, transposed, times a candidate's, added up."""
+        out = [b""] * len(y)
+        for n in chunk.unique():
+            at = np.flatnonzero(chunk == n)
+            for i, x in zip(at, product(shared.value[0][n], unpacked(y.iloc[at], nt)), strict=True):
+                out[i] = x.tobytes()
+        return pd.Series(out)
+
+    @F.pandas_udf("new binary, schur binary, score double")
+    def step(recent: pd.Series, schur: pd.Series, k: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        if not len(k):
+            return pd.DataFrame({"new": [], "schur": [], "score": []})
+        _, yw, low = shared.value
+        rest = r_sq * np.stack(k.to_numpy()).reshape(-1, nt, nt)
+        if len(yw):
+            rest -= product(yw, unpacked(recent, nt))
+        if has_past:
+            rest -= np.stack([np.frombuffer(b"".join(p), np.float64).reshape(-1, nt, nt).sum(0) for p in parts])
+        # One factorisation for all candidates: their right-hand sides lie side by side.
+        new = np.linalg.solve(low, np.moveaxis(rest, 0, 1).reshape(nt, -1)).reshape(nt, -1, nt).swapaxes(0, 1)
+        left = unpacked(schur, nt)[:, 0] - new.swapaxes(1, 2) @ new
+        return pd.DataFrame({"new": [x.tobytes() for x in new], "schur": [x.tobytes() for x in left], "score": log_dets(left)})
+
+    joined = state.front.where(~own).select("sensor_id", "recent", "schur").join(matrix_row(blocks, winner, triangle), "sensor_id")
+    if past is not None:
+        sums = past.where(~own).select("sensor_id", partial("chunk", "y").alias("part")).groupBy("sensor_id").agg(F.collect_list("part").alias("parts"))
+        joined = joined.join(sums, "sensor_id")
+    else:
+        joined = joined.withColumn("parts", F.array().cast("array<binary>"))
+    joined = joined.withColumn("s", step("recent", "schur", "k", "parts"))
+    score = F.nanvl("s.score", F.lit(None).cast("double")).alias("score")
+    front = cut(joined.select("sensor_id", F.concat("recent", "s.new").alias("recent"), "s.schur", score))
+    shared.unpersist()
+    if state.n_recent + 1 < CHUNK:
+        return State(front, state.n_recent + 1, state.chunks)
+    chunk = cut(front.select("sensor_id", F.col("recent").alias("y")))
+    return State(cut(front.withColumn("recent", F.lit(b""))), 0, [*state.chunks, chunk])
 
 
 def write_selection(selection: DataFrame, path: str) -> None:
-    selection.coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def read_selection(spark, path: str) -> DataFrame:
-    """The selection saved in path, in any number of rows; an empty one if there is none to be read."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(SELECTION).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], SELECTION)
+    """Save a selection. It is written aside and then takes the former one's place, which stays until then."""
+    spark = selection.sparkSession
+    aside, old = f"{path}.new", f"{path}.old"
+    selection.coalesce(1).write.mode("overwrite").parquet(aside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, new, was = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, old))
+    fs = at.getFileSystem(conf)
+    if fs.exists(at):
+        remove(spark, old)
+        fs.rename(at, was)
+    fs.rename(new, at)
+    remove(spark, old)
+
+
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    """The selection saved in path, in any number of rows; the one before where a save was cut off, and an
+    empty one if there is none that can be read."""
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    for own in (path, f"{path}.old"):
+        try:
+            found = spark.read.schema(SELECTION).parquet(own)
+            found.count()
+            return found
+        except (PySparkException, Py4JError):
+            continue
+    return spark.createDataFrame([], SELECTION)
 
 
 def cumulative_logdet(selection: DataFrame) -> DataFrame:
     """selection(step, sensor_id, gain) with the running sum of its gains; as many rows as picks."""
-    from pyspark.sql import Window
-
     return selection.withColumn("logdet", F.sum("gain").over(Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -94,42 +181,35 @@ def greedy_select(blocks: DataFrame, budget: int, r_sq: float, candidates: DataF
 
     restart names a saved selection: its picks are replayed without a search and the selection goes
     on from there. checkpoint names a path to which the selection is saved every CHECKPOINT_EVERY
-    picks and at the end. Equal gains go to the smallest sensor_id. The state is kept from pick to
-    pick, and its lineage is cut whenever the selection would be saved.
+    picks and at the end. Equal gains go to the smallest sensor_id. blocks are best read from files
+    (read_blocks), as each pick filters them by the winner.
     """
     spark = blocks.sparkSession
     prefix = [(r["sensor_id"], r["gain"]) for r in read_selection(spark, restart).orderBy("step").collect()] if restart else []
-    state = initial_state(blocks, r_sq, candidates, triangle).persist()
+    state = initial_state(blocks, r_sq, candidates, triangle)
     picks: list[tuple[int, int, float, float]] = []
-    before = None
     while len(picks) < budget:
         k = len(picks)
         if k < len(prefix):
-            winner = state.where(F.col("sensor_id") == prefix[k][0]).select("sensor_id", "score").first()
+            winner = state.scores().where(F.col("sensor_id") == prefix[k][0]).first()
         else:
-            winner = best_candidate(state.select("sensor_id", "score")).first()
+            winner = best_candidate(state.scores()).first()
         if winner is None or winner["score"] is None:
             break
         picks.append((k, winner["sensor_id"], winner["score"], winner["score"] + (picks[-1][3] if picks else 0.0)))
-        save = len(picks) % CHECKPOINT_EVERY == 0
-        if checkpoint and save:
+        if checkpoint and len(picks) % CHECKPOINT_EVERY == 0:
             write_selection(spark.createDataFrame(picks, SELECTION), checkpoint)
         if len(picks) < budget:
-            new = advance(state, blocks, winner["sensor_id"], r_sq, triangle)
-            new = cut(new) if save else new.persist()
-            if before is not None:
-                before.unpersist()
-            before, state = state, new
+            state = advance(state, blocks, winner["sensor_id"], r_sq, triangle)
     out = spark.createDataFrame(picks, SELECTION)
     if checkpoint:
         write_selection(out, checkpoint)
     return out
 
 
-def resume_state(blocks: DataFrame, prefix: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+def resume_state(blocks: DataFrame, prefix: DataFrame, r_sq: float, triangle: str = "upper") -> State:
     """The state after the picks of prefix(step, sensor_id), one pass for each, without a search."""
     state = initial_state(blocks, r_sq, None, triangle)
-    for n, r in enumerate(prefix.orderBy("step").collect(), 1):
+    for r in prefix.orderBy("step").collect():
         state = advance(state, blocks, r["sensor_id"], r_sq, triangle)
-        state = cut(state) if n % CHECKPOINT_EVERY == 0 else state.persist()
     return state

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import block_size, transpose
 from ..functions.linalg import cholesky, listed, log_dets, nullable, stacked
 from .blocks import cross_blocks, diagonal_blocks, normalised, oriented, regularize
 from .state import cut
@@ -20,95 +21,116 @@ DENSE_SIDE = 8_000
 PLAIN_SIDE = 2_000
 
 
-def config_submatrix(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
-    """(config_id, i, j, block) for all ordered pairs of positions of each configuration, regularised.
+def config_upper(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+    """(config_id, i, j, block) for the pairs of positions i <= j of each configuration, regularised.
 
-    Only the pairs that configurations use are asked of the matrix, each block once for all of them.
+    The distinct pairs of sensors that configurations use are found first, so each of their blocks
+    leaves the matrix once, whatever the number of configurations.
     """
     a = configs.select("config_id", F.col("position").alias("i"), F.col("sensor_id").alias("s"))
     b = configs.select("config_id", F.col("position").alias("j"), F.col("sensor_id").alias("c"))
-    pairs = a.join(b, "config_id")
-    k = regularize(normalised(blocks, triangle), r_sq)
+    pairs = a.join(b, "config_id").where("i <= j")
     row, col = (F.col("s"), F.col("c")) if triangle == "stored" else (F.least("s", "c"), F.greatest("s", "c"))
     pairs = pairs.withColumn("block_row", row).withColumn("block_col", col)
+    used = pairs.select("block_row", "block_col").distinct()
+    k = regularize(normalised(blocks.join(used, ["block_row", "block_col"], "left_semi"), triangle), r_sq)
     block = F.col("block") if triangle == "stored" else oriented(F.col("block"), F.col("s"), F.col("c"))
     return pairs.join(k, ["block_row", "block_col"]).select("config_id", "i", "j", block.alias("block"))
 
 
+def config_submatrix(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+    """(config_id, i, j, block) for all ordered pairs of positions; below the diagonal those above it, transposed."""
+    own = config_upper(blocks, configs, r_sq, triangle)
+    other = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), transpose(F.col("block"), block_size(F.col("block"))).alias("block"))
+    both = F.array(F.struct("i", "j", "block"), F.when(F.col("i") < F.col("j"), other))
+    return own.select("config_id", F.inline(F.filter(both, lambda x: x.isNotNull())))
+
+
 def config_logdet(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper", dense_side: int = DENSE_SIDE) -> DataFrame:
     """(config_id, logdet); -inf where the determinant isn't positive.
 
-    Configurations of up to dense_side values a side are assembled in one task each. Larger ones
-    are factored block by block, all of them one pivot at a time; there a configuration that isn't
-    positive definite has -inf.
+    Each configuration goes by its own size: one of up to dense_side values a side is assembled in a
+    task, a larger one is eliminated block by block, all of these one pivot at a time. Both track the
+    determinant's sign, so the value doesn't depend on the way; only a pivot block that is exactly
+    singular, which elimination can't step over, gives -inf.
     """
-    sub = config_submatrix(blocks, configs, r_sq, triangle)
+    first = blocks.select(F.size("block")).first()
+    nt = int((first[0] if first else 0) ** 0.5)
+    sizes = cut(configs.groupBy("config_id").agg(F.count("*").alias("n")))
+    most = sizes.agg(F.max("n")).first()[0] or 0
 
     def dense(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, nt = int(pdf["i"].max()) + 1, int(len(pdf["block"].iloc[0]) ** 0.5)
+        n = int(pdf["j"].max()) + 1
         m = np.zeros((n, nt, n, nt))
         for i, j, block in zip(pdf["i"], pdf["j"], pdf["block"], strict=True):
-            m[i, :, j] = np.reshape(block, (nt, nt))
+            own = np.reshape(block, (nt, nt))
+            m[j, :, i] = own.T
+            m[i, :, j] = own
         sign, value = np.linalg.slogdet(m.reshape(n * nt, n * nt))
         return pd.DataFrame({"config_id": [pdf["config_id"].iloc[0]], "logdet": [float(value) if sign > 0 else -np.inf]})
 
-    sizes = configs.groupBy("config_id").count()
-    most = sizes.agg(F.max("count")).first()[0] or 0
-    nt = int((sub.select(F.size("block")).limit(1).collect() or [[0]])[0][0] ** 0.5)
+    of = lambda fits: configs.join(sizes.where(fits).select("config_id"), "config_id", "left_semi")
+    small = F.col("n") * nt <= dense_side
+    dense_ones = config_upper(blocks, of(small), r_sq, triangle).groupBy("config_id").applyInPandas(dense, "config_id int, logdet double")
     if most * nt <= dense_side:
-        return sub.groupBy("config_id").applyInPandas(dense, "config_id int, logdet double")
-    found = pivoted(sub.where("i <= j"), most)
-    return found.select("config_id", F.when(F.col("accepted") == F.col("n"), F.col("logdet")).otherwise(F.lit(float("-inf"))).alias("logdet"))
+        return dense_ones
+    found = pivoted(config_upper(blocks, of(~small), r_sq, triangle), most, definite=False)
+    right = (F.col("accepted") == F.col("n")) & (F.col("sign") > 0)
+    return dense_ones.union(found.select("config_id", F.when(right, F.col("logdet")).otherwise(F.lit(float("-inf")))))
 
 
-def pivoted(upper: DataFrame, n_pivots: int, budget: int | None = None, every: int = 1) -> DataFrame:
-    """Right-looking block Cholesky of many configurations at once.
+def pivoted(upper: DataFrame, n_pivots: int, budget: int | None = None, definite: bool = True) -> DataFrame:
+    """Right-looking block elimination of many configurations at once.
 
-    upper(config_id, i, j, block) has the blocks with i <= j. Pivot by pivot: a position whose
-    remaining diagonal block isn't positive definite is left out, otherwise it is accepted and the
-    blocks after it are updated; after `budget` accepted ones no more are. Returns (config_id, n,
-    accepted, logdet, positions), n being the number of positions; each pivot is one Spark step over
-    all configurations, and the lineage is cut by a checkpoint every few of them.
+    upper(config_id, i, j, block) has the blocks with i <= j. Pivot by pivot: a position is accepted
+    if its remaining diagonal block is positive definite (or, without definite, regular), and the
+    blocks after it are updated; else it is left out. After `budget` accepted ones no more are.
+    Returns (config_id, n, accepted, logdet, sign, positions), n being the number of positions and
+    sign that of the determinant. Each pivot is one Spark step over all configurations; the pivot's
+    row, the rest and the sums are cut by checkpoints, so a pivot is solved once.
     """
-    state = upper
-    done = upper.where("i = j").groupBy("config_id").agg(F.count("*").alias("n")).select("config_id", "n", F.lit(0).alias("accepted"), F.lit(0.0).alias("logdet"), F.array().cast("array<int>").alias("positions"))
+    state = cut(upper)
+    done = state.where("i = j").groupBy("config_id").agg(F.count("*").alias("n")).select("config_id", "n", F.lit(0).alias("accepted"), F.lit(0.0).alias("logdet"), F.lit(1).alias("sign"), F.array().cast("array<int>").alias("positions"))
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 nt = int(len(batch.column(1)[0]) ** 0.5)
-                low, fine = cholesky(stacked(batch.column(1), nt, nt))
-                value = np.where(fine, 2 * np.log(np.where(fine[:, None], np.diagonal(low, axis1=1, axis2=2), 1)).sum(1), np.nan)
-                yield pa.RecordBatch.from_arrays([batch.column(0), listed(low), nullable(value)], ["config_id", "low", "gain"])
+                own = stacked(batch.column(1), nt, nt)
+                sign, value = np.linalg.slogdet(np.where(np.isfinite(own), own, 0))
+                fine = cholesky(own)[1] if definite else np.isfinite(own).all((1, 2)) & (sign != 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nullable(np.where(fine, value, np.nan)), pa.array(sign.astype(np.int32))], ["config_id", "pivot", "gain", "sgn"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 nt = int(len(batch.column(2)[0]) ** 0.5)
                 out = np.linalg.solve(stacked(batch.column(2), nt, nt), stacked(batch.column(3), nt, nt))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed(out)], ["config_id", "j", "u"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), listed(out)], ["config_id", "j", "b", "v"])
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 nt = int(len(batch.column(3)[0]) ** 0.5)
-                block, a, b = (stacked(batch.column(i), nt, nt) for i in (3, 4, 5))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), listed(block - np.swapaxes(a, 1, 2) @ b)], ["config_id", "i", "j", "block"])
+                block, b, v = (stacked(batch.column(i), nt, nt) for i in (3, 4, 5))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), listed(block - np.swapaxes(b, 1, 2) @ v)], ["config_id", "i", "j", "block"])
 
     for p in range(n_pivots):
-        pivot = state.where((F.col("i") == p) & (F.col("j") == p)).select("config_id", "block").mapInArrow(factor, "config_id int, low array<double>, gain double")
+        pivot = state.where((F.col("i") == p) & (F.col("j") == p)).select("config_id", "block").mapInArrow(factor, "config_id int, pivot array<double>, gain double, sgn int")
         pivot = pivot.where("gain is not null")
         if budget is not None:
             pivot = pivot.join(done.where(F.col("accepted") < budget).select("config_id"), "config_id")
+        pivot = cut(pivot)
         row = state.where((F.col("i") == p) & (F.col("j") > p)).select("config_id", "j", F.col("block").alias("b"))
-        u = pivot.join(row, "config_id").select("config_id", "j", "low", "b").mapInArrow(solve, "config_id int, j int, u array<double>")
+        u = cut(pivot.join(row, "config_id").select("config_id", "j", "pivot", "b").mapInArrow(solve, "config_id int, j int, b array<double>, v array<double>"))
         rest = state.where(F.col("i") > p)
-        both = rest.join(u.select("config_id", F.col("j").alias("i"), F.col("u").alias("ui")), ["config_id", "i"], "left").join(u.select("config_id", "j", F.col("u").alias("uj")), ["config_id", "j"], "left")
-        changed = both.where("ui is not null").select("config_id", "i", "j", "block", "ui", "uj").mapInArrow(update, "config_id int, i int, j int, block array<double>")
-        state = changed.unionByName(both.where("ui is null").select("config_id", "i", "j", "block"))
-        done = done.join(pivot.select("config_id", "gain"), "config_id", "left").select("config_id", "n", (F.col("accepted") + F.col("gain").isNotNull().cast("int")).alias("accepted"), (F.col("logdet") + F.coalesce("gain", F.lit(0.0))).alias("logdet"), F.when(F.col("gain").isNull(), F.col("positions")).otherwise(F.concat("positions", F.array(F.lit(p)))).alias("positions"))
-        if p % every == every - 1:
-            state, done = cut(state), cut(done)
+        both = rest.join(u.select("config_id", F.col("j").alias("i"), "b"), ["config_id", "i"], "left").join(u.select("config_id", "j", "v"), ["config_id", "j"], "left")
+        both = cut(both.select("config_id", "i", "j", "block", "b", "v"))
+        changed = both.where("b is not null").mapInArrow(update, "config_id int, i int, j int, block array<double>")
+        state = cut(changed.unionByName(both.where("b is null").select("config_id", "i", "j", "block")))
+        took = F.col("gain").isNotNull()
+        done = done.join(pivot.select("config_id", "gain", "sgn"), "config_id", "left")
+        done = cut(done.select("config_id", "n", (F.col("accepted") + took.cast("int")).alias("accepted"), (F.col("logdet") + F.coalesce("gain", F.lit(0.0))).alias("logdet"), (F.col("sign") * F.coalesce("sgn", F.lit(1))).alias("sign"), F.when(took, F.concat("positions", F.array(F.lit(p)))).otherwise(F.col("positions")).alias("positions")))
     return done
 
 
@@ -148,7 +170,7 @@ def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: s
     if k * nt > plain_side:
         from .greedy import resume_state  # which is built on this module
 
-        return resume_state(blocks, selected.select(F.col("position").alias("step"), "sensor_id"), r_sq, triangle).select("sensor_id", "score")
+        return resume_state(blocks, selected.select(F.col("position").alias("step"), "sensor_id"), r_sq, triangle).scores()
     first = selected.select(F.lit(0).alias("config_id"), "position", "sensor_id")
     sub = config_submatrix(blocks, first, r_sq, triangle).collect()
     m = np.zeros((k, nt, k, nt))
@@ -163,7 +185,9 @@ def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = np.linalg.solve(low.value, r_sq * stacked(batch.column(1), k * nt, nt))
+                # One factorisation a batch: the candidates' right-hand sides lie side by side.
+                sides = np.moveaxis(r_sq * stacked(batch.column(1), k * nt, nt), 0, 1).reshape(k * nt, -1)
+                y = np.linalg.solve(low.value, sides).reshape(k * nt, -1, nt).swapaxes(0, 1)
                 schur = stacked(batch.column(2), nt, nt) - np.swapaxes(y, 1, 2) @ y
                 yield pa.RecordBatch.from_arrays([batch.column(0), nullable(log_dets(schur))], ["sensor_id", "score"])
 

@@ -66,10 +66,11 @@ def merge_io(events: DataFrame, keys: tuple[str, ...] = ("candidate",)) -> DataF
     return bars.where("dur_ms > 0")
 
 
-def dispatch_gaps(bars: DataFrame, events: DataFrame, main: DataFrame, x: int, keys: tuple[str, ...] = ("candidate",), order: str = "event_seq") -> DataFrame:
+def dispatch_gaps(bars: DataFrame, events: DataFrame, main: DataFrame, x: int | None = None, keys: tuple[str, ...] = ("candidate",), order: str = "event_seq") -> DataFrame:
     """Bars of 1 ms or more between a candidate's I/O and the start of its compute (its last one in order)
-    that no main event of that candidate covers."""
-    gpu = events.where((F.col("lane") == "gpu") & (F.col("name") == GPU_NAME) & F.col("candidate").between(max(x - 1, 0), x + 4))
+    that no main event of that candidate covers; of the candidates shown for x, or of all."""
+    shown = F.lit(True) if x is None else F.col("candidate").between(max(x - 1, 0), x + 4)
+    gpu = events.where((F.col("lane") == "gpu") & (F.col("name") == GPU_NAME) & shown)
     gpu = gpu.groupBy(*keys).agg(F.max_by("start_ms", order).alias("gpu_start"))
     gaps = bars.select(*keys, end_ms().alias("io_end")).join(gpu, list(keys)).where(F.col("gpu_start") - F.col("io_end") >= MAIN_MIN_MS)
     cover = main.select(*(F.col(c).alias(f"m_{c}") for c in keys), F.col("start_ms").alias("m_start"), end_ms().alias("m_end"))

@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.linalg import listed, stacked
+from ..functions.linalg import listed
 
-N_LON = 12
 WINDOW = 48
+#: Sensors a side of the tiles in which the matrix is made.
+TILE = 32
 R_SQ = 4.0
 #: The timed parts of a candidate, in order.
 SEGMENTS = ("h2d_si", "h2d_ii", "cast_si", "cast_ii", "scale_si", "trsm", "scale_ii_diag", "schur_gemm", "chol")
@@ -28,20 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """(n_lon, n_lat): the grid grows with the number of events."""
-    n = table(spark, sf_dir, "events").count()
-    return N_LON, 5 if n < 5_000 else 10 if n < 50_000 else 50
+    """(n_lon, n_lat): one place for each embedding, as nearly square as their number allows, n_lon <= n_lat."""
+    n = table(spark, sf_dir, "embeddings").count()
+    n_lon = max((d for d in range(1, int(n**0.5) + 1) if n % d == 0), default=1)
+    return n_lon, n // n_lon
 
 
-GRID = "g AS (SELECT CASE WHEN count(*) < 5000 THEN 5 WHEN count(*) < 50000 THEN 10 ELSE 50 END AS n_lat, 12 AS n_lon FROM events)"
+GRID = "g AS (SELECT max(d) AS n_lon, any_value(n) // max(d) AS n_lat FROM (SELECT count(*) AS n FROM embeddings), range(1, 100000) x(d) WHERE d * d <= n AND n % d = 0)"
 SENSORS = f"""{GRID}, sensors AS (SELECT vec_id::INT AS sensor_id, (vec_id // n_lat)::INT AS lon_idx, (vec_id % n_lat)::INT AS lat_idx,
-  -128 + 0.25::DOUBLE * (vec_id // n_lat) AS lon, 40 + 0.2::DOUBLE * (vec_id % n_lat) AS lat, embedding FROM embeddings, g WHERE vec_id < n_lon * n_lat)"""
+  -128 + 0.25::DOUBLE * (vec_id // n_lat) AS lon, 40 + 0.2::DOUBLE * (vec_id % n_lat) AS lat, embedding FROM embeddings, g)"""
 
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sensor_id, lon_idx, lat_idx, lon, lat), latitude contiguous."""
-    n_lon, n_lat = grid(spark, sf_dir)
-    own = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n_lon * n_lat).select(F.col("vec_id").cast("int").alias("sensor_id"))
+    """(sensor_id, lon_idx, lat_idx, lon, lat), a sensor for each embedding, latitude contiguous."""
+    n_lat = grid(spark, sf_dir)[1]
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("sensor_id"))
     lon, lat = F.floor(F.col("sensor_id") / n_lat).cast("int"), F.col("sensor_id") % n_lat
     return own.select("sensor_id", lon.alias("lon_idx"), lat.alias("lat_idx"), (F.lit(-128.0) + 0.25 * lon).alias("lon"), (F.lit(40.0) + 0.2 * lat).alias("lat"))
 
@@ -52,28 +54,30 @@ def k_blocks(spark: SparkSession, sf_dir: str, nt: int = 4, variant: str = "") -
     variant: nan (not-a-number off the diagonal of some diagonal blocks), bad (some diagonal blocks
     are -10 I), reject and corner (off-diagonal blocks times 3 and 5), lopsided (lower triangle times 2).
     """
-    n_lon, n_lat = grid(spark, sf_dir)
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n_lon * n_lat).select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = table(spark, sf_dir, "embeddings").select(F.struct(F.col("vec_id").cast("int").alias("id"), F.col("embedding").cast("array<double>").alias("e")).alias("r"))
+    tiles = rows.groupBy(F.floor(F.col("r.id") / TILE).alias("t")).agg(F.collect_list("r").alias("r")).select("t", F.col("r.id").alias("id"), F.col("r.e").alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.stack([stacked(batch.column(i), 64)[:, t : t + WINDOW] for t in range(nt)], 1) for i in (1, 3))
-            block = np.einsum("nti,nui->ntu", a, b)
-            i, j = (batch.column(x).to_numpy() for x in (0, 2))
-            same = i == j
-            if variant == "nan":
-                block[(same & (i % 10 == 3))[:, None, None] & ~np.eye(nt, dtype=bool)] = np.nan
-            elif variant == "bad":
-                block[same & (i % 13 == 5)] = -10 * np.eye(nt)
-            elif variant in ("reject", "corner"):
-                block[~same] *= {"reject": 3, "corner": 5}[variant]
-            elif variant == "lopsided":
-                block[i > j] *= 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), listed(block)], ["block_row", "block_col", "block"])
-
-    # The matrix has a block for every pair of sensors.
-    pairs = rows.crossJoin(rows.select(F.col("id").alias("id2"), F.col("e").alias("e2"))).select("id", "e", "id2", "e2")
-    return pairs.mapInArrow(run, "block_row int, block_col int, block array<double>")
+            for ida, ea, idb, eb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                a, b = (np.stack([np.array(e)[:, t : t + WINDOW] for t in range(nt)], 1) for e in (ea, eb))
+                block = np.einsum("ati,bui->abtu", a, b).reshape(-1, nt, nt)
+                i, j = np.repeat(np.array(ida, np.int32), len(idb)), np.tile(np.array(idb, np.int32), len(ida))
+                same = i == j
+                if variant == "nan":
+                    block[(same & (i % 10 == 3))[:, None, None] & ~np.eye(nt, dtype=bool)] = np.nan
+                elif variant == "bad":
+                    block[same & (i % 13 == 5)] = -10 * np.eye(nt)
+                elif variant in ("reject", "corner"):
+                    block[~same] *= {"reject": 3, "corner": 5}[variant]
+                elif variant == "lopsided":
+                    block[i > j] *= 2
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), listed(block)], ["block_row", "block_col", "block"])
+
+    # The matrix has a block for every pair of sensors; they are made tile by tile.
+    pairs = tiles.crossJoin(tiles.select(F.col("t").alias("t2"), F.col("id").alias("id2"), F.col("e").alias("e2")))
+    pairs = pairs.repartition(spark.sparkContext.defaultParallelism, "t", "t2")
+    return pairs.select("id", "e", "id2", "e2").mapInArrow(run, "block_row int, block_col int, block array<double>")
 
 
 def k_sql(nt: int, variant: str = "", name: str = "k") -> str:
@@ -111,14 +115,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("sample_id"), F.when(F.col("event_id") % 50 == 0, F.lit(float("inf"))).otherwise(F.col("value") + 100).alias("logdet"))
 
 
-SELECTION = "selection AS (SELECT event_id::INT AS step, ((event_id * 7) % (SELECT n_lon * n_lat FROM g))::INT AS sensor_id, value AS gain, sum(value) OVER (ORDER BY event_id) AS logdet FROM events WHERE event_id < (SELECT n_lon * n_lat // 2 FROM g))"
+SELECTION = "selection AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS step, vec_id::INT AS sensor_id, embedding[1]::DOUBLE AS gain, sum(embedding[1]::DOUBLE) OVER (ORDER BY vec_id) AS logdet FROM embeddings WHERE embedding[1] > 0)"
 
 
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(step, sensor_id, gain): a selection of half the sensors."""
-    n_lon, n_lat = grid(spark, sf_dir)
-    own = table(spark, sf_dir, "events").where(F.col("event_id") < n_lon * n_lat // 2)
-    return own.select(F.col("event_id").cast("int").alias("step"), (F.col("event_id") * 7 % (n_lon * n_lat)).cast("int").alias("sensor_id"), F.col("value").alias("gain"))
+    """(step, sensor_id, gain): a selection of the sensors whose embedding begins above zero, about half of them."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("sensor_id"), F.get("embedding", F.lit(0)).cast("double").alias("gain")).where("gain > 0")
+    return own.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sensor_id")) - 1).alias("step"), "sensor_id", "gain")
 
 
 RAW = """raw AS (SELECT ranks, run, rank, sum(io) AS io, sum(compute) AS compute, sum(io + compute) AS wall, sum(comm) AS comm FROM (

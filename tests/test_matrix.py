@@ -14,11 +14,22 @@ from sitescore.streaming.merge import merge_rank_files_stream
 R = 4.0
 #: Picks and log-determinant on the smallest tables, by block size.
 EXPECTED = {1: ([40, 49, 24, 41, 28], 7.447413182), 2: ([49, 40, 41, 28, 3], 14.733867973), 4: ([49, 40, 28, 36, 16], 28.539308961)}
+N = 60
+
+
+def matrix_of(spark, sf, nt, variant="", n=N):
+    """The blocks of the first n sensors of the fixture."""
+    return cut(fixtures.k_blocks(spark, sf, nt, variant).where(f"block_row < {n} and block_col < {n}"))
+
+
+@pytest.fixture(scope="module")
+def everyone(spark, sf):
+    return fixtures.sensors(spark, sf).where(f"sensor_id < {N}")
 
 
 @pytest.fixture(scope="module")
 def k4(spark, sf):
-    return cut(fixtures.k_blocks(spark, sf, 4))
+    return matrix_of(spark, sf, 4)
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +59,7 @@ def configs(spark, lists):
 
 @pytest.mark.parametrize("nt", EXPECTED)
 def test_greedy_picks(spark, sf, nt):
-    found = greedy.greedy_select(cut(fixtures.k_blocks(spark, sf, nt)), 5, R).orderBy("step").collect()
+    found = greedy.greedy_select(matrix_of(spark, sf, nt), 5, R).orderBy("step").collect()
     assert [r["sensor_id"] for r in found] == EXPECTED[nt][0]
     assert found[-1]["logdet"] == pytest.approx(EXPECTED[nt][1], abs=1e-8)
 
@@ -78,7 +89,7 @@ def test_config_scores(spark, k4, dense, dense_side):
 
 
 def test_non_definite_blocks(spark, sf):
-    k = cut(fixtures.k_blocks(spark, sf, 2, "bad"))
+    k = matrix_of(spark, sf, 2, "bad")
     bad = {s for s in range(60) if s % 13 == 5}
     assert {r["sensor_id"] for r in baseline.prescreen(k).where("not kept").collect()} == bad
     scores = objective.singleton_scores(k, R)
@@ -86,10 +97,14 @@ def test_non_definite_blocks(spark, sf):
     assert objective.failed_candidates(scores).first()[0] == len(bad)
     picked = [r["sensor_id"] for r in greedy.greedy_select(k, 4, R).collect()]
     assert len(picked) == 4 and not bad & {*picked}
-    single = cut(fixtures.k_blocks(spark, sf, 1, "bad"))  # two values a sensor would make the determinant positive
-    for side in (8_000, 0):
-        got = objective.config_logdet(single, configs(spark, [[5, 1], [1, 2]]), R, dense_side=side).orderBy("config_id").collect()
-        assert got[0]["logdet"] == -math.inf and got[1]["logdet"] > 0
+    # Two values a sensor make the determinant positive, one value doesn't; by either way, mixed sizes too.
+    for nt in (1, 2):
+        own = matrix_of(spark, sf, nt, "bad")
+        m, lists = assemble(own), [[5, 1], [1, 2], [5, 18, 1], [1, 2, 3, 5]]
+        for side in (8_000, 2 * nt, 0):
+            got = objective.config_logdet(own, configs(spark, lists), R, dense_side=side).orderBy("config_id").collect()
+            assert [r["logdet"] for r in got] == pytest.approx([logdet(m, ids) for ids in lists])
+        assert (got[0]["logdet"] == -math.inf) == (nt == 1)
 
 
 def test_budgets_and_no_valid_candidate(spark, sf, k4):
@@ -112,15 +127,45 @@ def test_resume_is_the_straight_run(spark, k4, tmp_path):
     assert [r["sensor_id"] for r in resumed] == [r["sensor_id"] for r in straight]
     assert [r["logdet"] for r in resumed] == pytest.approx([r["logdet"] for r in straight])
     state = greedy.resume_state(k4, greedy.read_selection(spark, path), R)
-    assert state.count() == 59
+    assert state.scores().count() == 59
     assert greedy.read_selection(spark, str(tmp_path / "nothing")).count() == 0
-
-
-def test_stored_and_upper_triangles(spark, sf):
-    k = cut(fixtures.k_blocks(spark, sf, 2, "lopsided"))
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    assert greedy.read_selection(spark, str(tmp_path / "broken")).count() == 0
+
+
+def test_a_long_selection(spark, sf, tmp_path):
+    """25 picks, over two chunks and two saves, against dense algebra; the plan of a pick doesn't grow."""
+    k = matrix_of(spark, sf, 2)
+    path = str(tmp_path / "blocks")
+    blocks.write_blocks(k.where("block_row <= block_col"), path)
+    own, m = blocks.read_blocks(spark, path), assemble(k)
+    saved = str(tmp_path / "saved")
+    found = greedy.greedy_select(own, 25, R, checkpoint=saved).orderBy("step").collect()
+    ids: list[int] = []
+    for r in found:
+        gains = {c: logdet(m, [*ids, c]) for c in range(N) if c not in ids}
+        assert gains[r["sensor_id"]] == pytest.approx(max(gains.values()), abs=1e-9)
+        ids.append(r["sensor_id"])
+        assert r["logdet"] == pytest.approx(gains[r["sensor_id"]])
+    assert greedy.read_selection(spark, saved).orderBy("step").collect() == found
+    state = greedy.resume_state(own, greedy.read_selection(spark, saved).where("step < 22"), R)
+    assert len(state.chunks) == 2 and state.n_recent == 2
+    assert {r["sensor_id"]: r["score"] for r in state.scores().collect()} == pytest.approx({c: logdet(m, [*ids[:22], c]) - logdet(m, ids[:22]) for c in range(N) if c not in ids[:22]})
+    assert len(state.front._jdf.queryExecution().logical().toString().splitlines()) < 5
+
+
+def test_a_row_is_read_by_its_sensor(spark, sf, tmp_path):
+    path = str(tmp_path / "blocks")
+    blocks.write_blocks(fixtures.k_blocks(spark, sf, 1), path)
+    plan = greedy.matrix_row(blocks.read_blocks(spark, path), 7)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(block_row,7)" in plan.split("PushedFilters")[1]
+
+
+def test_stored_and_upper_triangles(spark, sf, everyone):
+    k = matrix_of(spark, sf, 2, "lopsided")
     m = assemble(k)
     own = configs(spark, [[9, 4]]).select("position", "sensor_id")
-    everyone = fixtures.sensors(spark, sf)
     for triangle in ("upper", "stored"):
         for r in blocks.cross_blocks(k, own, everyone, triangle).collect():
             s, c = r["sensor_id"], r["candidate"]
@@ -142,9 +187,9 @@ def walk(m, order, budget):
 
 
 @pytest.mark.parametrize("dense_side", [8_000, 0])
-def test_random_configs(spark, sf, dense_side):
-    k = cut(fixtures.k_blocks(spark, sf, 1, "reject"))
-    m, everyone = assemble(k), fixtures.sensors(spark, sf)
+def test_random_configs(spark, sf, everyone, dense_side):
+    k = matrix_of(spark, sf, 1, "reject")
+    m = assemble(k)
     budget = 10 if dense_side else 3
     orders: dict = {}
     for r in baseline.random_orders(everyone, spark.range(5).selectExpr("cast(id as int) sample_id"), 42).orderBy("sample_id", "position").collect():
@@ -156,15 +201,17 @@ def test_random_configs(spark, sf, dense_side):
         assert (r["sensors"], r["retries"]) == (ids, 0) and r["logdet"] == pytest.approx(total)
 
 
-def test_cornered_samples_are_retried(spark, sf):
-    k, everyone = cut(fixtures.k_blocks(spark, sf, 1, "corner")), fixtures.sensors(spark, sf)
-    found = baseline.random_configs(k, everyone, 5, 10, 1.0, 42, max_attempts=4).collect()
+def test_cornered_samples_are_retried(spark, sf, everyone):
+    k = matrix_of(spark, sf, 1, "corner")
+    found = baseline.random_configs(k, everyone, 5, 10, 1.0, 42).collect()
     assert len(found) == 5 and any(r["retries"] for r in found)
-    assert all(len(set(r["sensors"])) == 10 for r in found if r["logdet"] is not None)
+    assert all(len(set(r["sensors"])) == 10 and r["logdet"] is not None for r in found)
+    with pytest.raises(ValueError):
+        baseline.random_configs(k, everyone, 1, 61, 1.0, 42)
 
 
 def test_baseline_run_goes_on(spark, sf, tmp_path):
-    k, path = cut(fixtures.k_blocks(spark, sf, 2, "bad")), str(tmp_path / "samples")
+    k, path = matrix_of(spark, sf, 2, "bad"), str(tmp_path / "samples")
     first = baseline.baseline_run(k, path, 2, 4, R, 42, "3").first()
     assert (first["n_samples"], first["n_screened"]) == (2, 5)
     assert baseline.baseline_run(k, path, 5, 4, R, 42, "3").first()["n_samples"] == 5
@@ -184,8 +231,9 @@ def test_uniform_config_has_its_budget(spark, n_lon, n_lat, budget):
 
 
 def test_synthetic_blocks_ignore_partitioning(spark):
-    a = blocks.synthetic_blocks(spark, 5, 3, "single", 7)
-    b = blocks.synthetic_blocks(spark.newSession(), 5, 3, "single", 7).repartition(3)
+    five = spark.range(5).selectExpr("cast(id as int) sensor_id")
+    a = blocks.synthetic_blocks(five, 3, "single", 7)
+    b = blocks.synthetic_blocks(five.repartition(3), 3, "single", 7).repartition(3)
     one, two = ({(r[0], r[1]): tuple(r[2]) for r in x.collect()} for x in (a, b))
     assert one == two and len(one) == 25
     assert blocks.matrix_bytes(600, 420, "double") == 252_000**2 * 8
@@ -201,13 +249,33 @@ def test_merge_twice_is_merge_once(spark, tmp_path):
         assert sorted(r[0] for r in merge_rank_files_stream(spark, source, out, state).collect()) == [1.5, 2.5, 4.5]
 
 
+def test_lines_appended_to_a_known_file_are_merged(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    rank = [tmp_path / "in" / f"samples.rank{i}.txt" for i in range(2)]
+    want = []
+    for part in range(3):
+        for i, path in enumerate(rank):
+            with path.open("a") as f:
+                f.write("".join(f"{100 * part + 10 * i + n}\n" for n in range(5)))
+            want += [100.0 * part + 10 * i + n for n in range(5)]
+        for _ in range(2):
+            assert sorted(r[0] for r in merge_rank_files_stream(spark, source, out, state).collect()) == sorted(want)
+    with rank[0].open("a") as f:
+        f.write("7")  # a line that isn't finished
+    assert merge_rank_files_stream(spark, source, out, state).count() == len(want)
+    with rank[0].open("a") as f:
+        f.write("77\n")
+    assert sorted(r[0] for r in merge_rank_files_stream(spark, source, out, state).collect()) == sorted([*want, 777.0])
+
+
 def test_batched_cholesky_falls_back():
     good, bad = np.array([[2.0, 1], [1, 2]]), np.array([[1.0, 2], [2, 1]])
     got = linalg.log_dets(np.stack([good, bad, good, np.full((2, 2), np.nan)]))
     assert got[0] == got[2] == pytest.approx(math.log(3)) and np.isnan(got[[1, 3]]).all()
 
 
-def test_uniform_score(spark, sf, k4, dense):
+def test_uniform_score(spark, k4, dense):
     ids = sorted(r[0] for r in baseline.uniform_config(spark, 12, 5, 17, 42).collect())
     assert baseline.uniform_score(k4, 12, 5, 17, R, 42).first()[0] == pytest.approx(logdet(dense, ids))
 

@@ -2,75 +2,100 @@
 
 Pages are put in the order of host and URL path; a page is paired with its neighbours there. The
 text lines (blocks) of a pair are aligned by a longest common subsequence, and what neighbours
-share is template: shared lines are deleted. Elements that say what they are (menus, forms,
-adverts and the like) go by their markup, and lines inside an element that says it is the
-article stay even if another page repeats them.
+share is template: shared lines are deleted. Two kinds of lines don't leave it to the neighbours:
+elements whose kind is a menu, header, footer, form or aside go, and so do containers whose whole
+name says advert, comments and the like; and lines inside an element that says it is the article
+stay, since passages of articles repeat across pages as well.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Neighbours on each side.
 NEIGHBOURS = 2
-#: Pages that share so much of their text are copies of each other, which tell nothing about the template.
+#: Pages that share so much of their text, beside neighbours that share less, are copies of each other,
+#: which tell nothing about the template.
 COPY = 0.8
+#: Ranges of pages for each shuffle partition.
+RANGES = 3
 #: Cells of an alignment kept at once; larger ones are halved.
 CELLS = 1 << 28
 
 # Elements by their part in a page.
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option button audio video".split())
-PRUNED = frozenset("nav header footer aside form menu dialog".split())
+RAW = frozenset("script style textarea title iframe noframes noembed xmp".split())
+PRUNED = frozenset("nav header footer aside form menu dialog select button template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements that hold others; a name rules out these alone, no paragraph, heading or cell.
+CONTAINERS = frozenset("div section ul ol dl ins table details figure center".split())
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+LISTS = ("ul", "ol", "dl", "table")
+SCOPE = ("table", "td", "th", "button", "article", "section", "main", "div")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 ARTICLE_CLASSES = frozenset("article-body articlebody article-content post-content post-body entry-content story-body main-content articlecontent".split())
-#: Words of class and id names that mark what isn't the article.
+#: Words of class and id names that mark what isn't the article, if all other words of the name say no more than where or how large it is.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
-    "login register share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets "
-    "pagination pager toolbar skip copyright legal disclaimer paywall form search "
-    "adsbygoogle adbox adslot adunit adcontainer cookiebar cookiebanner noticebar sitenav topnav sidenav siteheader sitefooter pageheader pagefooter discussion".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar footer header masthead topbar cookie cookies consent gdpr notice notices popup modal newsletter comment comments disqus pagination pager".split()
 )
+NEUTRAL = frozenset("box bar block list item container wrapper wrap slot unit area section inner outer top bottom left right main site page global primary secondary sticky fixed module panel group thread form links widget policy cookie".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A tag whose quoted values may hold >; quotes without a second one are plain characters.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+ENDS = {x: re.compile(rf"</{x}(?![^\s/>])", re.I | re.A) for x in RAW}
 
 
 @dataclass
 class Page:
-    """The lines of a page that markup doesn't rule out; inside tells those of the article; article, if there is one."""
+    """The lines of a page that markup doesn't rule out; inside tells those of the article; article, if there is one;
+    shares has, for each neighbour that isn't an exact copy, the places of the lines that it shares and their part
+    of the smaller page's text."""
 
     lines: list[str] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)
     article: bool = False
-    shared: list[int] = field(default_factory=list)
-    usable: int = 0
+    shares: list[tuple[list[int], float]] = field(default_factory=list)
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
 
 
-def marked(own: dict[str, str]) -> bool:
-    """Whether an element's attributes say that it isn't the article, or isn't shown."""
-    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in ROLES:
-        return True
-    if "display:none" in own.get("style", "").replace(" ", "").lower():
-        return True
-    return any(x.lower() in MARKS for x in PARTS.findall(f"{own.get('class', '')} {own.get('id', '')}"))
+def named(value: str) -> str:
+    """The word of MARKS of a class or id name that has one and else only words of NEUTRAL, or an empty text."""
+    found = ""
+    for x in map(str.lower, PARTS.findall(value)):
+        whole = x in MARKS
+        found = x if whole else found
+        if not whole and x not in NEUTRAL and not x.isdigit():
+            return ""
+    return found
+
+
+def marked(name: str, own: dict[str, str]) -> str:
+    """What in an element's attributes says that it isn't the article, or an empty text."""
+    if (role := own.get("role", "").strip().lower()) in ROLES:
+        return role
+    if name not in CONTAINERS:
+        return ""
+    return next(filter(None, map(named, [*own.get("class", "").split(), own.get("id", "")])), "")
 
 
 def article_like(name: str, own: dict[str, str]) -> int:
@@ -80,86 +105,136 @@ def article_like(name: str, own: dict[str, str]) -> int:
     return int(name == "main" or own.get("role", "").lower() == "main")
 
 
+class Tree:
+    """The open elements: whether each rules its text out (1: but for headings), and how much of an article
+    it is. Where elements of a name are is kept beside, so that closing one needs no search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, closed: int, level: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, closed, level))
+
+    def last(self, names) -> int:
+        return max((x[-1] for n in names if (x := self.places.get(n))), default=0)
+
+    def close(self, names, until=()) -> None:
+        """End the innermost element of names, and all in it, unless one of until is further in."""
+        at = self.last(names)
+        if at and at > self.last(until):
+            while len(self.stack) > at:
+                self.places[self.stack.pop()[0]].pop()
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, slash, name, attributes) of each stretch of text and the tag after it, in one pass: what was
+    looked for in vain isn't looked for again. Comments and declarations have no name, the content of
+    RAW elements isn't given."""
+    at, n, start = 0, len(html), 0
+    tag, missing = TAG, set()
+    letter = lambda c: c.isascii() and c.isalpha()
+
+    def ahead(what: str, place: int) -> int:
+        found = -1 if what in missing else html.find(what, place)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while at < n:
+        at = html.find("<", at)
+        if at < 0 or at + 1 >= n:
+            break
+        c = html[at + 1]
+        if html.startswith("<!--", at):
+            end = ahead("-->", at + 4)
+            yield html[start:at], "", "", ""
+            start = at = n if end < 0 else end + 3
+        elif html.startswith("<![CDATA[", at) and (end := ahead("]]>", at + 9)) >= 0:
+            yield html[start:at] + html[at + 9 : end].replace("&", "&amp;"), "", "", ""
+            start = at = end + 3
+        elif c in "!?/" or letter(c):
+            end = ahead(">", at + 1)
+            if end < 0:  # a tag that doesn't end before the page does
+                yield html[start:at], "", "", ""
+                return
+            if not letter(html[at + 2 : at + 3] if c == "/" else c):
+                yield html[start:at], "", "", ""
+                start = at = end + 1
+                continue
+            m = tag.match(html, at)
+            if m is None:  # no tag ends outside quotes from here on
+                tag = PLAIN_TAG
+                m = tag.match(html, at)
+            name = m[2].lower()
+            yield html[start:at], m[1], name, m[3]
+            start = at = m.end()
+            if name in RAW and not m[1] and name not in missing:
+                end = ENDS[name].search(html, at)
+                if end:
+                    start = at = end.start()
+                elif name in ("script", "style"):
+                    return
+                else:
+                    missing.add(name)
+        else:
+            at += 1
+    yield html[start:], "", "", ""
+
+
 def parse(html: str | None) -> Page:
     """Lines of a page in order: text between block boundaries, references decoded, white space made
     one space. Elements may be left open, as a browser allows. Of a header inside the article its
     headings count."""
-    html = html or ""
     out: list[tuple[str, int]] = []
-    #: name, whether it rules its text out (1: but for headings), how much of an article it is
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    tree = Tree()
     text: list[str] = []
-    low = ""
 
     def flush() -> None:
         if text:
             line = " ".join(unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, stack[-1][2]))
-
-    def pop(names: set[str], until: frozenset[str] | set[str] = frozenset()) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return True
-            if stack[i][0] in until:
-                return False
-        return False
-
-    at, n = 0, len(html)
-    while at < n:
-        m = TAG.search(html, at)
-        until = m.start() if m else n
-        if until > at and not stack[-1][1]:
-            text.append(html[at:until])
-        if m is None:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA[") and not stack[-1][1]:
-                text.append(m[0][9:-3].replace("&", "&amp;"))
-            continue
-        if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                low = low or html.lower()
-                end = low.find(f"</{name}", at)
-                at = n if end < 0 else end
+                out.append((line, tree.stack[-1][2]))
+
+    for before, slash, name, rest in tokens(html or ""):
+        if before and not tree.stack[-1][1]:
+            text.append(before)
+        if not name or name in RAW:
             continue
         if name in BLOCKS:
             flush()
-        elif name in ("br", "td", "th") and not stack[-1][1]:
+        elif name in ("br", "td", "th") and not tree.stack[-1][1]:
             text.append(" ")
-        if m[1]:
-            if not any(x[0] == name for x in stack):
-                continue
-            pop({name})
+        if slash:
+            tree.close((name,))
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or rest.endswith("/"):
             continue
         if name in BLOCKS:
-            pop({"p"}, {"table", "td", "th", "button", "article", "section", "main", "div"} if name != "p" else {"table", "td", "th", "article", "section", "main", "div"})
+            tree.close(("p",), SCOPE)
         if name in CLOSED_BY:
-            pop(CLOSED_BY[name], {"ul", "ol", "dl", "table"} - {name})
-        own = attributes(m[3])
-        _, closed, level = stack[-1]
+            tree.close(CLOSED_BY[name], LISTS)
+        own = attributes(rest)
+        _, closed, level = tree.stack[-1]
         like = article_like(name, own)
         if name in HEADINGS and closed == 1:
-            stack.append((name, 0, level))
+            tree.push(name, 0, level)
             continue
-        if name not in ("html", "body", "main") and own and marked(own) and not (like == 2 and name != "article"):
-            names = {x.lower() for x in PARTS.findall(f"{own.get('class', '')} {own.get('id', '')}")}
-            closed = 1 if closed <= 1 and level and names & MARKS == {"header"} else 2
-        elif name in PRUNED:
-            closed = 1 if closed <= 1 and level and name == "header" else 2
-        elif like and closed == 2 and not any(x[0] in PRUNED for x in stack):
-            closed = 0  # a container was ruled out by its name, yet it holds the article
-            level = 0
-        stack.append((name, closed, max(level, like)))
+        mark = "" if name in ("html", "body", "main") or like == 2 else marked(name, own)
+        if mark or name in PRUNED:
+            closed = 1 if closed <= 1 and level and "header" in (mark, name) else 2
+        elif like and closed == 2 and not tree.last(PRUNED):
+            closed, level = 0, 0  # a container was ruled out by its name, yet it holds the article
+        if name in BLOCKS or name in PRUNED or closed != tree.stack[-1][1] or like > level or name in ("td", "th") or tree.last((name,)):
+            tree.push(name, closed, max(level, like))
     flush()
     best = max((x for _, x in out), default=0)
-    return Page([x for x, _ in out], [best > 0 and x == best for _, x in out], best > 0, [0] * len(out))
+    size = [sum(len(line) for line, x in out if x == level) for level in (1, 2)]
+    if size[0] > size[1]:  # of a main part with little in articles, these are teasers
+        out, best = [(line, min(x, 1)) for line, x in out], 1
+    return Page([x for x, _ in out], [best > 0 and x == best for _, x in out], best > 0)
 
 
 def common(a: list, b: list) -> list[tuple[int, int]]:
@@ -210,23 +285,31 @@ def lengths(x: list, y: list) -> list[int]:
 
 
 def compare(a: Page, b: Page) -> None:
-    """Note on both pages which lines they share, unless they are copies."""
-    pairs = common(a.lines, b.lines)
-    size = sum(len(a.lines[i]) for i, _ in pairs)
-    if size > COPY * min(sum(map(len, a.lines)), sum(map(len, b.lines))):
+    """Note on both pages which lines they share, if they aren't copies of each other."""
+    if not a.lines or not b.lines or a.lines == b.lines:
         return
-    a.usable += 1
-    b.usable += 1
-    for i, j in pairs:
-        a.shared[i] += 1
-        b.shared[j] += 1
+    pairs = common(a.lines, b.lines)
+    share = sum(len(a.lines[i]) for i, _ in pairs) / min(sum(map(len, a.lines)), sum(map(len, b.lines)))
+    a.shares.append(([i for i, _ in pairs], share))
+    b.shares.append(([j for _, j in pairs], share))
 
 
 def main_text(page: Page) -> tuple[str, int]:
-    """The lines left, joined by \\n, and how many were deleted as shared. A line is template if two
-    neighbours have it, or the one neighbour that there is; lines inside the article stay."""
-    need = min(2, page.usable)
-    template = [bool(need) and s >= need and not inside for s, inside in zip(page.shared, page.inside, strict=True)]
+    """The lines left, joined by \\n, and how many were deleted as shared.
+
+    A line is template if two neighbours have it, or the one neighbour that there is. A neighbour that
+    shares more than COPY of the text, where another shares less, is a near copy and tells nothing;
+    where all share that much, a long template has little text in it. Lines inside the article stay.
+    """
+    told = page.shares
+    if any(share <= COPY for _, share in told):
+        told = [x for x in told if x[1] <= COPY]
+    votes = [0] * len(page.lines)
+    for places, _ in told:
+        for i in places:
+            votes[i] += 1
+    need = min(2, len(told))
+    template = [bool(need) and v >= need and not inside for v, inside in zip(votes, page.inside, strict=True)]
     kept = [x for x, t, inside in zip(page.lines, template, page.inside, strict=True) if not t and (inside or not page.article)]
     return "\n".join(kept), sum(template)
 
@@ -241,10 +324,13 @@ def host_and_path() -> tuple:
 def extract(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """One row (page_id, url, text, n_template) for each row of pages(page_id, url, html, ...).
 
-    Null and empty pages have an empty text. Pages are dealt out by ranges of (host, path, page_id),
-    so a host of any size spreads over many tasks, and compared in that order as they stream by; a
-    page at the edge of a range has its neighbours on one side, and a page without a URL has none.
-    Repeated rows come back as often as they came; other columns are ignored.
+    Null and empty pages have an empty text; pages of any length are read whole, in time linear in
+    their length. Pages are dealt out by ranges of (host, path, page_id), so a host of any size
+    spreads over many tasks, and compared in that order as they stream by. The last pages of a range
+    are also given to the ranges after it, and the first ones to those before it, so the result
+    doesn't depend on where ranges end. Pages that tie in host, path and page_id are ordered by the
+    hash of url and html. A page without a URL has no neighbours. Repeated rows come back as often as
+    they came; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,25 +344,72 @@ def extract(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
 
         def leave(keep: int) -> None:
             while len(window) > keep:
-                page_id, url, _, page = window.popleft()
-                done.append((page_id, url, *main_text(page)))
+                page_id, url, _, page, own = window.popleft()
+                if own:
+                    done.append((page_id, url, *main_text(page)))
 
+        range_ = None
         for batch in batches:
             for row in range(batch.num_rows):
-                page_id, url, host, html = (batch.column(i)[row].as_py() for i in range(4))
+                part, page_id, url, host, html, own = (batch.column(i)[row].as_py() for i in range(6))
                 page = parse(html)
-                if window and (host is None or window[-1][2] != host):
+                if window and (host is None or window[-1][2] != host or part != range_):
                     leave(0)
+                range_ = part
                 for other in window:
                     compare(other[3], page)
-                window.append((page_id, url, host, page))
+                window.append((page_id, url, host, page, own))
                 leave(neighbours)
                 if len(done) >= 500:
                     yield out()
         leave(0)
         yield out()
 
-    # The row's number lets a range end inside rows of one URL and page_id.
-    ordered = pages.select("page_id", "url", *host_and_path(), "html", F.monotonically_increasing_id().alias("n"))
-    ordered = ordered.repartitionByRange("host", "path", "page_id", "n").sortWithinPartitions("host", "path", "page_id", "n")
-    return ordered.select("page_id", "url", "host", "html").mapInArrow(run, "page_id long, url string, text string, n_template long")
+    order = ["host", "path", "page_id", "tie", "n"]
+    rows = pages.select("page_id", "url", *host_and_path(), F.xxhash64("url", "html").alias("tie"), F.monotonically_increasing_id().alias("n"), "html")
+    spans = ranges(rows.select(*order), order, neighbours)
+    shared = pages.sparkSession.sparkContext.broadcast(spans)
+
+    @F.pandas_udf("array<int>")
+    def places(host: pd.Series, path: pd.Series, page_id: pd.Series, tie: pd.Series, n: pd.Series) -> pd.Series:
+        firsts, lows, highs = shared.value
+        out = []
+        for key in zip(host, path, page_id, tie, n, strict=True):
+            key = rank(key)
+            own = max(0, bisect_right(firsts, key) - 1)
+            near = [own]
+            for step in (-1, 1):
+                i = own + step
+                while 0 <= i < len(firsts) and lows[i] <= key <= highs[i]:
+                    near.append(i)
+                    i += step
+            out.append(near)
+        return pd.Series(out)
+
+    dealt = rows.select("page_id", "url", "html", *[c for c in order if c != "page_id"], F.posexplode(places(*order)).alias("context", "part"))
+    dealt = dealt.repartition("part").sortWithinPartitions("part", *order)
+    return dealt.select("part", "page_id", "url", "host", "html", (F.col("context") == 0).alias("own")).mapInArrow(run, "page_id long, url string, text string, n_template long")
+
+
+def rank(key: tuple) -> tuple:
+    """A key in Spark's order, nulls first."""
+    return tuple((False, 0) if x is None or x is pd.NA or x != x else (True, x) for x in key)
+
+
+def ranges(keys: DataFrame, order: list[str], neighbours: int) -> tuple[list, list, list]:
+    """For each range of the keys its first one, and the first and the last of those that are inside it or
+    within neighbours places of it. A few keys of each range come to the driver."""
+    parts = RANGES * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()
+    own = checkpoint(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", place))
+    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    last = own.groupBy(part.alias("part")).agg(F.max(at).alias("last"))
+    # last has a row for each range.
+    ends = own.withColumn("part", part).join(F.broadcast(last), "part").where((at < neighbours) | (at > F.col("last") - neighbours))
+    ends = ends.orderBy("place").collect()
+    if not ends:
+        return [], [], []
+    found = [rank(tuple(r[c] for c in order)) for r in ends]
+    begins = [i for i, r in enumerate(ends) if r["place"] & (1 << 33) - 1 == 0]
+    finish = [*(i - 1 for i in begins[1:]), len(ends) - 1]
+    return [found[i] for i in begins], [found[max(0, i - neighbours)] for i in begins], [found[min(len(ends) - 1, i + neighbours)] for i in finish]

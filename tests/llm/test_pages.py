@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -39,13 +41,20 @@ def text(html):
         ("<nav><ul><li><a>Home</a></li></ul></nav><article><h1>T &amp; U</h1><p>a  b\n c<br>d<p>e &eacute;&#33;</article><footer>x</footer>", "T & U\na b c d\ne é!"),
         ("<header><h1>Site</h1></header><article><header><h1>T</h1><span>by me</span></header><p>x</p><section class=comments><p>c</p></section></article>", "T\nx"),
         ("<div class='content has-sidebar'><div class=sidebar>s</div><article><p>x</p><form>f</form><aside>a</aside></article></div>", "x"),
-        ("<article><p>x &am</p><!-- <p>no</p> --><p hidden>h</p><div class=ad>a</div><p style='display: none'>h</p><p>y &lt;b&gt;</article>", "x &am\ny <b>"),
+        ("<article><p>x &am</p><!-- <p>no</p> --><p hidden>h</p><div class=ad>a</div><p>y &lt;b&gt;</article>", "x &am\nh\ny <b>"),
         ("<main><div role=navigation>n</div><p>x</p><article><p>y</p></article></main>", "y"),
         ("<main><p>x</p><table><tr><td>1<td>2<tr><td>3</table></main>", "x\n1 2\n3"),
         ("<p>no article<p>here<div id=cookie-notice>c</div>", "no article\nhere"),
         ("<article><p><b>open<p>next</article><p>after", "open\nnext"),
         ("<article><p>x</p><ins class=adsbygoogle>a</ins><div id=siteFooter>f</div><ol class='comment-list'><li>c</ol><p>y</article>", "x\ny"),
         ("", ""),
+        ("<article><p class=legal-analysis>a<div class=share-price>b</div><h2 class=section-header>c</h2><p id=search-results>d<p class=alert-level>e</article>", "a\nb\nc\nd\ne"),
+        ("<main><p>the long text of the page<article class=teaser><p>teaser</article></main>", "the long text of the page\nteaser"),
+        ("<article><p>" + "İ" * 40 + "</p><script>a()</SCRIPT ><p>two three</p><p>eight</p></article>", "İ" * 40 + "\ntwo three\neight"),
+        ("<article><p>a <math><mi>x</mi></math> <svg><text>s</text></svg><noscript>n</noscript></p><select><option>o</select><button>b</button></article>", "a x sn"),
+        ("<article><span role=alert>no <span>no</span> no</span><p>a<title>t</title></p></article>", "a"),
+        ('<article><p title="a > b">x</p><p title=">y</p><p>z</p></article>', "x\ny\nz"),
+        ("<article><p>x < y</p><![CDATA[c & d]]><![CDATA[e<?php f ?><!x></ ></article><p>after <a href='x", "x < y\nc & d"),
     ],
 )
 def test_main_text(body, want):
@@ -63,6 +72,65 @@ def test_shared_lines_go(spark):
     assert got[101].startswith("Menu\n")  # the only page of its host
 
 
+UNCLOSED = ["<a b ", '<a b="', "<a 'x\" ", "<![CDATA[", "<!-- ", "<title>", "<textarea x>", "<div><b>", "<li><ul><div>", "</b>", "<p><table>", "<span role=alert>", "<a b='\">", "<"]
+
+
+@pytest.mark.parametrize("end", ["", ">", "'>", '"'])
+@pytest.mark.parametrize("piece", UNCLOSED)
+def test_malformed_pages_take_linear_time(piece, end):
+    began = time.process_time()
+    hp.parse("<article><p>x</p>" + piece * (1_000_000 // len(piece)) + end)
+    assert time.process_time() - began < 4
+
+
+def brute_extract(rows):
+    """Every page against the two before and the two after it in the order of the whole table."""
+    key = lambda r: (re.match(r"https?://([^/]*)(.*)", r[1]).groups(), r[0])
+    rows = sorted(rows, key=key)
+    host = lambda r: key(r)[0][0]
+    out = {}
+    for i, r in enumerate(rows):
+        me = hp.parse(r[2])
+        near = [hp.parse(rows[j][2]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(rows) and host(rows[j]) == host(r)]
+        told = []
+        for other in near:
+            if other.lines != me.lines and me.lines and other.lines:
+                pairs = hp.common(me.lines, other.lines)
+                assert len(pairs) == brute_lcs(me.lines, other.lines)
+                share = sum(len(me.lines[a]) for a, _ in pairs) / min(sum(map(len, me.lines)), sum(map(len, other.lines)))
+                told.append(({a for a, _ in pairs}, share))
+        if any(s <= hp.COPY for _, s in told):
+            told = [x for x in told if x[1] <= hp.COPY]
+        need = min(2, len(told))
+        keep = lambda k: me.inside[k] or (not me.article and (not need or sum(k in x for x, _ in told) < need))  # noqa: E731, B023
+        out[r[0]] = "\n".join(x for k, x in enumerate(me.lines) if keep(k))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 60, 200])
+def test_result_ignores_partitions(spark, partitions):
+    """60 template pages without an article, and some with, in two hosts; with more ranges than pages too."""
+    rng = random.Random(9)
+    menu = [f"menu line {i}" for i in range(12)]
+    page = lambda i: "".join(f"<div>{x}</div>" for x in [*menu[: rng.randint(8, 12)], *(f"text {i} {rng.randint(0, 3)}" for _ in range(rng.randint(1, 4))), "All rights"])
+    rows = [(i, f"http://{'ab'[i % 2]}.org/p/{rng.randint(0, 30):02d}", page(i)) for i in range(60)]
+    rows += [(100 + i, f"http://a.org/p/{i:02d}", f"<nav>n</nav><article><p>menu line 1</p><p>{i}</p></article>") for i in range(0, 20, 3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = hp.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+        assert {r["page_id"]: r["text"] for r in found.collect()} == brute_extract(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_short_text_under_a_long_menu(spark):
+    menu = "".join(f"<div>a long line {i} of the menu of this host</div>" for i in range(40))
+    rows = [(i, f"http://h.org/{i}", f"{menu}<div>own {i}</div>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in hp.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i}" for i in range(6)}
+
+
 def test_rows_of_one_url_and_id_spread(spark):
     rows = [(7, "http://h.org/same", f"<article><p>text {i}</p></article>") for i in range(400)]
     found = hp.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8))

@@ -2,29 +2,33 @@
 
 Documents may belong to several sources. They are aggregated by membership pattern; each pattern
 offers its tokens once, twice and three times at rising (convex) cost, and routes them to the
-quotas of its sources. A pattern of one source whose source has no other pattern is a flow of its
-own, filled copy by copy; patterns that overlap form a small network, solved by successive
-shortest paths. Then documents are selected by a seeded hash: all of them for every whole copy,
-and those whose hash is lowest for the rest.
+quotas of its sources. All patterns, also those of one source, go through the flow, which is solved
+by the primal-dual method: cost by cost, as large a flow as the paths of that cost allow. Patterns
+that share no source, not even by way of others, are networks of their own: so many patterns that
+they shouldn't be on the driver at once are solved component by component in the tasks. Then
+documents are selected by a seeded hash: all of them for every whole copy, and those whose hash is
+lowest for the rest.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from math import inf
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, connected_components
 
 WEIGHTS = (5.0, 2.0, 1.0)
 COPIES = 3
 SEED = 11
-#: Bound on the sources, and on the patterns that overlap, that come to the driver.
+#: Bound on the patterns that are solved on the driver; more are solved component by component in the tasks.
 MAX_PATTERNS = 100_000
 #: The hash is read in two digits of BITS bits.
 BITS = 12
+#: Names of columns that are added in passing; no table is expected to have them.
+KEYED, PLANNED, PATTERN, DRAWN = ("__mix_flow_" + x for x in ("keyed", "planned", "pattern", "drawn"))
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES) -> dict[str | None, float]:
@@ -53,52 +57,75 @@ def route(patterns: dict[tuple, int], quota: dict, copies: int = COPIES) -> dict
     """Min-cost flow from patterns (tuples of sources, with their tokens) to quotas.
 
     The c-th copy of a token costs c. Returns the tokens that each pattern gives to each source.
-    Successive shortest paths by label correction; each step fills an arc.
+    Only the arcs into patterns cost anything, and each copy more than the one before; so the
+    shortest paths of cost c are those over the c-th copies and free arcs, and the flow is the
+    least costly if each cost in turn gets a largest flow (by layers and blocking flows).
     """
-    sources = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, str(s)))
-    node = {x: i + 1 for i, x in enumerate([*patterns, *[("", s) for s in sources]])}
-    end = len(node) + 1
-    head: list[list[int]] = [[] for _ in range(end + 1)]
-    to, room, cost = [], [], []
-
-    def arc(a: int, b: int, size: float, price: float) -> int:
-        for x, y, r, c in ((a, b, size, price), (b, a, 0.0, -price)):
-            head[x].append(len(to))
-            to.append(y)
-            room.append(r)
-            cost.append(c)
-        return len(to) - 2
-
-    for p, size in patterns.items():
-        for c in range(1, copies + 1):
-            arc(0, node[p], float(size), float(c))
-    used = {(p, s): arc(node[p], node["", s], inf, 0.0) for p in patterns for s in p}
-    for s in sources:
-        arc(node["", s], end, float(quota.get(s, 0.0)), 0.0)
-    while True:
-        far, came, queue, inside = [inf] * (end + 1), [-1] * (end + 1), deque([0]), [False] * (end + 1)
-        far[0] = 0.0
-        while queue:
-            a = queue.popleft()
-            inside[a] = False
-            for e in head[a]:
-                if room[e] > 1e-6 and far[a] + cost[e] < far[to[e]] - 1e-9:
-                    far[to[e]], came[to[e]] = far[a] + cost[e], e
-                    if not inside[to[e]]:
-                        inside[to[e]] = True
-                        queue.append(to[e])
-        if far[end] == inf:
-            break
-        path, b = [], end
-        while b:
-            path.append(came[b])
-            b = to[came[b] ^ 1]
-        step = min(room[e] for e in path)
-        for e in path:
-            room[e] -= step
-            room[e ^ 1] += step
-    flow: dict[tuple, dict] = {p: {} for p in patterns}
-    for (p, s), e in used.items():
+    names = list(patterns)
+    sources = sorted({s for p in names for s in p}, key=lambda s: (s is None, str(s)))
+    node = {("p", p): i for i, p in enumerate(names)} | {("s", s): len(names) + i for i, s in enumerate(sources)}
+    #: arcs[i] are a node's (number of the arc, other end); arc e ^ 1 leads back.
+    arcs: list[list[tuple[int, int]]] = [[] for _ in node]
+    room: list[float] = []
+    at: dict[tuple, int] = {}
+    for p in names:
+        for s in p:
+            a, b = node["p", p], node["s", s]
+            at[p, s] = len(room)
+            arcs[a].append((len(room), b))
+            arcs[b].append((len(room) + 1, a))
+            room += [inf, 0.0]
+    left = [float(quota.get(s, 0.0)) for s in sources]
+    small = 1e-9 * max([1.0, *left])
+    first = len(names)
+    for _ in range(copies):
+        offer = [float(patterns[p]) for p in names]
+        while True:
+            # Layers from the patterns that still have something of this copy to the sources with quota left.
+            layer = [-1] * len(node)
+            front = [i for i, x in enumerate(offer) if x > small]
+            for i in front:
+                layer[i] = 0
+            ends = False
+            while front and not ends:
+                after = []
+                for i in front:
+                    for e, j in arcs[i]:
+                        if layer[j] < 0 and room[e] > small:
+                            layer[j] = layer[i] + 1
+                            after.append(j)
+                            ends = ends or (j >= first and left[j - first] > small)
+                front = after
+            if not ends:
+                break
+            begin = [0] * len(node)
+            for start, x in enumerate(offer):
+                while offer[start] > small:
+                    path, i = [], start
+                    while i < first or left[i - first] <= small:
+                        while begin[i] < len(arcs[i]):
+                            e, j = arcs[i][begin[i]]
+                            if layer[j] == layer[i] + 1 and room[e] > small:
+                                break
+                            begin[i] += 1
+                        else:
+                            if not path:
+                                break
+                            i = path.pop()[0]  # a dead end: its arc is passed over from now on
+                            begin[i] += 1
+                            continue
+                        path.append((i, e))
+                        i = j
+                    if not path:
+                        break
+                    step = min(offer[start], left[i - first], *(room[e] for _, e in path))
+                    offer[start] -= step
+                    left[i - first] -= step
+                    for _, e in path:
+                        room[e] -= step
+                        room[e ^ 1] += step
+    flow: dict[tuple, dict] = {p: {} for p in names}
+    for (p, s), e in at.items():
         flow[p][s] = room[e ^ 1]
     return flow
 
@@ -109,46 +136,42 @@ def size_of(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, sources: Column | None, seed: int) -> DataFrame:
-    """docs with a struct __m: pattern, the sorted distinct sources; size; h, the seeded hash of the id
+    """docs with a struct KEYED: pattern, the sorted distinct sources; size; h, the seeded hash of the id
     (or, for a null id, of the text), and h1 and h2, its first two digits."""
     none = F.array(F.lit(None).cast("string"))
     own = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(F.when(F.size(sources) > 0, sources).otherwise(none)))
     h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
     digit = lambda i: F.shiftrightunsigned(h, 64 - BITS * i).bitwiseAND((1 << BITS) - 1).cast("int")
-    return docs.withColumn("__m", F.struct(own.alias("pattern"), size_of().alias("size"), digit(1).alias("h1"), digit(2).alias("h2"), h.alias("h")))
+    return docs.withColumn(KEYED, F.struct(own.alias("pattern"), size_of().alias("size"), digit(1).alias("h1"), digit(2).alias("h2"), h.alias("h")))
 
 
-def cuts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def cuts(rows: DataFrame, wanted: DataFrame, few) -> DataFrame:
     """For each pattern of wanted(pattern, rest) the documents that are taken once more, so that they
     have about rest tokens: those with a hash below the digits (c1, c2), and one more, the filler h.
 
     Tokens are summed by pattern and first digit (pre-aggregated, 2^BITS rows a pattern at most),
     then, inside the digit where the running sum passes rest, by the second one; the cut is where
     the second sum is last below rest. The filler is the document above the cut whose size is
-    nearest to what is left, if it comes nearer to rest.
+    nearest to what is left, if it comes nearer to rest. few() marks tables of a row for each pattern.
     """
     w = Window.partitionBy("pattern").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # wanted, first and cut have a row for each pattern.
     first = rows.groupBy("pattern", F.col("h1").alias("digit")).agg(F.sum("size").alias("n"))
-    first = first.withColumn("sum", F.sum("n").over(w)).join(F.broadcast(wanted), "pattern").where("sum >= rest and sum - n < rest")
-    first = F.broadcast(first.select(F.col("pattern").alias("own"), F.col("digit").alias("c1"), (F.col("rest") - F.col("sum") + F.col("n")).alias("left")))
+    first = first.withColumn("sum", F.sum("n").over(w)).join(few(wanted), "pattern").where("sum >= rest and sum - n < rest")
+    first = few(first.select(F.col("pattern").alias("own"), F.col("digit").alias("c1"), (F.col("rest") - F.col("sum") + F.col("n")).alias("left")))
     inside = rows.join(first, (F.col("pattern") == F.col("own")) & (F.col("h1") == F.col("c1")))
     second = inside.groupBy("pattern", "c1", "left", F.col("h2").alias("digit")).agg(F.sum("size").alias("n"))
     second = second.withColumn("sum", F.sum("n").over(w)).where("sum >= left and sum - n < left")
     cut = checkpoint(second.select("pattern", "c1", F.col("digit").alias("c2"), (F.col("left") - F.col("sum") + F.col("n")).alias("gap")))
-    other = F.broadcast(cut.select(F.col("pattern").alias("own"), "c1", "c2", "gap"))
+    other = few(cut.select(F.col("pattern").alias("own"), "c1", "c2", "gap"))
     above = rows.join(other, (F.col("pattern") == F.col("own")) & ((F.col("h1") > F.col("c1")) | ((F.col("h1") == F.col("c1")) & (F.col("h2") >= F.col("c2")))))
     off = F.abs(F.col("size") - F.col("gap"))
     filler = above.where(off < F.col("gap")).groupBy("pattern").agg(F.min_by("h", F.struct(off, "h")).alias("filler"))
     return cut.join(filler, "pattern", "left").select("pattern", "c1", "c2", "filler")
 
 
-def planned(rows: DataFrame, weights: tuple[float, ...], copies: int, max_patterns: int) -> DataFrame:
-    """(pattern, source_size, target, whole, c1, c2, filler): how often, and up to which hash, each pattern's documents are taken."""
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
-    patterns = {tuple(r["pattern"]): r["size"] for r in sums}
+def allotted(sums: list[tuple[tuple, int]], weights: tuple[float, ...], copies: int) -> list[tuple]:
+    """(pattern, source_size, target, taken) for each of the patterns with their sizes, on the driver."""
+    patterns = dict(sums)
     size: dict[str | None, int] = {}
     for p, n in patterns.items():
         for s in p:
@@ -156,25 +179,87 @@ def planned(rows: DataFrame, weights: tuple[float, ...], copies: int, max_patter
     # A token in several sources counts once in the whole that is shared out.
     whole, each = sum(patterns.values()), sum(size.values())
     target = {s: x * whole / each if each else 0.0 for s, x in targets(list(size.items()), weights, copies).items()}
-    shared = {s for p in patterns if len(p) > 1 for s in p}
-    taken = {p: min(target[p[0]], float(copies * n)) for p, n in patterns.items() if len(p) == 1 and p[0] not in shared}
-    taken |= {p: sum(x.values()) for p, x in route({p: n for p, n in patterns.items() if p not in taken}, target, copies).items()}
-    plan = [(list(p), sum(size[s] for s in p), float(sum(target[s] for s in p)), int(taken[p] // n) if n else 0, float(taken[p] % n) if n else 0.0) for p, n in patterns.items()]
-    out = rows.sparkSession.createDataFrame(plan, "pattern array<string>, source_size long, target double, whole int, rest double")
-    return out.join(cuts(rows, out.where("rest > 0").select("pattern", "rest")), "pattern", "left")
+    flow = route(patterns, target, copies)
+    return [(list(p), sum(size[s] for s in p), float(sum(target[s] for s in p)), float(sum(flow[p].values()))) for p in patterns]
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources(source, size) with each source's place in code point order, null last."""
+    own = checkpoint(sources.orderBy(F.col("source").isNull(), "source").withColumn("id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    before, starts = 0, []
+    for r in own.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    starts = own.sparkSession.createDataFrame(starts, "part long, start long")
+    # starts has a row for each partition.
+    return own.withColumn("part", part).join(F.broadcast(starts), "part").select("source", "size", (F.col("start") + place).alias("at"))
+
+
+def allotted_apart(sums: DataFrame, weights: tuple[float, ...], copies: int) -> DataFrame:
+    """What allotted() gives, without patterns or sources on the driver: targets by a few aggregates, flows
+    one task for each set of patterns that are connected by shared sources."""
+    each = sums.select("pattern", "size", F.explode("pattern").alias("source"))
+    sources = numbered(each.groupBy("source").agg(F.sum("size").alias("size")))
+    n = len(weights)
+    weight = F.get(F.array(*map(F.lit, map(float, weights))), (F.col("at") % n).cast("int"))
+    sources = checkpoint(sources.select("source", "size", "at", weight.alias("weight")))
+    whole, total = sums.agg(F.sum("size")).first()[0] or 0, sources.agg(F.sum("size")).first()[0] or 0
+    # The water level: tokens for a weight of one, where all is handed out.
+    level, open_ = 0.0, None
+    while True:
+        full = F.col("weight") * level > copies * F.col("size")
+        r = sources.agg(F.sum(F.when(~full, F.col("weight"))).alias("w"), F.sum(F.when(full, copies * F.col("size"))).alias("s"), F.count_if(~full).alias("n")).first()
+        if r["n"] == open_ or not r["n"]:
+            break
+        level, open_ = (total - (r["s"] or 0)) / r["w"], r["n"]
+    share = whole / total if total else 0.0
+    sources = sources.select("source", F.col("size").alias("source_size"), "at", (F.least(F.col("weight") * level, (copies * F.col("size")).cast("double")) * share).alias("target"))
+    sources = checkpoint(sources)
+    each = checkpoint(each.join(sources, each["source"].eqNullSafe(sources["source"])).drop(sources["source"]))
+    by = each.groupBy("pattern", "size").agg(F.min("at").alias("low"), F.sum("source_size").alias("source_size"), F.sum("target").alias("sum"), F.sort_array(F.collect_list(F.struct("at", "target"))).alias("own"))
+    edges = by.select(F.col("low").alias("a"), F.explode("own.at").alias("b"))
+    roots = connected_components(edges)
+    by = by.join(roots.select(F.col("a").alias("low"), "root"), "low", "left").withColumn("root", F.coalesce("root", "low"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [tuple(int(x["at"]) for x in o) for o in pdf["own"]]
+        quota = {int(x["at"]): float(x["target"]) for o in pdf["own"] for x in o}
+        flow = route(dict(zip(own, map(int, pdf["size"]), strict=True)), quota, copies)
+        return pd.DataFrame({"pattern": pdf["pattern"], "source_size": pdf["source_size"], "target": pdf["sum"], "taken": [float(sum(flow[p].values())) for p in own]})
+
+    return by.groupBy("root").applyInPandas(solve, "pattern array<string>, source_size long, target double, taken double")
+
+
+def planned(rows: DataFrame, weights: tuple[float, ...], copies: int, max_patterns: int) -> tuple[DataFrame, bool]:
+    """(pattern, source_size, target, whole, c1, c2, filler): how often, and up to which hash, each pattern's
+    documents are taken; and whether there are at most max_patterns of them."""
+    spark = rows.sparkSession
+    sums = checkpoint(rows.groupBy("pattern").agg(F.sum("size").alias("size")))
+    small = sums.count() <= max_patterns
+    if small:
+        plan = spark.createDataFrame(allotted([(tuple(r["pattern"]), r["size"]) for r in sums.collect()], weights, copies), "pattern array<string>, source_size long, target double, taken double")
+    else:
+        plan = checkpoint(allotted_apart(sums, weights, copies))
+    n = F.when(F.col("size") > 0, F.col("size"))
+    # Rounding of a flow must not make a copy less.
+    times = F.floor(F.col("taken") / n + 1e-9)
+    plan = plan.join(sums, "pattern").select("pattern", "source_size", "target", F.coalesce(times, F.lit(0)).cast("int").alias("whole"), F.greatest(F.coalesce(F.col("taken") - times * n, F.lit(0.0)), F.lit(0.0)).alias("rest"))
+    few = F.broadcast if small else lambda df: df
+    plan = checkpoint(plan)
+    return plan.join(cuts(rows, plan.where("rest > 0").select("pattern", "rest"), few), "pattern", "left"), small
 
 
 def drawn(docs: DataFrame, sources: Column | None = None, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES, seed: int = SEED, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """docs with a struct __d (pattern, size, source_size, target, taken); see mix()."""
+    """docs with a struct of (pattern, size, source_size, target, taken) named DRAWN; see mix()."""
     own = keyed(docs, sources, seed)
-    plan = checkpoint(planned(checkpoint(own.select("__m.*")), weights, copies, max_patterns))
-    m, p = F.col("__m"), F.col("__p")
+    plan, small = planned(checkpoint(own.select(f"{KEYED}.*")), weights, copies, max_patterns)
+    m, p = F.col(KEYED), F.col(PLANNED)
     extra = (m["h1"] < p["c1"]) | ((m["h1"] == p["c1"]) & (m["h2"] < p["c2"])) | (m["h"].eqNullSafe(p["filler"]))
     taken = m["size"] * (p["whole"] + F.coalesce(extra, F.lit(False)).cast("int"))
-    # The plan has a row for each pattern, max_patterns at most.
-    plan = F.broadcast(plan.select(F.col("pattern").alias("__pattern"), F.struct("source_size", "target", "whole", "c1", "c2", "filler").alias("__p")))
-    out = own.join(plan, m["pattern"] == F.col("__pattern"), "left")
-    return out.withColumn("__d", F.struct(m["pattern"], m["size"], p["source_size"], p["target"], taken.cast("long").alias("taken"))).drop("__m", "__p", "__pattern")
+    plan = checkpoint(plan).select(F.col("pattern").alias(PATTERN), F.struct("source_size", "target", "whole", "c1", "c2", "filler").alias(PLANNED))
+    out = own.join(F.broadcast(plan) if small else plan, m["pattern"] == F.col(PATTERN), "left")
+    return out.withColumn(DRAWN, F.struct(m["pattern"], m["size"], p["source_size"], p["target"], taken.cast("long").alias("taken"))).drop(KEYED, PLANNED, PATTERN)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -184,13 +269,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     is a source of its own, an empty or null array counts as it. size is the number of words; taken
     is a multiple of it, up to copies. source_size and target are sums over the pattern's sources.
     Each document is drawn by a hash of its doc_id, so reruns agree, and equal ids are drawn alike.
-    Patterns come to the driver as sums: at most max_patterns of them, else ValueError.
+    Up to max_patterns patterns are solved on the driver, more in the tasks, with the same result.
     """
-    return drawn(docs, **options).select("doc_id", "__d.*")
+    return drawn(docs, **options).select("doc_id", f"{DRAWN}.*")
 
 
 def keep_drawn(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which the mix takes words, with the columns of docs and size, source_size,
     target and taken (instead of columns of docs with these names)."""
     new = ("size", "source_size", "target", "taken")
-    return drawn(docs, **options).where("__d.taken > 0").select(*(c for c in docs.columns if c not in new), *(f"__d.{c}" for c in new))
+    return drawn(docs, **options).where(F.col(DRAWN)["taken"] > 0).select(*(c for c in docs.columns if c not in new), *(f"{DRAWN}.{c}" for c in new))

@@ -1,10 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens score their log-odds between toxic and clean labelled documents, smoothed by a Dirichlet
-prior that follows the corpus. A linear scan finds all maximal scoring segments of a text. Under
-chance the best segment of m tokens reaches S with probability 1 - exp(-K m exp(-lambda S));
-lambda and K are fitted on clean documents, and a text's significant segments are added up on
-that scale and calibrated to a probability.
+Each token scores its own log-odds between toxic and clean labelled documents, smoothed by a
+Dirichlet prior that follows the corpus, as far as they are significant: negative ones shrunk by
+their significance, positive ones from MIN_LOG_ODDS on, since weaker ones are mostly words that a
+few copied documents share. From each goes a drift, where clean texts wouldn't lose by themselves. A linear scan finds all maximal scoring
+segments of a text. Under chance the best segment of m tokens reaches S with probability
+1 - exp(-K m exp(-lambda S)); lambda and K are fitted on clean documents, and a text's significant
+segments are added up on that scale and calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that stand in for words never seen in training.
 PREFIXES = range(3, 9)
 FOLDS = 5
-#: Bound on the labelled rows that the model is fitted on, and on the features that it keeps.
+#: Bound on the labelled rows that the model is fitted on, and so on its words and features.
 MAX_TRAIN_ROWS = 60_000
-MAX_FEATURES = 50_000
 #: Weight of the prior, in documents.
 PRIOR = 50.0
-#: What a feature must reach to count as toxic.
+#: Significance at which a feature's log-odds begin to count; of negative ones a share of 1 - (MIN_Z / z)^2 does.
 MIN_Z = 3.2
+#: What positive log-odds must reach.
 MIN_LOG_ODDS = 3.0
+#: What a token of clean texts loses on average at least.
 DRIFT = 0.1
+#: Token scores are counted in steps of this size to fit lambda.
+STEP = 0.01
 #: Expected number of chance segments in a text, up to which a segment is significant.
 E_VALUE = 0.5
 
@@ -45,9 +50,10 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """scores: log-odds by feature. weights: of the calibration. base: the score of a text without segments."""
+    """scores: significant log-odds by feature. drift: what each token loses. weights: of the calibration."""
 
     scores: dict[str, float] = field(default_factory=dict)
+    drift: float = DRIFT
     lam: float = 1.0
     k: float = 1.0
     weights: tuple[float, float, float] = (-20.0, 0.0, 0.0)
@@ -57,28 +63,32 @@ class Model:
         return self.__dict__ | {"_memo": {}}
 
     def token(self, word: str) -> float:
-        """A token's score: that of the word if it is known, else the best of its beginnings."""
+        """A token's score: that of the word if it is known, else the best of its beginnings, less the drift."""
         got = self._memo.get(word)
         if got is None:
             if len(self._memo) > 200_000:
                 self._memo.clear()
             whole, *begins = features(word)
-            got = self.scores.get(whole) or max((self.scores.get(x, 0.0) for x in begins), default=0.0)
+            own = self.scores.get
+            got = own(whole)
+            if got is None:
+                got = max((x for x in map(own, begins) if x is not None), default=0.0)
+            got -= self.drift
             self._memo[word] = got
         return got
 
 
-def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last token, score) of a text of which only the tokens in
-    hits have a positive log-odds; every token also costs DRIFT. Linear in the hits: the stack holds
-    candidates (left sum, right sum, first, last), and a new hit joins those that it lifts."""
+def segments(values: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last token, score) of a text with these token scores. Linear in
+    the tokens: the stack holds candidates (left sum, right sum, first, last), and a new positive
+    token joins those that it lifts."""
+    own = np.asarray(values, float)
+    hits = np.flatnonzero(own > 0)
+    if not len(hits):
+        return []
+    sums = np.concatenate([[0.0], np.cumsum(own)])
     stack: list[tuple[float, float, int, int]] = []
-    total, before = 0.0, -1
-    for at, score in hits:
-        left = total - DRIFT * (at - before - 1)
-        total, before = left + score - DRIFT, at
-        if total <= left:
-            continue
+    for at, left, total in zip(hits.tolist(), sums[hits].tolist(), sums[hits + 1].tolist(), strict=True):
         new = (left, total, at, at)
         kept: list[tuple[float, float, int, int]] = []
         while stack:
@@ -102,11 +112,6 @@ def token_scores(text: str | None, model: Model) -> list[float]:
     return [model.token(w) if v is None else v for w, v in zip(words, values, strict=True)] if None in values else values
 
 
-def scan(values: list[float]) -> list[tuple[int, int, float]]:
-    """The maximal segments of a text with these token scores."""
-    return segments([(i, x) for i, x in enumerate(values) if x > 0]) if any(values) else []
-
-
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
     """(best, sum, significant segments with their normalised scores lambda S - ln(K n))."""
     base = math.log(max(model.k * max(n, 1), 1e-300))
@@ -127,19 +132,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     known = checkpoint(known.where(F.crc32(F.col("__id").cast("string").cast("binary")) % FOLDS != 0))
     share = min(1.0, max_rows / max(1, known.count()))
     known = known.where((F.xxhash64("__id", F.lit("train")).bitwiseAND((1 << 30) - 1)) < int(share * (1 << 30)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    return rows.where("text is not null").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))  # known has about max_rows rows
+    return checkpoint(rows.where("text is not null").select("text", "toxic"))
 
 
 def significance(all_tox: int, all_clean: int):
     """The signed root of the likelihood ratio of a feature's tox and clean counts against the classes'
-    sizes, with one more clean document for each feature: it grows with the toxic count and with
-    purity, whatever the number of rows."""
+    sizes, with one more document of the class that it speaks against: it grows with the count and
+    with purity, whatever the number of rows."""
     share = (all_tox + 1.0) / (all_tox + all_clean + 2.0)
-    tox, clean = F.col("tox"), F.col("clean") + 1
-    part = lambda n, p: F.when(n > 0, n * F.log(n / ((tox + clean) * p))).otherwise(0.0)
-    g = 2 * (part(tox, share) + part(clean, 1 - share))
-    return F.when(tox > (tox + clean) * share, F.sqrt(F.greatest(g, F.lit(0.0)))).otherwise(0.0)
+    part = lambda n, of, p: F.when(n > 0, n * F.log(n / (of * p))).otherwise(0.0)
+
+    def root(tox, clean):
+        g = 2 * (part(tox, tox + clean, share) + part(clean, tox + clean, 1 - share))
+        return F.sqrt(F.greatest(g, F.lit(0.0)))
+
+    tox, clean = F.col("tox"), F.col("clean")
+    up = F.when(tox > (tox + clean + 1) * share, root(tox, clean + 1))
+    return up.when(tox + 1 < (tox + clean + 1) * share, -root(tox + 1, clean)).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -177,14 +187,47 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     alpha, prior = weight * (F.col("tox") + F.col("clean")), weight * ((all_tox or 0) + (all_clean or 0))
     of = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(float((n or 0) + prior + 1)) - F.col(y) - alpha))
     rated = whole.union(begins).withColumn("delta", of("tox", all_tox) - of("clean", all_clean)).withColumn("z", significance(all_tox or 0, all_clean or 0))
-    best = rated.where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_LOG_ODDS)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
-    model = Model(scores={r["feature"]: r["delta"] for r in best.collect()})
+    shrunk = F.when(F.col("z") < 0, F.col("delta") * (1 - F.pow(MIN_Z / F.col("z"), F.lit(2.0)))).when(F.col("delta") >= MIN_LOG_ODDS, F.col("delta"))
+    counted = rated.where(F.abs("z") > MIN_Z).select("feature", shrunk.alias("score")).where("score is not null")
+    # Bounded by the training rows: a feature needs several documents to be significant.
+    model = Model(scores={r["feature"]: r["score"] for r in counted.collect()}, drift=0.0)
     return calibrated(model, rows)
 
 
+def clean_scores(model: Model, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, how many tokens of clean texts have them), in steps of STEP."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: Counter = Counter()
+        for frame in frames:
+            for text in frame["text"]:
+                own.update(np.rint(np.array(token_scores(text, shared.value)) / STEP).astype(int).tolist())
+        yield pd.DataFrame({"step": list(own), "n": list(own.values())}, dtype="int64")
+
+    got = rows.where("toxic <= 0").mapInPandas(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toPandas()
+    shared.unpersist()
+    return got["step"].to_numpy(float) * STEP, got["n"].to_numpy(float)
+
+
+def decay(scores: np.ndarray, n: np.ndarray) -> float:
+    """lambda: the positive root of sum p(s) exp(lambda s) = 1 over the token scores of clean texts."""
+    if not (scores > 0).any():
+        scores, n = np.append(scores, 1.0), np.append(n, 1.0)
+    p, low, high = n / n.sum(), 1e-6, 50.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if (p * np.exp(np.minimum(700, x * scores))).sum() < 1 else (low, x)
+    return max(low, 1e-3)
+
+
 def calibrated(model: Model, rows: DataFrame) -> Model:
-    """Fit lambda, K and the calibration; what comes to the driver is a few numbers for each of the
-    bounded training rows."""
+    """Fit the drift, lambda, K and the calibration; what comes to the driver is a histogram, and a few numbers
+    for each of the bounded training rows."""
+    scores, n = clean_scores(model, rows)
+    mean = float((scores * n).sum() / max(1.0, n.sum()))
+    model.drift = max(0.0, mean + DRIFT)
+    model.lam = decay(scores - model.drift, n)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,24 +235,13 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
             out = []
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
                 values = token_scores(text, shared.value)
-                found, hits = scan(values), [] if toxic > 0 else [x for x in values if x > 0]
-                out.append((float(len(values)), int(toxic > 0), [s for _, _, s in found], hits))
-            yield pd.DataFrame(out, columns=["n", "toxic", "found", "hits"])
+                out.append((float(len(values)), int(toxic > 0), [s for _, _, s in segments(values)]))
+            yield pd.DataFrame(out, columns=["n", "toxic", "found"])
 
-    got = rows.mapInPandas(measure, "n double, toxic int, found array<double>, hits array<double>").toPandas()
+    got = rows.mapInPandas(measure, "n double, toxic int, found array<double>").select("n", "toxic", "found", F.xxhash64("n", "toxic", "found").alias("h")).toPandas().sort_values(["n", "toxic", "h"], kind="stable")
+    shared.unpersist()
     toxic = got["toxic"].to_numpy()
     n = np.maximum(1.0, got["n"].to_numpy())
-    # lambda: the root of sum p(s) exp(lambda s) = 1 over the token scores of clean texts.
-    hits = np.concatenate([np.zeros(0), *(np.asarray(x) for x in got["hits"])]) - DRIFT
-    if len(hits) == 0:
-        hits = np.array([1.0])
-    size = max(2.0, n[toxic == 0].sum(), 1.0 + len(hits))
-    low, high = 1e-6, 50.0
-    for _ in range(100):
-        x = (low + high) / 2
-        total = np.exp(np.minimum(700, x * hits)).sum() + (size - len(hits)) * math.exp(-DRIFT * x)
-        low, high = (x, high) if total < size else (low, x)
-    model.lam = max(low, 1e-3)
     best = np.array([max([0.0, *x]) for x in got["found"]])
     clean = toxic == 0
     # K: under chance K n exp(-lambda S) has mean 1 over clean texts.
@@ -241,7 +273,7 @@ def scored(model: Model, docs: DataFrame, text: str = "text"):
         own, out = shared.value, []
         for t in texts:
             values = token_scores(t, own)
-            best, total, significant = evidence(len(values), scan(values), own)
+            best, total, significant = evidence(len(values), segments(values), own)
             out.append((probability(best, total, own), len(values), [{"first": a, "last": b, "score": s} for a, b, s in significant]))
         return pd.DataFrame(out, columns=["score", "n_tokens", "passages"])
 
@@ -252,8 +284,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN
     """One row (doc_id, held_out, score, predicted, n_tokens, passages) for each row of docs.
 
     held_out is true for the fold that training leaves out, and for a null doc_id. Empty and null
-    texts get the score of a text without passages. Repeated rows come back as often as they came;
-    other columns are ignored.
+    texts get the score of a text without passages; texts of any length are scanned whole. Repeated
+    rows come back as often as they came; other columns are ignored.
     """
     out = docs.select("doc_id", scored(fit(docs, labels, max_train_rows), docs).alias("__t"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
@@ -263,4 +295,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not predicted toxic, with the columns of docs."""
     model = fit(docs, labels, **options)
-    return docs.withColumn("__t", scored(model, docs)).where(F.col("__t.score") < 0.5).drop("__t")
+    return docs.where(scored(model, docs)["score"] < 0.5)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -28,15 +29,64 @@ def test_segments_against_brute_force():
     rng = random.Random(4)
     for _ in range(300):
         n = rng.randint(0, 60)
-        hits = sorted((i, rng.uniform(0.05, 3)) for i in rng.sample(range(n), rng.randint(0, n // 3)))
-        values = [-ts.DRIFT] * n
-        for i, x in hits:
-            values[i] += x
-        want, got = brute_segments(values), ts.segments(hits)
+        values = [rng.choice([-0.1, -0.1, rng.uniform(-2, 0), rng.uniform(-0.5, 3)]) for _ in range(n)]
+        want, got = brute_segments(values), ts.segments(values)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def brute_fit(rows):
+    """Scores, drift, lambda and K by the definitions, in plain Python."""
+    count, tox, clean = {}, 0, 0
+    for text, toxic in rows:
+        for w in {*ts.TOKEN.findall(text.lower())}:
+            for f in ts.features(w):
+                count.setdefault(f, [0, 0])[toxic] += 1
+            tox, clean = tox + toxic, clean + 1 - toxic
+    share, weight = (tox + 1) / (tox + clean + 2), ts.PRIOR / len(rows)
+
+    def root(t, c):
+        return math.sqrt(max(0.0, 2 * sum(n * math.log(n / ((t + c) * p)) for n, p in ((t, share), (c, 1 - share)) if n)))
+
+    scores = {}
+    for f, (c, t) in count.items():
+        z = root(t, c + 1) if t > (t + c + 1) * share else -root(t + 1, c) if t + 1 < (t + c + 1) * share else 0.0
+        if abs(z) > ts.MIN_Z:
+            a, prior = weight * (t + c), weight * (tox + clean)
+            delta = math.log((t + a) / (tox + prior + 1 - t - a)) - math.log((c + a) / (clean + prior + 1 - c - a))
+            if z < 0 or delta >= ts.MIN_LOG_ODDS:
+                scores[f] = delta if z > 0 else delta * (1 - (ts.MIN_Z / z) ** 2)
+    def of(w):
+        whole, *begins = ts.features(w)
+        return scores.get(whole, max((scores[b] for b in begins if b in scores), default=0.0))
+    values = [[of(w) for w in ts.TOKEN.findall(text.lower())] for text, toxic in rows if not toxic]
+    flat = np.rint(np.array([x for v in values for x in v]) / ts.STEP) * ts.STEP
+    drift = max(0.0, flat.mean() + ts.DRIFT)
+    low, high = 1e-6, 50.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if np.exp(x * (flat - drift)).mean() < 1 else (low, x)
+    best = [max([0.0, *(s for *_, s in ts.segments([x - drift for x in v]))]) for v in values]
+    k = len(values) / sum(len(v) * math.exp(-low * b) for v, b in zip(values, best, strict=True))
+    return scores, drift, low, k
+
+
+def test_fit_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        words = [rng.choice(["the", "of", "and", "tree", "treehouse"]) for _ in range(30)] + [rng.choice(["kind", "calm"] if rng.random() < 0.9 - 0.6 * toxic else ["zork", "zorkish", "bleh"]) for _ in range(4)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = ts.fit(docs, labels)
+    scores, drift, lam, k = brute_fit([(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % ts.FOLDS])
+    assert model.scores == pytest.approx(scores) and min(scores.values()) < 0 < max(scores.values())
+    assert (model.drift, model.lam, model.k) == pytest.approx((drift, lam, k), rel=1e-6)
+
+
 def synthetic(n, seed):
     rng = random.Random(seed)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
@@ -91,4 +141,4 @@ def test_pure_toxic_word_at_any_number_of_rows(spark, n):
     docs = spark.createDataFrame([*words.items()], "doc_id long, text string")
     labels = spark.createDataFrame([*toxic.items()], "doc_id long, toxic int")
     scores = ts.fit(docs, labels).scores
-    assert "=zork" in scores and "=both" not in scores
+    assert scores["=zork"] > 1 and "=both" not in scores

@@ -24,7 +24,8 @@ SIZES = (2, 3, 4)
 BUCKETS = 1 << 15
 DIM = 16
 FOLDS, HELD_OUT = 3, 1
-#: Bound on the rows that the model is fitted on.
+#: Bound on the labelled rows that the model is fitted on, shared out evenly among the languages; a language
+#: of fewer rows than its part leaves the rest to the others.
 MAX_TRAIN_ROWS = 2_500
 EPOCHS = 3
 RATE = 1.0
@@ -166,14 +167,31 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
     return model
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The part of each language's rows that is sampled, so that about most rows are in all."""
+    out: dict[str, float] = {}
+    rest, left = float(most), len(counts)
+    for lang, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
+        quota = min(float(n), rest / left)
+        out[lang] = quota / n
+        rest, left = rest - quota, left - 1
+    return out
+
+
 def fit(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     """Learn from text and lang of docs outside the held-out fold; None if there is no such row with a letter.
 
-    An even hash sample of about max_train_rows rows; only their hashed bags come to the driver.
+    One aggregate counts the labelled rows of each language; an even hash sample of each then makes up
+    about max_train_rows rows, of which only the hashed bags come to the driver.
     """
-    rows = docs.where("doc_id is not null and lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
-    share = min(1.0, max_train_rows / max(1, docs.count() * (FOLDS - 1) // FOLDS))
-    rows = rows.where(F.xxhash64("doc_id", F.lit("train")).bitwiseAND((1 << 30) - 1) <= int(share * (1 << 30)))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT
+    rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(fold)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    part = docs.sparkSession.createDataFrame([(k, int(v * (1 << 30))) for k, v in shares(counts, max_train_rows).items()], "lang string, part long")
+    rows = rows.join(F.broadcast(part), "lang")  # part has a row for each language
+    rows = rows.where(F.xxhash64("doc_id", F.lit("train")).bitwiseAND((1 << 30) - 1) <= F.col("part"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -194,7 +212,8 @@ def identify(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame
     lang_pred is und, with score 0 and rejected, where the text is null or has no letter, or where
     nothing could be learned. rejected is true where the calibrated score is below the threshold that
     keeps the accepted rows' error within ACCEPTED_ERROR. held_out is true for the fold that training
-    leaves out, and for a null doc_id. Repeated rows come back as often as they came.
+    leaves out, and for a null doc_id. Of languages with equal scores the first by name is predicted.
+    Texts of any length count whole. Repeated rows come back as often as they came.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, max_train_rows))
 

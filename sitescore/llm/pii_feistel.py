@@ -98,23 +98,23 @@ def card(value: str, key: bytes, undo: bool) -> str | None:
 
 
 def iban(value: str, key: bytes, undo: bool) -> str | None:
-    """A valid IBAN; country and letters stay, the check digits follow."""
-    own = value.replace(" ", "")
+    """A valid IBAN in either case; country and letters stay, the check digits follow."""
+    own = value.replace(" ", "").upper()
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
     if not 15 <= len(own) <= 34 or number(own[4:] + own[:4]) % 97 != 1:
         return None
     rest = permute_characters(own[4:], key, "iban" + own[:2], ALPHABETS[:1], undo)
     check = 98 - number(rest + own[:2] + "00") % 97
     out = iter(f"{own[:2]}{check:02d}{rest}")
-    return "".join(c if c == " " else next(out) for c in value)
+    return "".join(c if c == " " else next(out).lower() if c.islower() else next(out) for c in value)
 
 
 def phone(value: str, key: bytes, undo: bool) -> str | None:
-    """A number of 8 to 15 digits; a country code after + stays."""
+    """A number of 8 to 15 digits; a country code after + stays, and so does a leading 0."""
     code = re.match(r"\+(?:1|[0-9]+)", value)
-    code = code[0] if code and len(code[0]) <= 4 else "+" if code else ""
+    code = code[0] if code and len(code[0]) <= 4 else "+" if code else "0" if value[0] == "0" else ""
     digits = re.sub("[^0-9]", "", value[len(code) :])
-    if not 8 <= len(digits) + len(code) - 1 * bool(code) <= 15 or len(digits) < 6:
+    if not 8 <= len(digits) + len(code) - (code[:1] == "+") <= 15 or len(digits) < 6:
         return None
     return code + refill(value[len(code) :], permute_characters(digits, key, "phone" + code, undo=undo))
 
@@ -141,10 +141,12 @@ def ipv4(value: str, key: bytes, undo: bool) -> str | None:
 def day(value: str, key: bytes, undo: bool) -> str | None:
     """A calendar date from 1900 to 2099, year first or last; a date that fits both orders is read
     day first. Equal dates in different layouts get equal pseudonyms; days up to 12 stay such, so that
-    a pseudonym is read in the order of its date."""
+    a pseudonym is read in the order of its date. Where a day or month has one digit, so it has in the
+    pseudonym, and two digits stay two; such dates are linked among themselves. A time stays."""
     sep = next(c for c in value if not c.isdigit())
     parts = value.split(sep)
     orders = ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1))
+    padded = all(len(x) != 1 for x in parts)
     for order in orders:
         y, m, d = (int(parts[i]) for i in order)
         try:
@@ -154,13 +156,14 @@ def day(value: str, key: bytes, undo: bool) -> str | None:
         if not 0 <= n < DAYS:
             continue
         while True:
-            n = permute_below(n, DAYS, key, "date", undo)
+            n = permute_below(n, DAYS, key, "date" if padded else "short date", undo)
             new = FIRST_DAY + timedelta(n)
-            if (new.day > 12) == (d > 12):
+            # Without leading zeros the numbers of digits stay as well.
+            if (new.day > 12) == (d > 12) and (padded or ((new.day > 9) == (d > 9) and (new.month > 9) == (m > 9))):
                 break
         out = [""] * 3
         for i, x in zip(order, (new.year, new.month, new.day), strict=True):
-            out[i] = f"{x:0{4 if i == order[0] else 2}d}"
+            out[i] = f"{x:0{len(parts[i])}d}"
         return sep.join(out)
     return None
 
@@ -172,7 +175,13 @@ def email(value: str, key: bytes, undo: bool) -> str | None:
 
 
 def secret(value: str, key: bytes, undo: bool) -> str | None:
-    """A key with letters and digits; hexadecimal ones stay hexadecimal, known beginnings stay."""
+    """A key with letters and digits; hexadecimal ones stay hexadecimal, known beginnings, the beginnings of
+    a token's parts and the frame of a key block stay."""
+    if value.startswith("-----"):
+        head, body, end = re.match(r"(-----[^-]+-----)(.*)(-----END.*)", value, re.S).groups()
+        return head + permute_characters(body, key, "pem", undo=undo) + end
+    if value.startswith("eyJ"):
+        return ".".join("eyJ" * x.startswith("eyJ") + permute_characters(x.removeprefix("eyJ"), key, "token", undo=undo) for x in value.split("."))
     if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
         return None
     head = re.match(r"AKIA|gh[opsu]_|sk-|xox[abp]-", value)
@@ -188,15 +197,16 @@ KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": email, "i
 #: What each kind looks like before it is validated, the first that fits counting.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abp]-[0-9A-Za-z-]{10,})(?!\w))"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\5[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\6[0-9]{4})(?!\w|[-/.][0-9]))"
+    r"|(?P<iban>(?<!\w)(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?!\w))"
+    r"|(?P<secret>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?<!\w)eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}(?![\w-])|(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abp]-[0-9A-Za-z-]{10,})(?!\w))"
+    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\5[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\6[0-9]{4})(?=T[0-9]{2}:?[0-9]{2}|(?!\w|[-/.][0-9])))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<ipv4>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
     r"|(?P<card>(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\10[0-9]{4}\10[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\11[0-9]{5})(?!\w))"
-    r"|(?P<phone>(?<![\w+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6})(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,9}|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6})(?!\w))"
 )
-MAY_HAVE = re.compile("[0-9@]")
+MAY_HAVE = re.compile("[0-9@]|-----BEGIN")
 
 
 def pseudonyms(text: str | None, key: bytes = TRIAL_KEY, undo: bool = False, memo: Callable | None = None) -> tuple[str | None, dict[str, int]]:
@@ -233,8 +243,8 @@ def pseudonymised(docs: DataFrame, key: bytes = TRIAL_KEY) -> DataFrame:
     """One row (doc_id, text, n_found, found) for each row of docs(doc_id, text, ...).
 
     found counts the values replaced by kind. A null text stays null, a text without such values is
-    unchanged, numbers that fail their validation stay. Repeated rows come back as often as they
-    came; other columns are ignored.
+    unchanged, numbers that fail their validation stay. Texts of any length are read whole. Repeated
+    rows come back as often as they came; other columns are ignored.
     """
     out = docs.select("doc_id", column(key=key).alias("__p"))
     n = F.aggregate(F.map_values("__p.found"), F.lit(0), lambda a, x: a + x)

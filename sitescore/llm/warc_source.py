@@ -27,6 +27,8 @@ from pyspark.sql.types import StructType
 from .common import checkpoint, filesystem, shared_path
 
 MIN_REVISIT_BYTES = 1_000
+#: Repeated digests that are broadcast, so that no payload is shuffled; of more, Spark chooses how to join.
+MAX_BROADCAST = 500_000
 FILE_BYTES = 1 << 30
 BATCH_BYTES = 8 << 20
 DATE = "2025-01-01T00:00:00Z"
@@ -63,10 +65,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def member(data: bytes, level: int) -> bytes:
-    """data as a gzip member whose extra field `sl` has its compressed and uncompressed lengths."""
+    """data as a gzip member whose extra field `sl` has its compressed and uncompressed lengths; one that
+    is too long for the field has none, and is read through instead of skipped."""
     packer = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
     body = packer.compress(data) + packer.flush()
     size = 24 + len(body) + 8
+    if max(size, len(data)) >= 1 << 32:
+        return struct.pack("<4sIBB", b"\x1f\x8b\x08\x00", 0, 0, 255) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
     head = struct.pack("<4sIBB", b"\x1f\x8b\x08\x04", 0, 0, 255) + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
@@ -310,12 +315,14 @@ def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISI
     Of the rows with equal payloads of min_revisit_bytes or more, those with the largest page_id are
     response records, the others revisit records of it, rows without page_id among them; if none has
     a page_id all are responses. A null html is an empty payload. Repeated rows give repeated records.
+    Only digests that occur more than once are joined to the pages, and broadcast up to MAX_BROADCAST.
     """
     register(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digest = F.when(F.octet_length(payload) >= min_revisit_bytes, F.sha1(payload))
     keys = pages.select("page_id", digest.alias("digest")).where("digest is not null")
     first = checkpoint(keys.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first"))
+    first = F.broadcast(first) if first.count() <= MAX_BROADCAST else first
     rows = pages.select("page_id", "url", payload.alias("payload"), digest.alias("__d")).join(first, F.col("__d") == F.col("__digest"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     out = rows.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
@@ -330,14 +337,19 @@ def read_records(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataF
 def archived(pages: DataFrame, **options: str) -> DataFrame:
     """Archive pages and read the records back: (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri).
 
-    A response's length and digest are taken from the payload read; one that differs from its header
-    raises an error. A revisit has those of its headers.
+    Responses and revisits are read each by a pushed-down predicate on the record type. A response's
+    length and digest are taken from the payload read; one that differs from its header raises an
+    error. A revisit's are those of its headers, and its block isn't decoded.
     """
-    path = shared_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    path = shared_path(spark, "warc")
     write_pages(pages, path, **options)
-    found = read_records(pages.sparkSession, path)
-    digest = F.when(F.col("record_type") == "revisit", F.col("payload_digest")).when(F.sha1("payload") == F.col("payload_digest"), F.col("payload_digest"))
-    return found.select("page_id", "payload_bytes", F.coalesce(digest, F.raise_error(F.lit("a payload differs from its digest")).cast("string")).alias("payload_digest"), "record_type", "refers_to", "target_uri")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
+    full = read_records(spark, path).where("record_type = 'response'")
+    digest = F.when(F.sha1("payload") == F.col("payload_digest"), F.col("payload_digest"))
+    full = full.withColumn("payload_digest", F.coalesce(digest, F.raise_error(F.lit("a payload differs from its digest")).cast("string")))
+    heads = read_records(spark, path, SCHEMA.removesuffix(", payload binary")).where("record_type = 'revisit'")
+    return full.select(names).unionByName(heads.select(names))
 
 
 #: The same in DuckDB.

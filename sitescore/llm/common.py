@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import cut as checkpoint
+from ..operators.state import remove, shared_path
+from ..streaming.merge import filesystem
+
+__all__ = ["SPACE", "WORD", "checkpoint", "connected_components", "filesystem", "remove", "shared_path", "table"]
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the one that the session names in
-    spark.checkpoint.dir, and a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
-
-
-def remainder(doc_id: str, n: int):
-    """crc32 of the id as text, modulo n; null for a null id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs.
 
@@ -51,6 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     split where a node has very many neighbours; the edges are checkpointed after each
     round. Self loops, repeated edges and nulls are dropped.
     """
+
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
@@ -71,12 +50,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select("a", F.col("b").alias("root"))
-
-
-def filesystem(uri: str):
-    """The file system that a URI names, and the path there; a bare path is local."""
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    if uri.startswith("file:"):
-        return LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return FileSystem.from_uri(uri)

@@ -148,12 +148,25 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, third_block_fro
     return rows.join(checkpoint(found), "fp").select("doc_id", "fp", "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, near=near_duplicates, **options) -> DataFrame:
-    """The rows of docs that near(), near_duplicates() here, makes their component's smallest doc_id,
-    each doc_id once; rows without a doc_id stay. The columns are those of docs."""
-    groups = near(docs, **options)
-    kept = checkpoint(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")))
-    own = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-    if kept.where("__n > 1").limit(1).count():
-        own = own.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, near=near_duplicates, mark=fingerprints, mark_name: str = "fp", **options) -> DataFrame:
+    """One row of each component of near(), near_duplicates() here: that of the smallest doc_id. Rows
+    without a doc_id stay. The columns are those of docs.
+
+    Rows may share a doc_id. Of those whose texts have an equal mark() the least in the order of text
+    and the other columns is the one; texts of different marks each stay as long as their component's
+    smallest doc_id is their own, so no distinct text is lost to a repeated id.
+    """
+    groups = near(docs, **options).where("doc_id is not null")
+    first = F.col("doc_id") == F.col("component_id")
+    ids = groups.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n"), F.bool_or(first).alias("__first"))
+    ids = checkpoint(ids.where("__first").drop("__first"))
+    own = docs.join(ids.where("__n = 1"), docs["doc_id"] == F.col("__kept"), "left_semi")
+    again = ids.where("__n > 1")
+    if again.limit(1).count():
+        marks = groups.where(first).select(F.col("doc_id").alias("__kept"), F.col(mark_name).alias("__mark2")).join(again, "__kept", "left_semi").distinct()
+        rows = docs.join(again, docs["doc_id"] == F.col("__kept"), "left_semi").withColumn("__mark", mark(F.col("text")))
+        rows = rows.join(marks, (F.col("doc_id") == F.col("__kept")) & (F.col("__mark") == F.col("__mark2")), "left_semi")
+        row, order = F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))
+        least = rows.groupBy("doc_id", "__mark").agg(F.min_by(row, order).alias("__row"))
+        own = own.unionByName(least.select("__row.*"))
     return own.unionByName(docs.where("doc_id is null"))

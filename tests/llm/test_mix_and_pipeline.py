@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitescore.llm import decontam_prefix, mix_flow, pii_feistel, queries, simhash_anchors
+from sitescore.llm import decontam_prefix, mix_flow, pii_feistel, queries
 from sitescore.llm.common import table
 
 
@@ -93,12 +93,52 @@ def test_overlapping_sources(spark):
     got = mix_flow.mix(df, sources=F.col("tags")).collect()
     whole = sum(r["size"] for r in got)
     assert len(got) == 400 and abs(sum(r["taken"] for r in got) - whole) <= 0.1 * whole
-    with pytest.raises(ValueError):
-        mix_flow.mix(df, sources=F.col("tags"), max_patterns=3)
+
+
+def test_every_pattern_goes_through_the_flow(spark, sf, monkeypatch):
+    seen, route = [], mix_flow.route
+    monkeypatch.setattr(mix_flow, "route", lambda patterns, *rest: seen.append({*patterns}) or route(patterns, *rest))
+    queries.op7_mix_flow(spark, sf)
+    assert seen == [{(r["source"],) for r in table(spark, sf, "documents").select("source").distinct().collect()}]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_more_patterns_than_the_driver_takes(spark, most):
+    """Solved component by component in the tasks, with the same targets and as large and cheap a flow."""
+    rng = random.Random(most)
+    names = ["a", "b", "Z", "é", "c", "d", None, "e"]
+    docs = [(i, "w " * rng.choice([1, 5, 60, 600]), rng.sample(names[:3] if i % 2 else names[3:], rng.randint(0, most))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, tags array<string>")
+    one, two = (mix_flow.mix(df, sources=F.col("tags"), max_patterns=n).collect() for n in (100, 0))
+    by = lambda rows: {r["doc_id"]: (r["pattern"], r["size"], r["source_size"], pytest.approx(r["target"])) for r in rows}
+    assert by(one) == by(two)
+    sums = lambda rows: sum(r["taken"] for r in rows)
+    assert sums(one) == pytest.approx(sums(two), rel=0.05)
+    if most == 1:
+        assert sorted(map(str, one)) == sorted(map(str, two))
+
+
+def similar_groups(docs):
+    """Smallest id of each component by the similarity of all pairs' five-word shingles."""
+    sets = {}
+    for i, text in docs:
+        w = (text or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+SECRET = "a secret of the tests"
 
 
 def test_pipeline_against_its_parts(spark, sf):
     """Each stage written and read again, and judged by the plain definition of what it decides."""
+    spark.conf.set(corpus_pipeline.KEY, SECRET)
     docs = table(spark, sf, "documents").withColumn("extra", F.lit(1))
     columns = docs.columns
     for (name, stage), check in zip(corpus_pipeline.STAGES, (None, "one of each group", "no window", "no value", "drawn"), strict=True):
@@ -112,20 +152,55 @@ def test_pipeline_against_its_parts(spark, sf):
         if name != "mixing":
             assert docs.columns == columns
         if check == "one of each group":
-            fp = {r["doc_id"]: simhash_anchors.fingerprint(r["text"]) & (1 << 64) - 1 for r in before}
-            assert not [1 for a, b in itertools.combinations(ids, 2) if (fp[a] ^ fp[b]).bit_count() <= 2]
-            assert all(min(i for i in fp if (fp[i] ^ fp[x]).bit_count() <= 2) < x for x in fp.keys() - ids)
+            assert ids == {*similar_groups([(r["doc_id"], r["text"]) for r in before]).values()}
         elif check == "no window":
             index = decontam_prefix.Index.of([(str(r["item_id"]), r["text"]) for r in table(spark, sf, "benchmark").collect()])
             index.choose({k: np.zeros(len(v), int) for k, v in index.shingles.items()})
             assert {r["doc_id"] for r in before if not index.hits(r["text"])[3]} == ids
         elif check == "no value":
-            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in after} == {r["doc_id"]: (t := pii_feistel.pseudonyms(r["text"])[0], len(t)) for r in before}
+            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in after} == {r["doc_id"]: (t := pii_feistel.pseudonyms(r["text"], SECRET.encode())[0], len(t)) for r in before}
         elif check == "drawn":
             assert {*docs.columns} == {*columns} | {"size", "source_size", "target", "taken"} and all(r["taken"] > 0 for r in after)
     assert len(after)
+    spark.conf.unset(corpus_pipeline.KEY)
 
 
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 20 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "mixing"]
+
+
+def test_trial_key_is_refused(spark, edge):
+    spark.conf.set(corpus_pipeline.KEY, pii_feistel.TRIAL_KEY.decode())
+    with pytest.raises(ValueError):
+        corpus_pipeline.pii(spark, edge, "")
+    spark.conf.unset(corpus_pipeline.KEY)
+
+
+def written(spark, tmp_path, docs, labels, benchmark):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_run_on_edge_cases(spark, tmp_path, edge, labels, benchmark):
+    """Nulls, empty and long texts, repeated rows and clashing columns."""
+    got = corpus_pipeline.run(spark, written(spark, tmp_path, edge, labels.where("toxic = 0"), benchmark))
+    assert {*got.columns} == {*edge.columns} | {"source_size"}
+    rows = got.collect()
+    ids = [r["doc_id"] for r in rows]
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and {7, 11} <= {*ids}
+    assert not {1, 2, 3, 8, 9} & {*ids}  # these have windows of the benchmark
+
+
+def test_run_on_empty_tables(spark, tmp_path, empty, labels, benchmark):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, empty, labels.limit(0), benchmark.limit(0))).count() == 0
+
+
+def test_distinct_texts_of_one_id_stay(spark, sf):
+    plain = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, plain, "b"), (1, plain, "a"), (1, "wholly different words", "c"), (2, plain + " end", "d"), (3, "Wholly  different words", "e"), (4, "four", "f"), (4, plain + " end", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 7):
+        got = corpus_pipeline.near_duplicates(spark, docs.repartition(n), sf).collect()
+        assert sorted(map(tuple, got)) == [(1, plain, "a"), (1, "wholly different words", "c"), (4, "four", "f")]

@@ -76,7 +76,7 @@ def test_fit_against_brute_force(spark):
     rows = []
     for i in range(400):
         toxic = int(i % 4 == 0)
-        words = [rng.choice(["the", "of", "and", "tree", "treehouse"]) for _ in range(30)] + [rng.choice(["kind", "calm"] if rng.random() < 0.9 - 0.6 * toxic else ["zork", "zorkish", "bleh"]) for _ in range(4)]
+        words = [rng.choice(["the", "of", "and", "tree", "treehouse"]) for _ in range(30)] + [rng.choice(["kind", "calm"] if rng.random() < 0.99 - 0.69 * toxic else ["zork", "zorkish", "bleh"]) for _ in range(4)]
         rng.shuffle(words)
         rows.append((i, " ".join(words), toxic))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")

@@ -11,6 +11,7 @@ it reads and computes is linear in their number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -176,13 +177,14 @@ def cumulative_logdet(selection: DataFrame) -> DataFrame:
     return selection.withColumn("logdet", F.sum("gain").over(Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def greedy_select(blocks: DataFrame, budget: int, r_sq: float, candidates: DataFrame | None = None, restart: str | None = None, checkpoint: str | None = None, triangle: str = "upper") -> DataFrame:
+def greedy_select(blocks: DataFrame, budget: int, r_sq: float, candidates: DataFrame | None = None, restart: str | None = None, checkpoint: str | None = None, triangle: str = "upper", on_pick: Callable[[int, int], None] | None = None) -> DataFrame:
     """(step, sensor_id, gain, logdet): up to budget picks, fewer if no candidate has a finite gain.
 
     restart names a saved selection: its picks are replayed without a search and the selection goes
     on from there. checkpoint names a path to which the selection is saved every CHECKPOINT_EVERY
-    picks and at the end. Equal gains go to the smallest sensor_id. blocks are best read from files
-    (read_blocks), as each pick filters them by the winner.
+    picks and at the end; on_pick is called with the number and the sensor of each pick. Equal gains
+    go to the smallest sensor_id. blocks are best read from files (read_blocks), as each pick filters
+    them by the winner.
     """
     spark = blocks.sparkSession
     prefix = [(r["sensor_id"], r["gain"]) for r in read_selection(spark, restart).orderBy("step").collect()] if restart else []
@@ -197,6 +199,8 @@ def greedy_select(blocks: DataFrame, budget: int, r_sq: float, candidates: DataF
         if winner is None or winner["score"] is None:
             break
         picks.append((k, winner["sensor_id"], winner["score"], winner["score"] + (picks[-1][3] if picks else 0.0)))
+        if on_pick:
+            on_pick(k, winner["sensor_id"])
         if checkpoint and len(picks) % CHECKPOINT_EVERY == 0:
             write_selection(spark.createDataFrame(picks, SELECTION), checkpoint)
         if len(picks) < budget:

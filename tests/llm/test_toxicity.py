@@ -74,7 +74,7 @@ def brute_fit(rows):
 def test_fit_against_brute_force(spark):
     rng = random.Random(6)
     rows = []
-    for i in range(400):
+    for i in range(1600):
         toxic = int(i % 4 == 0)
         words = [rng.choice(["the", "of", "and", "tree", "treehouse"]) for _ in range(30)] + [rng.choice(["kind", "calm"] if rng.random() < 0.99 - 0.69 * toxic else ["zork", "zorkish", "bleh"]) for _ in range(4)]
         rng.shuffle(words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam_prefix, html_pagediff, langid_subword, mix_flow, pii_feistel, quality_cascade, simhash_anchors, token_separator, toxicity_segments, warc_source
+from . import decontam_prefix, filter_audit, html_pagediff, langid_subword, line_dedup, mix_flow, pii_feistel, quality_cascade, simhash_anchors, token_separator, toxicity_segments, warc_source, whitening
 from .common import table
 
 
@@ -53,6 +53,19 @@ def op10_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_source.archived(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +79,9 @@ QUERIES = {
         op8_decontam_prefix,
         op9_token_separator,
         op10_warc_source,
+        op11_filter_audit,
+        op12_line_dedup,
+        op13_whitening,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_quality_cascade": quality_cascade.SQL, "op8_decontam_prefix": decontam_prefix.SQL, "op10_warc_source": warc_source.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_quality_cascade": quality_cascade.SQL, "op8_decontam_prefix": decontam_prefix.SQL, "op10_warc_source": warc_source.SQL, "op11_filter_audit": filter_audit.SQL, "op12_line_dedup": line_dedup.SQL}

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use for columns of their own.
-CLASHING = "fp node component_id size pattern target taken score predicted held_out h1 n_words kept found items starts n_hit"
+CLASHING = "fp node component_id size pattern target taken score predicted held_out h1 n_words kept found items starts n_hit part mask n good toxic digest is_first first doc row pos key keep at bits n_dropped"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING.split())
 
 

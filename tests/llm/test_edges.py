@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sitescore.llm import decontam_prefix, html_pagediff, langid_subword, mix_flow, pii_feistel, quality_cascade, simhash_anchors, token_separator, toxicity_segments, warc_source
+from sitescore.llm import decontam_prefix, filter_audit, html_pagediff, langid_subword, line_dedup, mix_flow, pii_feistel, quality_cascade, simhash_anchors, token_separator, toxicity_segments, warc_source
 
 from .conftest import edge_cases
 
@@ -16,6 +16,8 @@ OPERATORS = {
     "mix": lambda d, labels, bench: mix_flow.mix(d),
     "decontam": lambda d, labels, bench: decontam_prefix.contamination(d, bench),
     "tokens": lambda d, labels, bench: token_separator.token_counts(d),
+    "lines": lambda d, labels, bench: line_dedup.deduplicated(d),
+    "masks": lambda d, labels, bench: filter_audit.masks(d).withColumn("doc_id", F.explode(F.array_repeat("doc_id", F.col("n").cast("int")))),
 }
 FILTERS = {
     "simhash": lambda d, labels, bench: simhash_anchors.keep_one(d),

@@ -37,7 +37,7 @@ def test_against_dense_algebra(spark):
         assert i == 0 or np.allclose(mine * sign, want[i], atol=1e-9)
     assert np.allclose(own["explained"], values / values.sum(), rtol=1e-9)
     deviations = ((n * x - sums) ** 2).sum(1)
-    assert got[got["component"] == 1].groupby("vec_id")["deviation"].first()[:6].tolist() == deviations[:6].tolist()
+    assert got[got["component"] == 1].groupby("vec_id")["deviation"].first().iloc[:6].tolist() == deviations[:6].tolist()
     assert got["identity_error"].nunique() == 1 and got["identity_error"][0] < 1e-9
 
 

@@ -91,6 +91,13 @@ def s7_selection_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.read_selection(spark, path).select("step", "sensor_id", r6("gain"), r6("logdet"))
 
 
+def s7_selection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same selection, from lines of sensors and log-determinants so far."""
+    path = shared_path(spark, "selection")
+    greedy.selection_lines(greedy.cumulative_logdet(fx.selection(spark, sf_dir))).write.text(path)
+    return greedy.read_selection(spark, path).select("step", "sensor_id", r6("gain"), r6("logdet"))
+
+
 def s8_append_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, own = shared_path(spark, "samples"), fx.samples(spark, sf_dir).withColumn("retries", F.lit(0))
     for part in (0, 1):
@@ -119,8 +126,9 @@ def s10_checkpoint_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s14_read_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of lon,lat alone, in the order of the sensors."""
     path = shared_path(spark, "coords")
-    fx.sensors(spark, sf_dir).select("sensor_id", "lon", "lat").write.option("header", True).csv(path)
+    fx.sensors(spark, sf_dir).repartitionByRange(4, "sensor_id").sortWithinPartitions("sensor_id").select("lon", "lat").write.option("header", True).csv(path)
     return records.read_coords(spark, path).select("sensor_id", r6("lon"), r6("lat"))
 
 
@@ -420,6 +428,7 @@ SELECT b::INT AS bin, round(low + b * width, 6) AS left_edge, round(low + (b + 1
     "b14_compare_designs": f"WITH {fx.SAMPLES}, v AS (SELECT count(*) AS n, avg(logdet) AS mean, max(logdet) AS max, stddev_samp(logdet) AS stddev FROM samples WHERE logdet < 'inf'::DOUBLE) SELECT 'greedy' AS design, 250.0::DOUBLE AS logdet, round((250 - mean) / stddev, 6) AS to_mean, round((250 - max) / stddev, 6) AS to_max FROM v UNION ALL SELECT 'uniform', 180, NULL, NULL UNION ALL SELECT 'random', round(mean, 6), NULL, NULL FROM v UNION ALL SELECT 'random max', round(max, 6), NULL, NULL FROM v UNION ALL SELECT 'random stddev', round(stddev, 6), NULL, NULL FROM v",
 }
 SQL["c2_config_logdet_blocked"] = SQL["c2_config_logdet"]
+SQL["s7_selection_lines"] = SQL["s7_selection_roundtrip"]
 SQL["c11_resume_state"] = greedy_sql(RESUMED)
 UNIFORM_CONFIG = SQL["b9_uniform_config"]
 SQL["b10_uniform_score"] = f"""{factored("", f"cfg AS MATERIALIZED (SELECT 0 AS config_id, row_number() OVER (ORDER BY sensor_id) - 1 AS i, sensor_id FROM ({UNIFORM_CONFIG}))")} SELECT round(sum(ln(d)), 6) AS logdet FROM st WHERE p = i"""
@@ -427,7 +436,7 @@ SQL["b3_baseline_run"] = f"""{factored("bad", "fine AS MATERIALIZED (SELECT bloc
 SELECT config_id::BIGINT AS sample_id, round(sum(ln(d)), 6) AS logdet, 5::BIGINT AS n_samples, 0::BIGINT AS retries, (SELECT count(*) FROM sensors) - (SELECT count(*) FROM fine) AS n_screened FROM st WHERE p = i GROUP BY config_id"""
 
 NAMES = (
-    s1_synthetic_blocks, s2_matrix_info, s3_entries_blocks, s4_diagonal_blocks, s5_cross_blocks, s5_cross_blocks_stored, s6_contiguous_runs, s7_selection_roundtrip, s8_append_samples, s9_merge_rank_files_stream,
+    s1_synthetic_blocks, s2_matrix_info, s3_entries_blocks, s4_diagonal_blocks, s5_cross_blocks, s5_cross_blocks_stored, s6_contiguous_runs, s7_selection_roundtrip, s7_selection_lines, s8_append_samples, s9_merge_rank_files_stream,
     s10_checkpoint_objective, s14_read_coords, p1_clean_nan, p2_symmetrize, p3_regularize, p4_exclude_sensors, p5_remaining_candidates, p6_split_candidates, p7_split_samples, p8_prescreen, p9_drop_infinite,
     c1_config_submatrix, c2_config_logdet, c2_config_logdet_blocked, c3_singleton_scores, c4_schur_gains, c5_naive_gains, c6_failed_candidates, c7_best_candidate, c9_greedy_select, c10_extend_state, c11_resume_state, c12_cumulative_logdet,
     b1_random_orders, b2_random_configs, b3_baseline_run, b4_uniform_subsample, b5_base_grid, b6_grid_mesh, b7_center_fill, b8_trim_to_budget, b9_uniform_config, b10_uniform_score, b11_selected_coords, b12_density_histogram, b13_sigma_distance, b14_compare_designs,

@@ -45,22 +45,25 @@ def _timeline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s12_read_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "timeline")
-    records.write_timeline(_timeline_spans(spark, sf_dir), F.lit(5.0), "document", path)
+    """Half of the documents on a line each, half indented."""
+    path, spans = shared_path(spark, "timeline"), _timeline_spans(spark, sf_dir)
+    for indent in (False, True):
+        records.write_timeline(spans.where((F.col("document.part") % 2 == 1) == indent), F.lit(5.0), "document", path, indent, "append")
     return records.read_timeline(spark, path).select("lane", "name", F.round("start_ms", 3).alias("start_ms"), F.round("dur_ms", 3).alias("dur_ms"), "candidate", "buffer")
 
 
 def s12_read_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "breakdown")
     by = fx.segments(spark, sf_dir).groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("name", "ms"))).alias("gpu_ms"))
-    by.select(F.to_json(F.struct(F.lit("candidate_breakdown_v1").alias("format"), "candidate", F.create_map(F.lit("hdf5_read_si"), F.lit(1.5)).alias("io_ms"), "gpu_ms")).alias("value")).write.text(path)
+    by.select(F.to_json(F.struct(F.lit("candidate_breakdown_v1").alias("format"), "candidate", F.create_map(F.lit("hdf5_read_si"), F.lit(1.5)).alias("io_ms"), "gpu_ms"), {"pretty": "true"}).alias("value")).write.text(path)
     return rounded(records.read_breakdown(spark, path), "ms")
 
 
 def s12_read_profiler_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "trace")
     by = fx.trace(spark, sf_dir).groupBy(F.floor(F.col("event_seq") / DOCUMENT).alias("f")).agg(F.collect_list(F.struct("name", "ph", "ts", "dur")).alias("traceEvents"))
-    by.select(F.to_json(F.struct("traceEvents")).alias("value")).write.text(path)
+    for indent in (False, True):
+        by.where((F.col("f") % 2 == 1) == indent).select(F.to_json(F.struct("traceEvents"), {"pretty": str(indent).lower()}).alias("value")).write.mode("append").text(path)
     return records.read_profiler_trace(spark, path).select("name", "ph", F.round("ts", 1).alias("ts"), F.round("dur", 1).alias("dur"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .blocks import clean_nan, diagonal_blocks, regularize, symmetrize
 from .objective import block_scores, config_logdet, config_upper, pivoted
+from .running import running
 from .state import cut
 
 #: Random configurations of more values than this a side are built block by block.
@@ -224,7 +225,7 @@ def uniform_config(spark: SparkSession, n_lon: int, n_lat: int, budget: int, see
 def uniform_score(blocks: DataFrame, n_lon: int, n_lat: int, budget: int, r_sq: float, seed: int) -> DataFrame:
     """One row (logdet) for the evenly spaced configuration."""
     own = uniform_config(blocks.sparkSession, n_lon, n_lat, budget, seed)
-    placed = own.select(F.lit(0).alias("config_id"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sensor_id")) - 1).alias("position"), "sensor_id")
+    placed = running(own, ["sensor_id"], "position").select(F.lit(0).alias("config_id"), F.col("position").cast("int").alias("position"), "sensor_id")
     return config_logdet(blocks, placed, r_sq).select("logdet")
 
 

@@ -16,12 +16,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linalg import log_dets
+from ..sources.pieces import numbered_lines
 from .blocks import diagonal_blocks, normalised, oriented, regularize
 from .objective import best_candidate
+from .running import running
 from .state import cut, remove
 
 SELECTION = "step int, sensor_id int, gain double, logdet double"
@@ -157,24 +161,38 @@ def write_selection(selection: DataFrame, path: str) -> None:
 
 
 def read_selection(spark: SparkSession, path: str) -> DataFrame:
-    """The selection saved in path, in any number of rows; the one before where a save was cut off, and an
-    empty one if there is none that can be read."""
-    from py4j.protocol import Py4JError
-    from pyspark.errors import PySparkException
-
+    """The selection saved in path, in any number of rows: as Parquet, or as lines of a sensor and the log-determinant
+    so far, separated by white space. The one before where a save was cut off, and an empty one if there is none
+    that can be read."""
     for own in (path, f"{path}.old"):
-        try:
-            found = spark.read.schema(SELECTION).parquet(own)
-            found.count()
-            return found
-        except (PySparkException, Py4JError):
-            continue
+        for read in (lambda p: spark.read.schema(SELECTION).parquet(p), lambda p: read_selection_lines(spark, p)):
+            try:
+                found = read(own)
+                found.count()
+                return found
+            except (PySparkException, Py4JError):
+                continue
     return spark.createDataFrame([], SELECTION)
 
 
+def read_selection_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A selection of lines in pick order, each a sensor and the log-determinant so far; text after # is left out.
+    The gains are the differences. A line that isn't two numbers is an error."""
+    lines = numbered_lines(spark, path, comment="#").select("number", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("x"))
+    fine = F.when(F.size("x") >= 2, F.col("x")).otherwise(F.raise_error(F.lit("expected a sensor and a log-determinant")).cast("array<string>"))
+    rows = cut(lines.select(F.col("number").cast("int").alias("step"), fine.alias("x")).select("step", F.col("x")[0].cast("double").cast("int").alias("sensor_id"), F.col("x")[1].cast("double").alias("logdet")))
+    before = rows.select((F.col("step") + 1).alias("step"), F.col("logdet").alias("before"))
+    return rows.join(before, "step", "left").select("step", "sensor_id", (F.col("logdet") - F.coalesce("before", F.lit(0.0))).alias("gain"), "logdet")
+
+
+def selection_lines(selection: DataFrame) -> DataFrame:
+    """(value) of selection(step, sensor_id, gain, logdet) as such lines, in pick order over its partitions."""
+    return selection.orderBy("step").select(F.format_string("%d %.18e", "sensor_id", "logdet").alias("value"))
+
+
 def cumulative_logdet(selection: DataFrame) -> DataFrame:
-    """selection(step, sensor_id, gain) with the running sum of its gains; as many rows as picks."""
-    return selection.withColumn("logdet", F.sum("gain").over(Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    """selection(step, sensor_id, gain) with the running sum of its gains."""
+    return running(selection, ["step"], sums={"logdet": "gain"})
 
 
 def greedy_select(blocks: DataFrame, budget: int, r_sq: float, candidates: DataFrame | None = None, restart: str | None = None, checkpoint: str | None = None, triangle: str = "upper", on_pick: Callable[[int, int], None] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 METRICS = ("io_time", "compute_time", "wall_time", "imbalance_time", "comm_time")
 
 
@@ -18,14 +20,13 @@ def benchmark_draw(sensors: DataFrame, k: int, total: int, seed_s: int, seed_c:
     selected = sensors.select("sensor_id").orderBy(_hash_order(seed_s, F.col("sensor_id")), "sensor_id").limit(k)
     pool = sensors.select("sensor_id").join(selected, "sensor_id", "left_anti")
     if not replace:
-        order = Window.partitionBy(F.lit(0)).orderBy(_hash_order(seed_c, F.col("sensor_id")), "sensor_id")
-        drawn = pool.orderBy(_hash_order(seed_c, F.col("sensor_id")), "sensor_id").limit(total)
-        return selected, drawn.select((F.row_number().over(order) - 1).cast("long").alias("draw"), "sensor_id")
-    placed = pool.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sensor_id")) - 1).alias("place"), "sensor_id")
+        drawn = running(pool, [_hash_order(seed_c, F.col("sensor_id")), "sensor_id"], "draw").where(F.col("draw") < total)
+        return selected, drawn.select("draw", "sensor_id")
+    placed = running(pool, ["sensor_id"], "place").select("place", "sensor_id")
     size = pool.agg(F.count("*").alias("size"))
     draws = sensors.sparkSession.range(total).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size))  # size has one row
     number = F.conv(F.substring(_hash_order(seed_c, F.col("draw")), 1, 8), 16, 10).cast("long")
-    return selected, draws.withColumn("place", (number % F.col("size")).cast("int")).join(placed, "place").select("draw", "sensor_id")
+    return selected, draws.withColumn("place", number % F.col("size")).join(placed, "place").select("draw", "sensor_id")
 
 
 def cap_per_rank(drawn: DataFrame, total: int, ranks: int, max_evals: int = 0) -> DataFrame:

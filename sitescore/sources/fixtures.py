@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linalg import listed
+from ..operators.running import running
 
 WINDOW = 48
 #: Sensors a side of the tiles in which the matrix is made.
@@ -121,7 +122,7 @@ SELECTION = "selection AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(step, sensor_id, gain): a selection of the sensors whose embedding begins above zero, about half of them."""
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("sensor_id"), F.get("embedding", F.lit(0)).cast("double").alias("gain")).where("gain > 0")
-    return own.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sensor_id")) - 1).alias("step"), "sensor_id", "gain")
+    return running(own, ["sensor_id"], "step").select(F.col("step").cast("int").alias("step"), "sensor_id", "gain")
 
 
 RAW = """raw AS (SELECT ranks, run, rank, sum(io) AS io, sum(compute) AS compute, sum(io + compute) AS wall, sum(comm) AS comm FROM (

@@ -79,30 +79,26 @@ class Model:
 
 
 def segments(values: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last token, score) of a text with these token scores. Linear in
-    the tokens: the stack holds candidates (left sum, right sum, first, last), and a new positive
-    token joins those that it lifts."""
+    """All maximal scoring segments (first, last token, score) of a text with these token scores.
+
+    The stack holds candidates (left sum, right sum, first, last, place of the nearest earlier one with
+    a lower left sum); a new positive token joins those that it lifts. Candidates that a search has
+    passed are never met again, as the new one points past them; so the scan is linear in the tokens.
+    """
     own = np.asarray(values, float)
     hits = np.flatnonzero(own > 0)
-    if not len(hits):
-        return []
     sums = np.concatenate([[0.0], np.cumsum(own)])
-    stack: list[tuple[float, float, int, int]] = []
-    for at, left, total in zip(hits.tolist(), sums[hits].tolist(), sums[hits + 1].tolist(), strict=True):
-        new = (left, total, at, at)
-        kept: list[tuple[float, float, int, int]] = []
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= new[0]:
-                kept.append(stack.pop())
-                j -= 1
-            if j < 0 or stack[j][1] >= new[1]:
-                break
-            new = (stack[j][0], new[1], stack[j][2], new[3])
-            del stack[j:]
-            kept.clear()
-        stack += [*reversed(kept), new]
-    return [(a, b, high - low) for low, high, a, b in stack]
+    stack: list[tuple[float, float, int, int, int]] = []
+    for at, left, right in zip(hits.tolist(), sums[hits].tolist(), sums[hits + 1].tolist(), strict=True):
+        lower, begin = len(stack) - 1, at
+        while lower >= 0 and stack[lower][0] >= left:
+            lower = stack[lower][4]
+        while lower >= 0 and stack[lower][1] < right:
+            joined = lower
+            left, _, begin, _, lower = stack[joined]
+            del stack[joined:]
+        stack.append((left, right, begin, at, lower))
+    return [(a, b, right - left) for left, right, a, b, _ in stack]
 
 
 def token_scores(text: str | None, model: Model) -> list[float]:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,15 @@ def test_segments_against_brute_force():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_of_long_texts():
+    """A million tokens with a falling sum, and ones with a rising and a level sum."""
+    for values in (np.tile([-2.0, 1.0], 500_000), np.tile([-1.0, 2.0], 500_000), np.tile([-1.0, 1.0], 500_000)):
+        began = time.perf_counter()
+        found = ts.segments(values.tolist())
+        assert time.perf_counter() - began < 5
+        assert len(found) == (1 if values[1] == 2 else 500_000)
+
+
 def brute_fit(rows):
     """Scores, drift, lambda and K by the definitions, in plain Python."""
     count, tox, clean = {}, 0, 0

@@ -158,15 +158,22 @@ def keep_one(docs: DataFrame, near=near_duplicates, mark=fingerprints, mark_name
     """
     groups = near(docs, **options).where("doc_id is not null")
     first = F.col("doc_id") == F.col("component_id")
-    ids = groups.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n"), F.bool_or(first).alias("__first"))
-    ids = checkpoint(ids.where("__first").drop("__first"))
-    own = docs.join(ids.where("__n = 1"), docs["doc_id"] == F.col("__kept"), "left_semi")
-    again = ids.where("__n > 1")
+    kept, own_mark, other_mark, row_name = unused(docs, "kept", "own_mark", "other_mark", "row")
+    ids = groups.groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias("n"), F.bool_or(first).alias("first"))
+    ids = checkpoint(ids.where("first").drop("first"))
+    own = docs.join(ids.where("n = 1").select(kept), docs["doc_id"] == F.col(kept), "left_semi")
+    again = ids.where("n > 1").select(kept)
     if again.limit(1).count():
-        marks = groups.where(first).select(F.col("doc_id").alias("__kept"), F.col(mark_name).alias("__mark2")).join(again, "__kept", "left_semi").distinct()
-        rows = docs.join(again, docs["doc_id"] == F.col("__kept"), "left_semi").withColumn("__mark", mark(F.col("text")))
-        rows = rows.join(marks, (F.col("doc_id") == F.col("__kept")) & (F.col("__mark") == F.col("__mark2")), "left_semi")
+        marks = groups.where(first).select(F.col("doc_id").alias(kept), F.col(mark_name).alias(other_mark)).join(again, kept, "left_semi").distinct()
+        rows = docs.join(again, docs["doc_id"] == F.col(kept), "left_semi").withColumn(own_mark, mark(F.col("text")))
+        rows = rows.join(marks, (F.col("doc_id") == F.col(kept)) & (F.col(own_mark) == F.col(other_mark)), "left_semi")
         row, order = F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))
-        least = rows.groupBy("doc_id", "__mark").agg(F.min_by(row, order).alias("__row"))
-        own = own.unionByName(least.select("__row.*"))
+        least = rows.groupBy("doc_id", own_mark).agg(F.min_by(row, order).alias(row_name))
+        own = own.unionByName(least.select(f"{row_name}.*"))
     return own.unionByName(docs.where("doc_id is null"))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names that docs has no columns of: these, with as many underscores before them as it takes."""
+    longest = max(map(len, docs.columns), default=0)
+    return ["_" * longest + name for name in names]

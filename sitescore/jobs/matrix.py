@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import baseline, blocks, greedy, objective
-from ..operators.state import cut, shared_path
+from ..operators.state import shared_path
 from ..sources import fixtures as fx
 from ..sources import records
 from ..streaming.merge import merge_rank_files_stream
@@ -56,11 +56,11 @@ def s3_entries_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s4_diagonal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(blocks.diagonal_blocks(fx.k_blocks(spark, sf_dir, 4))).drop("block_col").withColumnRenamed("block_row", "sensor_id")
+    return cells(blocks.diagonal_blocks(fx.k_matrix(spark, sf_dir, 4))).drop("block_col").withColumnRenamed("block_row", "sensor_id")
 
 
 def _cross(spark: SparkSession, sf_dir: str, triangle: str) -> DataFrame:
-    k = fx.k_blocks(spark, sf_dir, 2, "lopsided")
+    k = fx.k_matrix(spark, sf_dir, 2, "lopsided")
     found = blocks.cross_blocks(k, selected(spark), fx.sensors(spark, sf_dir), triangle)
     return found.select("position", "sensor_id", "candidate", F.inline(blocks.entries(F.col("block"), F.lit(2)))).withColumn("value", F.round("value", 6))
 
@@ -133,7 +133,7 @@ def s14_read_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_clean_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(blocks.clean_nan(blocks.diagonal_blocks(fx.k_blocks(spark, sf_dir, 4, "nan"))))
+    return cells(blocks.clean_nan(blocks.diagonal_blocks(fx.k_matrix(spark, sf_dir, 4, "nan"))))
 
 
 def p2_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def p7_split_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.prescreen(fx.k_blocks(spark, sf_dir, 2, "bad"))
+    return baseline.prescreen(fx.k_matrix(spark, sf_dir, 2, "bad"))
 
 
 def p9_drop_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,36 +170,36 @@ def p9_drop_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c1_config_submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = objective.config_submatrix(fx.k_blocks(spark, sf_dir, 2, "lopsided"), fx.configs(spark, sf_dir), R)
+    found = objective.config_submatrix(fx.k_matrix(spark, sf_dir, 2, "lopsided"), fx.configs(spark, sf_dir), R)
     return found.select("config_id", "i", "j", F.inline(blocks.entries(F.col("block"), F.lit(2)))).withColumn("value", F.round("value", 6))
 
 
 def c2_config_logdet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objective.config_logdet(fx.k_blocks(spark, sf_dir, 2), fx.configs(spark, sf_dir), R).select("config_id", r6("logdet"))
+    return objective.config_logdet(fx.k_matrix(spark, sf_dir, 2), fx.configs(spark, sf_dir), R).select("config_id", r6("logdet"))
 
 
 def c2_config_logdet_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objective.config_logdet(fx.k_blocks(spark, sf_dir, 2), fx.configs(spark, sf_dir), R, dense_side=0).select("config_id", r6("logdet"))
+    return objective.config_logdet(fx.k_matrix(spark, sf_dir, 2), fx.configs(spark, sf_dir), R, dense_side=0).select("config_id", r6("logdet"))
 
 
 def c3_singleton_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objective.singleton_scores(fx.k_blocks(spark, sf_dir, 2, "bad"), R).select("sensor_id", r6("score"))
+    return objective.singleton_scores(fx.k_matrix(spark, sf_dir, 2, "bad"), R).select("sensor_id", r6("score"))
 
 
 def c4_schur_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objective.schur_gains(fx.k_blocks(spark, sf_dir, 2, "bad"), selected(spark), R).select("sensor_id", r6("score"))
+    return objective.schur_gains(fx.k_matrix(spark, sf_dir, 2, "bad"), selected(spark), R).select("sensor_id", r6("score"))
 
 
 def c5_naive_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objective.naive_gains(fx.k_blocks(spark, sf_dir, 2), selected(spark), R).select("sensor_id", r6("score"))
+    return objective.naive_gains(fx.k_matrix(spark, sf_dir, 2), selected(spark), R).select("sensor_id", r6("score"))
 
 
 def c6_failed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objective.failed_candidates(objective.schur_gains(fx.k_blocks(spark, sf_dir, 2, "bad"), selected(spark), R))
+    return objective.failed_candidates(objective.schur_gains(fx.k_matrix(spark, sf_dir, 2, "bad"), selected(spark), R))
 
 
 def c7_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objective.best_candidate(objective.singleton_scores(fx.k_blocks(spark, sf_dir, 2, "bad"), R)).select("sensor_id", r6("score"))
+    return objective.best_candidate(objective.singleton_scores(fx.k_matrix(spark, sf_dir, 2, "bad"), R)).select("sensor_id", r6("score"))
 
 
 def _selection(df: DataFrame) -> DataFrame:
@@ -243,14 +243,14 @@ def b1_random_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b2_random_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = cut(fx.k_blocks(spark, sf_dir, 1, "reject"))
+    k = fx.k_matrix(spark, sf_dir, 1, "reject")
     found = baseline.random_configs(k, fx.sensors(spark, sf_dir), 25, 2, R, SEED)
     return found.select("sample_id", "retries", F.get("sensors", F.lit(0)).alias("first"), F.get("sensors", F.lit(1)).alias("second"), r6("logdet"))
 
 
 def b3_baseline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three samples, then two more, beside what the run reports."""
-    k, path = cut(fx.k_blocks(spark, sf_dir, 1, "bad")), shared_path(spark, "samples")
+    k, path = fx.k_matrix(spark, sf_dir, 1, "bad"), shared_path(spark, "samples")
     baseline.baseline_run(k, path, 3, 6, R, SEED, "3,17").collect()
     report = baseline.baseline_run(k, path, 5, 6, R, SEED, "3,17")
     own = records.read_samples(spark, path).select("sample_id", r6("logdet"))
@@ -297,7 +297,7 @@ def b9_uniform_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b10_uniform_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_lon, n_lat, budget = budget_of(spark, sf_dir)
-    return baseline.uniform_score(fx.k_blocks(spark, sf_dir, 1), n_lon, n_lat, budget, R, SEED).select(r6("logdet"))
+    return baseline.uniform_score(fx.k_matrix(spark, sf_dir, 1), n_lon, n_lat, budget, R, SEED).select(r6("logdet"))
 
 
 def b11_selected_coords(spark: SparkSession, sf_dir: str) -> DataFrame:

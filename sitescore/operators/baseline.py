@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import clean_nan, diagonal_blocks, regularize, symmetrize
+from .blocks import Matrix, clean_nan, diagonal_blocks, regularize, side, symmetrize
 from .objective import block_scores, config_logdet, config_upper, pivoted
 from .running import running
 from .state import cut
@@ -43,7 +43,7 @@ def split_samples(spark: SparkSession, total: Column | int, existing: DataFrame,
     return spark.range(workers).crossJoin(F.broadcast(done)).select(w.cast("int").alias("worker"), share.cast("long").alias("n_samples"))  # done has one row
 
 
-def prescreen(blocks: DataFrame) -> DataFrame:
+def prescreen(blocks: Matrix) -> DataFrame:
     """(sensor_id, kept): whether I + K_cc, unscaled, is positive definite."""
     own = regularize(symmetrize(clean_nan(diagonal_blocks(blocks))), 1.0)
     return own.select(F.col("block_row").alias("sensor_id"), block_scores(F.col("block")).isNotNull().alias("kept"))
@@ -71,7 +71,7 @@ def random_orders(candidates: DataFrame, samples: DataFrame, seed: int) -> DataF
     return pairs.select("sample_id", (F.row_number().over(by) - 1).alias("position"), "sensor_id")
 
 
-def random_configs(blocks: DataFrame, candidates: DataFrame, n_samples: int, budget: int, r_sq: float, seed: int, slack: int = 8, first_sample: int = 0, dense_side: int = DENSE_SIDE) -> DataFrame:
+def random_configs(blocks: Matrix, candidates: DataFrame, n_samples: int, budget: int, r_sq: float, seed: int, slack: int = 8, first_sample: int = 0, dense_side: int = DENSE_SIDE) -> DataFrame:
     """(sample_id, logdet, retries, sensors): for each sample the first candidates in its order whose
     Schur complements are positive definite, budget of them.
 
@@ -100,11 +100,11 @@ def random_configs(blocks: DataFrame, candidates: DataFrame, n_samples: int, bud
         todo = todo.withColumn("attempt", F.lit(attempt))
 
 
-def _attempt(blocks: DataFrame, orders: DataFrame, tried: int, budget: int, r_sq: float, dense_side: int) -> DataFrame:
+def _attempt(blocks: Matrix, orders: DataFrame, tried: int, budget: int, r_sq: float, dense_side: int) -> DataFrame:
     orders = orders.where(F.col("position") < tried)
     configs = orders.select(F.col("sample_id").alias("config_id"), "position", "sensor_id")
     sub = config_upper(blocks, configs, r_sq)
-    nt = int((blocks.select(F.size("block")).limit(1).collect() or [[1]])[0][0] ** 0.5)
+    nt = side(blocks)
     if tried * nt > dense_side:
         rows = pivoted(sub, tried, budget)
         at = rows.select("config_id", "logdet", F.posexplode_outer("positions").alias("k", "position")).join(configs, ["config_id", "position"], "left")
@@ -113,15 +113,14 @@ def _attempt(blocks: DataFrame, orders: DataFrame, tried: int, budget: int, r_sq
     named = sub.join(configs.select("config_id", F.col("position").alias("i"), "sensor_id"), ["config_id", "i"])
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = int(len(pdf["block"].iloc[0]) ** 0.5)
-        a = {(i, j): np.reshape(b, (side, side)) for i, j, b in zip(pdf["i"], pdf["j"], pdf["block"], strict=True)}
+        a = {(i, j): np.reshape(b, (nt, nt)) for i, j, b in zip(pdf["i"], pdf["j"], pdf["block"], strict=True)}
         ids = dict(zip(pdf["i"], pdf["sensor_id"], strict=True))
         sensors, total, rows = [], 0.0, []
         for c in sorted(ids):
             y = []
             for n, (p, low) in enumerate(rows):
-                y.append(np.linalg.solve(low, a[p, c] - sum((ys[p].T @ y[m] for m, ys in enumerate(parts[:n])), np.zeros((side, side)))))
-            schur = a[c, c] - sum((x.T @ x for x in y), np.zeros((side, side)))
+                y.append(np.linalg.solve(low, a[p, c] - sum((ys[p].T @ y[m] for m, ys in enumerate(parts[:n])), np.zeros((nt, nt)))))
+            schur = a[c, c] - sum((x.T @ x for x in y), np.zeros((nt, nt)))
             try:
                 low = np.linalg.cholesky(schur)
             except np.linalg.LinAlgError:
@@ -141,7 +140,7 @@ def _attempt(blocks: DataFrame, orders: DataFrame, tried: int, budget: int, r_sq
     return named.groupBy("config_id").applyInPandas(build, "sample_id int, logdet double, sensors array<int>")
 
 
-def baseline_run(blocks: DataFrame, out: str, total_samples: int, budget: int, r_sq: float, seed: int, excluded: str = "") -> DataFrame:
+def baseline_run(blocks: Matrix, out: str, total_samples: int, budget: int, r_sq: float, seed: int, excluded: str = "") -> DataFrame:
     """Bring the samples in out up to total_samples and report (n_screened, n_samples, retries).
 
     Sensors whose blocks aren't positive definite, or that are excluded, are left out; samples that
@@ -222,7 +221,7 @@ def uniform_config(spark: SparkSession, n_lon: int, n_lat: int, budget: int, see
     return base.union(center_fill(rest, budget - n, n_lon, n_lat))
 
 
-def uniform_score(blocks: DataFrame, n_lon: int, n_lat: int, budget: int, r_sq: float, seed: int) -> DataFrame:
+def uniform_score(blocks: Matrix, n_lon: int, n_lat: int, budget: int, r_sq: float, seed: int) -> DataFrame:
     """One row (logdet) for the evenly spaced configuration."""
     own = uniform_config(blocks.sparkSession, n_lon, n_lat, budget, seed)
     placed = running(own, ["sensor_id"], "position").select(F.lit(0).alias("config_id"), F.col("position").cast("int").alias("position"), "sensor_id")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,45 @@ from ..functions.linalg import listed
 SCHEMA = "block_row int, block_col int, block array<double>"
 
 
+@dataclass
+class Generated:
+    """A matrix whose blocks are made as they are asked for: of(pairs(block_row, block_col)) has one block for each pair
+    of ids(sensor_id), nt values a side. All operators that need some pairs only take one in place of a table."""
+
+    ids: DataFrame
+    of: Callable[[DataFrame], DataFrame]
+    nt: int
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802
+        return self.ids.sparkSession
+
+
+Matrix = DataFrame | Generated
+
+
+def asked(blocks: Matrix, pairs: DataFrame) -> DataFrame:
+    """The blocks of the different pairs(block_row, block_col), and no others."""
+    if isinstance(blocks, Generated):
+        return blocks.of(pairs.select("block_row", "block_col"))
+    return blocks.join(pairs, ["block_row", "block_col"], "left_semi")
+
+
+def side(blocks: Matrix) -> int:
+    """Values a side of a block; 0 of a matrix without any."""
+    if isinstance(blocks, Generated):
+        return blocks.nt
+    first = blocks.select(F.size("block")).first()
+    return round((first[0] if first else 0) ** 0.5)
+
+
+def sensors_of(blocks: Matrix) -> DataFrame:
+    """(sensor_id) of the matrix's diagonal."""
+    if isinstance(blocks, Generated):
+        return blocks.ids.select("sensor_id")
+    return blocks.where("block_row = block_col").select(F.col("block_row").alias("sensor_id"))
+
+
 def synthetic_blocks(candidates: DataFrame, nt: int = 420, precision: str = "single", seed: int = 0) -> DataFrame:
     """A full matrix of standard normal values for candidates(sensor_id), the same for any partitioning as
     each block has its own seed."""
@@ -67,7 +107,9 @@ def blocks_to_entries(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_row", "block_col", F.inline(entries(F.col("block"), block_size(F.col("block")))))
 
 
-def diagonal_blocks(blocks: DataFrame) -> DataFrame:
+def diagonal_blocks(blocks: Matrix) -> DataFrame:
+    if isinstance(blocks, Generated):
+        return blocks.of(blocks.ids.select(F.col("sensor_id").alias("block_row"), F.col("sensor_id").alias("block_col")))
     return blocks.where("block_row = block_col")
 
 
@@ -101,7 +143,7 @@ def oriented(block: Column, row: Column, col: Column) -> Column:
     return F.when(row > col, transpose(block, block_size(block))).otherwise(block)
 
 
-def cross_blocks(blocks: DataFrame, selected: DataFrame, candidates: DataFrame, triangle: str = "upper") -> DataFrame:
+def cross_blocks(blocks: Matrix, selected: DataFrame, candidates: DataFrame, triangle: str = "upper") -> DataFrame:
     """(position, sensor_id, candidate, block): the blocks K[s, c] of selected(position, sensor_id) and
     candidates(sensor_id).
 
@@ -109,8 +151,16 @@ def cross_blocks(blocks: DataFrame, selected: DataFrame, candidates: DataFrame,
     its size limit and shuffles otherwise.
     """
     s, c = F.col("sensor_id"), F.col("candidate")
-    k = normalised(blocks, triangle)
     pairs = candidates.select(F.col("sensor_id").alias("candidate"))
+    if isinstance(blocks, Generated):
+        # Every selected sensor with every candidate is what is asked for.
+        both = pairs.crossJoin(selected.select("position", "sensor_id"))
+        row, col = (s, c) if triangle == "stored" else (F.least(s, c), F.greatest(s, c))
+        both = both.withColumn("block_row", row).withColumn("block_col", col)
+        k = normalised(asked(blocks, both.select("block_row", "block_col").distinct()), triangle)
+        block = F.col("block") if triangle == "stored" else oriented(F.col("block"), s, c)
+        return both.join(k, ["block_row", "block_col"]).select("position", "sensor_id", "candidate", block.alias("block"))
+    k = normalised(blocks, triangle)
     if triangle == "stored":
         own = k.join(selected, k["block_row"] == s).join(pairs, k["block_col"] == c)
         return own.select("position", "sensor_id", "candidate", "block")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import log_dets
 from ..sources.pieces import numbered_lines
-from .blocks import diagonal_blocks, normalised, oriented, regularize
+from .blocks import Generated, Matrix, asked, diagonal_blocks, normalised, oriented, regularize
 from .objective import best_candidate
 from .running import running
 from .state import cut, remove
@@ -63,7 +63,7 @@ def unpacked(values: pd.Series, nt: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1, nt, nt)
 
 
-def initial_state(blocks: DataFrame, r_sq: float, candidates: DataFrame | None = None, triangle: str = "upper") -> State:
+def initial_state(blocks: Matrix, r_sq: float, candidates: DataFrame | None = None, triangle: str = "upper") -> State:
     """The state before the first pick, hash-partitioned by candidate."""
     own = regularize(normalised(diagonal_blocks(blocks), triangle), r_sq).select(F.col("block_row").alias("sensor_id"), "block")
     if candidates is not None:
@@ -80,9 +80,14 @@ def initial_state(blocks: DataFrame, r_sq: float, candidates: DataFrame | None =
     return State(cut(own.select("sensor_id", F.lit(b"").alias("recent"), packed(F.col("block")).alias("schur"), null.alias("score"))))
 
 
-def matrix_row(blocks: DataFrame, sensor: int, triangle: str = "upper") -> DataFrame:
+def matrix_row(blocks: Matrix, sensor: int, triangle: str = "upper") -> DataFrame:
     """(sensor_id, k): the blocks K[sensor, c] for every c, read with a filter on the sensor."""
-    k, c = normalised(blocks, triangle), F.lit(sensor)
+    c = F.lit(sensor)
+    if isinstance(blocks, Generated):
+        other = F.col("sensor_id")
+        row, col = (c, other) if triangle == "stored" else (F.least(c, other), F.greatest(c, other))
+        blocks = asked(blocks, blocks.ids.select(row.alias("block_row"), col.alias("block_col")))
+    k = normalised(blocks, triangle)
     if triangle == "stored":
         return k.where(F.col("block_row") == sensor).select(F.col("block_col").alias("sensor_id"), F.col("block").alias("k"))
     own = k.where((F.col("block_row") == sensor) | (F.col("block_col") == sensor))
@@ -90,7 +95,7 @@ def matrix_row(blocks: DataFrame, sensor: int, triangle: str = "upper") -> DataF
     return own.select(other.alias("sensor_id"), oriented(F.col("block"), c, other).alias("k"))
 
 
-def advance(state: State, blocks: DataFrame, winner: int, r_sq: float, triangle: str = "upper") -> State:
+def advance(state: State, blocks: Matrix, winner: int, r_sq: float, triangle: str = "upper") -> State:
     """The state after winner is picked: without it, with the others' blocks y and Schur complements."""
     sc, own, has_past = state.front.sparkSession.sparkContext, F.col("sensor_id") == winner, bool(state.chunks)
     old = [x.withColumn("chunk", F.lit(n)) for n, x in enumerate(state.chunks)]
@@ -195,7 +200,7 @@ def cumulative_logdet(selection: DataFrame) -> DataFrame:
     return running(selection, ["step"], sums={"logdet": "gain"})
 
 
-def greedy_select(blocks: DataFrame, budget: int, r_sq: float, candidates: DataFrame | None = None, restart: str | None = None, checkpoint: str | None = None, triangle: str = "upper", on_pick: Callable[[int, int], None] | None = None) -> DataFrame:
+def greedy_select(blocks: Matrix, budget: int, r_sq: float, candidates: DataFrame | None = None, restart: str | None = None, checkpoint: str | None = None, triangle: str = "upper", on_pick: Callable[[int, int], None] | None = None) -> DataFrame:
     """(step, sensor_id, gain, logdet): up to budget picks, fewer if no candidate has a finite gain.
 
     restart names a saved selection: its picks are replayed without a search and the selection goes
@@ -229,7 +234,7 @@ def greedy_select(blocks: DataFrame, budget: int, r_sq: float, candidates: DataF
     return out
 
 
-def resume_state(blocks: DataFrame, prefix: DataFrame, r_sq: float, triangle: str = "upper") -> State:
+def resume_state(blocks: Matrix, prefix: DataFrame, r_sq: float, triangle: str = "upper") -> State:
     """The state after the picks of prefix(step, sensor_id), one pass for each, without a search."""
     state = initial_state(blocks, r_sq, None, triangle)
     for r in prefix.orderBy("step").collect():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import block_size, transpose
 from ..functions.linalg import cholesky, listed, log_dets, nullable, stacked
-from .blocks import cross_blocks, diagonal_blocks, normalised, oriented, regularize
+from .blocks import Matrix, asked, cross_blocks, diagonal_blocks, normalised, oriented, regularize, sensors_of, side
 from .state import cut
 
 #: Configurations of more values than this a side are scored block by block instead of in one task.
@@ -21,7 +21,7 @@ DENSE_SIDE = 8_000
 PLAIN_SIDE = 2_000
 
 
-def config_upper(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+def config_upper(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
     """(config_id, i, j, block) for the pairs of positions i <= j of each configuration, regularised.
 
     The distinct pairs of sensors that configurations use are found first, so each of their blocks
@@ -33,12 +33,12 @@ def config_upper(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: s
     row, col = (F.col("s"), F.col("c")) if triangle == "stored" else (F.least("s", "c"), F.greatest("s", "c"))
     pairs = pairs.withColumn("block_row", row).withColumn("block_col", col)
     used = pairs.select("block_row", "block_col").distinct()
-    k = regularize(normalised(blocks.join(used, ["block_row", "block_col"], "left_semi"), triangle), r_sq)
+    k = regularize(normalised(asked(blocks, used), triangle), r_sq)
     block = F.col("block") if triangle == "stored" else oriented(F.col("block"), F.col("s"), F.col("c"))
     return pairs.join(k, ["block_row", "block_col"]).select("config_id", "i", "j", block.alias("block"))
 
 
-def config_submatrix(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+def config_submatrix(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
     """(config_id, i, j, block) for all ordered pairs of positions; below the diagonal those above it, transposed."""
     own = config_upper(blocks, configs, r_sq, triangle)
     other = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), transpose(F.col("block"), block_size(F.col("block"))).alias("block"))
@@ -46,7 +46,7 @@ def config_submatrix(blocks: DataFrame, configs: DataFrame, r_sq: float, triangl
     return own.select("config_id", F.inline(F.filter(both, lambda x: x.isNotNull())))
 
 
-def config_logdet(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle: str = "upper", dense_side: int = DENSE_SIDE) -> DataFrame:
+def config_logdet(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str = "upper", dense_side: int = DENSE_SIDE) -> DataFrame:
     """(config_id, logdet); -inf where the determinant isn't positive.
 
     Each configuration goes by its own size: one of up to dense_side values a side is assembled in a
@@ -54,8 +54,7 @@ def config_logdet(blocks: DataFrame, configs: DataFrame, r_sq: float, triangle:
     determinant's sign, so the value doesn't depend on the way; only a pivot block that is exactly
     singular, which elimination can't step over, gives -inf.
     """
-    first = blocks.select(F.size("block")).first()
-    nt = int((first[0] if first else 0) ** 0.5)
+    nt = side(blocks)
     sizes = cut(configs.groupBy("config_id").agg(F.count("*").alias("n")))
     most = sizes.agg(F.max("n")).first()[0] or 0
 
@@ -148,13 +147,13 @@ def block_scores(block: Column) -> Column:
     return F.nanvl(run(block), F.lit(None).cast("double"))
 
 
-def singleton_scores(blocks: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+def singleton_scores(blocks: Matrix, r_sq: float, triangle: str = "upper") -> DataFrame:
     """(sensor_id, score): the gain of each sensor on its own; null if its block isn't positive definite."""
     own = regularize(normalised(diagonal_blocks(blocks), triangle), r_sq)
     return own.select(F.col("block_row").alias("sensor_id"), block_scores(F.col("block")).alias("score"))
 
 
-def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: str = "upper", plain_side: int = PLAIN_SIDE) -> DataFrame:
+def schur_gains(blocks: Matrix, selected: DataFrame, r_sq: float, triangle: str = "upper", plain_side: int = PLAIN_SIDE) -> DataFrame:
     """(sensor_id, score): for each sensor not in selected(position, sensor_id) the log-determinant of its
     Schur complement; null where that isn't positive definite.
 
@@ -166,7 +165,7 @@ def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: s
     order = selected.orderBy("position").collect()
     if not order:
         return singleton_scores(blocks, r_sq, triangle)
-    k, nt = len(order), int(blocks.select(F.size("block")).first()[0] ** 0.5)
+    k, nt = len(order), side(blocks)
     if k * nt > plain_side:
         from .greedy import resume_state  # which is built on this module
 
@@ -177,7 +176,7 @@ def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: s
     for r in sub:
         m[r["i"], :, r["j"]] = np.reshape(r["block"], (nt, nt))
     low = spark.sparkContext.broadcast(np.linalg.cholesky(m.reshape(k * nt, k * nt)))
-    candidates = diagonal_blocks(blocks).select(F.col("block_row").alias("sensor_id")).join(F.broadcast(selected.select("sensor_id")), "sensor_id", "left_anti")
+    candidates = sensors_of(blocks).join(F.broadcast(selected.select("sensor_id")), "sensor_id", "left_anti")
     column = cross_blocks(blocks, first.select("position", "sensor_id"), candidates, triangle).groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("position", "block"))).alias("column"))
     own = regularize(normalised(diagonal_blocks(blocks), triangle), r_sq).select(F.col("block_row").alias("candidate"), F.col("block").alias("own"))
     joined = column.join(own, "candidate").select("candidate", F.flatten(F.transform("column", lambda x: x["block"])).alias("column"), "own")
@@ -194,9 +193,9 @@ def schur_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: s
     return joined.mapInArrow(run, "sensor_id int, score double")
 
 
-def naive_gains(blocks: DataFrame, selected: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
+def naive_gains(blocks: Matrix, selected: DataFrame, r_sq: float, triangle: str = "upper") -> DataFrame:
     """The same gains from the whole augmented matrices: logdet of S and c, minus logdet of S."""
-    candidates = diagonal_blocks(blocks).select(F.col("block_row").alias("c")).join(F.broadcast(selected.select(F.col("sensor_id").alias("c"))), "c", "left_anti")
+    candidates = sensors_of(blocks).select(F.col("sensor_id").alias("c")).join(F.broadcast(selected.select(F.col("sensor_id").alias("c"))), "c", "left_anti")
     n = selected.count()
     own = selected.select("position", "sensor_id")
     each = candidates.crossJoin(F.broadcast(own)).select(F.col("c").alias("config_id"), "position", "sensor_id")

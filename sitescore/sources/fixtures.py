@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.linalg import listed
+from ..operators.blocks import SCHEMA, Generated
 from ..operators.running import running
 
 WINDOW = 48
@@ -49,36 +50,65 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("sensor_id", lon.alias("lon_idx"), lat.alias("lat_idx"), (F.lit(-128.0) + 0.25 * lon).alias("lon"), (F.lit(40.0) + 0.2 * lat).alias("lat"))
 
 
+def windows(embeddings: list, nt: int) -> np.ndarray:
+    """(rows, nt, WINDOW): the lagged windows of each embedding."""
+    e = np.array(embeddings, np.float64).reshape(len(embeddings), -1)
+    return np.stack([e[:, t : t + WINDOW] for t in range(nt)], 1)
+
+
+def varied(block: np.ndarray, i: np.ndarray, j: np.ndarray, nt: int, variant: str) -> pa.RecordBatch:
+    """Blocks of the pairs (i, j) in one of the variants of k_blocks()."""
+    same = i == j
+    if variant == "nan":
+        block[(same & (i % 10 == 3))[:, None, None] & ~np.eye(nt, dtype=bool)] = np.nan
+    elif variant == "bad":
+        block[same & (i % 13 == 5)] = -10 * np.eye(nt)
+    elif variant in ("reject", "corner"):
+        block[~same] *= {"reject": 3, "corner": 5}[variant]
+    elif variant == "lopsided":
+        block[i > j] *= 2
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), listed(block)], ["block_row", "block_col", "block"])
+
+
+def embedded(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias(names[0]), F.col("embedding").cast("array<double>").alias(names[1]))
+
+
+def k_matrix(spark: SparkSession, sf_dir: str, nt: int = 4, variant: str = "") -> Generated:
+    """The matrix of k_blocks(), whose blocks are made for the pairs that are asked for."""
+
+    def of(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    a, b = (windows(batch.column(x).to_pylist(), nt) for x in (2, 3))
+                    yield varied(np.einsum("nti,nui->ntu", a, b), batch.column(0).to_numpy(), batch.column(1).to_numpy(), nt, variant)
+
+        both = pairs.join(embedded(spark, sf_dir, "block_row", "a"), "block_row").join(embedded(spark, sf_dir, "block_col", "b"), "block_col")
+        return both.select("block_row", "block_col", "a", "b").mapInArrow(run, SCHEMA)
+
+    return Generated(sensors(spark, sf_dir).select("sensor_id"), of, nt)
+
+
 def k_blocks(spark: SparkSession, sf_dir: str, nt: int = 4, variant: str = "") -> DataFrame:
-    """(block_row, block_col, block): the Gram matrix of nt lagged windows of each sensor's embedding.
+    """(block_row, block_col, block): the Gram matrix of nt lagged windows of each sensor's embedding, all of it.
 
     variant: nan (not-a-number off the diagonal of some diagonal blocks), bad (some diagonal blocks
     are -10 I), reject and corner (off-diagonal blocks times 3 and 5), lopsided (lower triangle times 2).
     """
-    rows = table(spark, sf_dir, "embeddings").select(F.struct(F.col("vec_id").cast("int").alias("id"), F.col("embedding").cast("array<double>").alias("e")).alias("r"))
+    rows = embedded(spark, sf_dir, "id", "e").select(F.struct("id", "e").alias("r"))
     tiles = rows.groupBy(F.floor(F.col("r.id") / TILE).alias("t")).agg(F.collect_list("r").alias("r")).select("t", F.col("r.id").alias("id"), F.col("r.e").alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ida, ea, idb, eb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                a, b = (np.stack([np.array(e)[:, t : t + WINDOW] for t in range(nt)], 1) for e in (ea, eb))
-                block = np.einsum("ati,bui->abtu", a, b).reshape(-1, nt, nt)
-                i, j = np.repeat(np.array(ida, np.int32), len(idb)), np.tile(np.array(idb, np.int32), len(ida))
-                same = i == j
-                if variant == "nan":
-                    block[(same & (i % 10 == 3))[:, None, None] & ~np.eye(nt, dtype=bool)] = np.nan
-                elif variant == "bad":
-                    block[same & (i % 13 == 5)] = -10 * np.eye(nt)
-                elif variant in ("reject", "corner"):
-                    block[~same] *= {"reject": 3, "corner": 5}[variant]
-                elif variant == "lopsided":
-                    block[i > j] *= 2
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), listed(block)], ["block_row", "block_col", "block"])
+                block = np.einsum("ati,bui->abtu", windows(ea, nt), windows(eb, nt)).reshape(-1, nt, nt)
+                yield varied(block, np.repeat(np.array(ida, np.int32), len(idb)), np.tile(np.array(idb, np.int32), len(ida)), nt, variant)
 
     # The matrix has a block for every pair of sensors; they are made tile by tile.
     pairs = tiles.crossJoin(tiles.select(F.col("t").alias("t2"), F.col("id").alias("id2"), F.col("e").alias("e2")))
     pairs = pairs.repartition(spark.sparkContext.defaultParallelism, "t", "t2")
-    return pairs.select("id", "e", "id2", "e2").mapInArrow(run, "block_row int, block_col int, block array<double>")
+    return pairs.select("id", "e", "id2", "e2").mapInArrow(run, SCHEMA)
 
 
 def k_sql(nt: int, variant: str = "", name: str = "k") -> str:

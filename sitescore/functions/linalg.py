@@ -34,6 +34,39 @@ def log_dets(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Directions of a panel whose eigenvalue is less than this part of the matrix's largest entry are put off.
+PUT_OFF = 1e-6
+
+
+def rank_tolerance(side: int, scale: float) -> float:
+    """Eigenvalues up to this count as zero in a matrix of this side and largest entry."""
+    return side * np.finfo(float).eps * scale
+
+
+def split_factor(m: np.ndarray, scale: float, zero: float, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """(f, signs, off, left, logdet, sign) of a symmetric matrix, of which the lower triangle counts.
+
+    f' diag(signs) f is the inverse on the directions that can be divided by, with their log-determinant and
+    sign; off has the other directions as rows and left their eigenvalues. The last panel puts none
+    off: its sign is 0 if an eigenvalue is no more than zero.
+    """
+    none = np.zeros((0, len(m)))
+    (low,), (fine,) = cholesky(m[None]) if len(m) else ((m,), (True,))
+    if fine and (not len(m) or np.diag(low).min() ** 2 > zero):
+        return np.linalg.inv(low) if len(m) else m, np.ones(len(m)), none, np.zeros(0), 2 * float(np.log(np.diag(low)).sum()), 1
+    values, q = np.linalg.eigh(np.where(np.isfinite(m), m, 0))
+    keep = np.abs(values) > (zero if last else max(zero, PUT_OFF * scale))
+    own = values[keep]
+    sign = 0 if last and not keep.all() else int(np.prod(np.sign(own)))
+    return (q[:, keep] / np.sqrt(np.abs(own))).T, np.sign(own), none if last else q[:, ~keep].T, np.zeros(0) if last else values[~keep], float(np.log(np.abs(own)).sum()), sign
+
+
+def signed_log_det(m: np.ndarray, zero: float) -> tuple[float, int]:
+    """(logdet, sign) of a whole symmetric matrix."""
+    *_, value, sign = split_factor(m, 0.0, zero, last=True)
+    return value, sign
+
+
 def stacked(column: pa.Array, *shape: int) -> np.ndarray:
     """A list column whose lists are equally long as one array of shape (rows, *shape)."""
     flat = column.flatten() if isinstance(column, (pa.ListArray, pa.LargeListArray)) else column.combine_chunks().flatten()

@@ -385,7 +385,7 @@ SELECT config_id, (min(sensor_id) * 4)::INT AS row_start, ((max(sensor_id) + 1)
     "s10_checkpoint_objective": f"WITH {fx.SAMPLES} SELECT sample_id, round(format('{{:.6f}}', logdet)::DOUBLE, 4) AS objective FROM samples WHERE logdet < 'inf'::DOUBLE",
     "s14_read_coords": f"WITH {fx.SENSORS} SELECT sensor_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM sensors",
     "p1_clean_nan": f"WITH {fx.k_sql(4, 'nan')} SELECT block_row, block_col, t, t2, CASE WHEN isnan(value) THEN 0 ELSE round(value, 6) END AS value FROM k WHERE block_row = block_col",
-    "p2_symmetrize": f"WITH {fx.k_sql(2)}, s AS MATERIALIZED (SELECT block_row, block_col, t, t2, value + 0.5::DOUBLE * t AS value FROM k), d AS MATERIALIZED (SELECT * FROM s WHERE block_row = block_col) SELECT block_row, block_col, t, t2, round(value, 6) AS value FROM s WHERE block_row <> block_col UNION ALL SELECT a.block_row, a.block_col, a.t, a.t2, round(0.5::DOUBLE * (a.value + b.value), 6) FROM d a JOIN d b ON a.block_row = b.block_row AND a.t = b.t2 AND a.t2 = b.t",
+    "p2_symmetrize": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(value + 0.5::DOUBLE * CASE WHEN block_row = block_col THEN (t + t2) / 2.0::DOUBLE ELSE t END, 6) AS value FROM k",  # a diagonal block of k is symmetric
     "p3_regularize": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(4 * value + CASE WHEN block_row = block_col AND t = t2 THEN 1 ELSE 0 END, 6) AS value FROM k",
     "p4_exclude_sensors": f"WITH {fx.SENSORS} SELECT sensor_id FROM sensors WHERE sensor_id NOT IN (3, 17, 5)",
     "p5_remaining_candidates": f"WITH {fx.SENSORS}, {fx.SELECTION} SELECT sensor_id FROM sensors WHERE sensor_id NOT IN (SELECT sensor_id FROM selection)",

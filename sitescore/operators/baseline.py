@@ -106,7 +106,7 @@ def _attempt(blocks: Matrix, orders: DataFrame, tried: int, budget: int, r_sq: f
     sub = config_upper(blocks, configs, r_sq)
     nt = side(blocks)
     if tried * nt > dense_side:
-        rows = pivoted(sub, tried, budget)
+        rows = pivoted(sub, tried, nt, budget)
         at = rows.select("config_id", "logdet", F.posexplode_outer("positions").alias("k", "position")).join(configs, ["config_id", "position"], "left")
         by = at.groupBy("config_id", "logdet").agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "sensor_id")))).alias("s"))
         return by.select(F.col("config_id").alias("sample_id"), "logdet", F.transform("s", lambda x: x["sensor_id"]).alias("sensors"))

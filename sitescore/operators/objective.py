@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import block_size, transpose
-from ..functions.linalg import cholesky, listed, log_dets, nullable, stacked
+from ..functions.linalg import cholesky, log_dets, nullable, rank_tolerance, signed_log_det, split_factor, stacked
 from .blocks import Matrix, asked, cross_blocks, diagonal_blocks, normalised, oriented, regularize, sensors_of, side
-from .state import cut
+from .state import cut, release
 
 #: Configurations of more values than this a side are scored block by block instead of in one task.
 DENSE_SIDE = 8_000
+#: Larger ones are eliminated so many sensors at a time, and so many values a side at most.
+PANEL, PANEL_SIDE = 16, 4_096
 #: Selections of more values than this a side aren't factored on the driver.
 PLAIN_SIDE = 2_000
 
@@ -46,13 +48,13 @@ def config_submatrix(blocks: Matrix, configs: DataFrame, r_sq: float, triangle:
     return own.select("config_id", F.inline(F.filter(both, lambda x: x.isNotNull())))
 
 
-def config_logdet(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str = "upper", dense_side: int = DENSE_SIDE) -> DataFrame:
+def config_logdet(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str = "upper", dense_side: int = DENSE_SIDE, panel: int | None = None) -> DataFrame:
     """(config_id, logdet); -inf where the determinant isn't positive.
 
     Each configuration goes by its own size: one of up to dense_side values a side is assembled in a
-    task, a larger one is eliminated block by block, all of these one pivot at a time. Both track the
-    determinant's sign, so the value doesn't depend on the way; only a pivot block that is exactly
-    singular, which elimination can't step over, gives -inf.
+    task, larger ones are eliminated panel by panel, all of them together. The value doesn't depend on
+    the way: both track the determinant's sign, elimination puts off what a panel can't divide by, and a
+    matrix that is singular but for rounding has -inf in both. Of diagonal blocks the lower triangle counts.
     """
     nt = side(blocks)
     sizes = cut(configs.groupBy("config_id").agg(F.count("*").alias("n")))
@@ -65,72 +67,117 @@ def config_logdet(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str
             own = np.reshape(block, (nt, nt))
             m[j, :, i] = own.T
             m[i, :, j] = own
-        sign, value = np.linalg.slogdet(m.reshape(n * nt, n * nt))
-        return pd.DataFrame({"config_id": [pdf["config_id"].iloc[0]], "logdet": [float(value) if sign > 0 else -np.inf]})
+        m = m.reshape(n * nt, n * nt)
+        value, sign = signed_log_det(m, rank_tolerance(n * nt, np.abs(m).max()))
+        return pd.DataFrame({"config_id": [pdf["config_id"].iloc[0]], "logdet": [value if sign > 0 else -np.inf]})
 
     of = lambda fits: configs.join(sizes.where(fits).select("config_id"), "config_id", "left_semi")
     small = F.col("n") * nt <= dense_side
     dense_ones = config_upper(blocks, of(small), r_sq, triangle).groupBy("config_id").applyInPandas(dense, "config_id int, logdet double")
     if most * nt <= dense_side:
         return dense_ones
-    found = pivoted(config_upper(blocks, of(~small), r_sq, triangle), most, definite=False)
-    right = (F.col("accepted") == F.col("n")) & (F.col("sign") > 0)
-    return dense_ones.union(found.select("config_id", F.when(right, F.col("logdet")).otherwise(F.lit(float("-inf")))))
+    found = pivoted(config_upper(blocks, of(~small), r_sq, triangle), most, nt, definite=False, panel=panel)
+    return dense_ones.union(found.select("config_id", F.when(F.col("sign") > 0, F.col("logdet")).otherwise(F.lit(float("-inf")))))
 
 
-def pivoted(upper: DataFrame, n_pivots: int, budget: int | None = None, definite: bool = True) -> DataFrame:
-    """Right-looking block elimination of many configurations at once.
+def pivoted(upper: DataFrame, n_pivots: int, nt: int, budget: int | None = None, definite: bool = True, panel: int | None = None) -> DataFrame:
+    """Elimination of many configurations at once, a panel of positions at a time.
 
-    upper(config_id, i, j, block) has the blocks with i <= j. Pivot by pivot: a position is accepted
-    if its remaining diagonal block is positive definite (or, without definite, regular), and the
-    blocks after it are updated; else it is left out. After `budget` accepted ones no more are.
-    Returns (config_id, n, accepted, logdet, sign, positions), n being the number of positions and
-    sign that of the determinant. Each pivot is one Spark step over all configurations; the pivot's
-    row, the rest and the sums are cut by checkpoints, so a pivot is solved once.
+    upper(config_id, i, j, block) has the blocks with i <= j. With definite, a position is accepted if what
+    is left of its diagonal block is positive definite, and left out else; after `budget` accepted ones
+    no more are. Without, all are accepted, and directions that a panel can't divide by are put off to the
+    next panel (as rows of position -1), so a singular block on the diagonal does no harm; in the last one they
+    decide the sign or make it 0. Returns (config_id, n, accepted, logdet, sign, positions).
+
+    A panel is factored in one task a configuration. The blocks after it are updated in square tiles of
+    as many positions, each with the panel's columns of its rows and its columns, so a block is rewritten once a
+    panel; three checkpoints a panel hold the factor, its columns and what is left, the ones before are removed.
     """
+    panel = panel or max(1, min(PANEL, PANEL_SIDE // nt))
     state = cut(upper)
-    done = state.where("i = j").groupBy("config_id").agg(F.count("*").alias("n")).select("config_id", "n", F.lit(0).alias("accepted"), F.lit(0.0).alias("logdet"), F.lit(1).alias("sign"), F.array().cast("array<int>").alias("positions"))
-
-    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                nt = int(len(batch.column(1)[0]) ** 0.5)
-                own = stacked(batch.column(1), nt, nt)
-                sign, value = np.linalg.slogdet(np.where(np.isfinite(own), own, 0))
-                fine = cholesky(own)[1] if definite else np.isfinite(own).all((1, 2)) & (sign != 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nullable(np.where(fine, value, np.nan)), pa.array(sign.astype(np.int32))], ["config_id", "pivot", "gain", "sgn"])
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                nt = int(len(batch.column(2)[0]) ** 0.5)
-                out = np.linalg.solve(stacked(batch.column(2), nt, nt), stacked(batch.column(3), nt, nt))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), listed(out)], ["config_id", "j", "b", "v"])
-
-    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                nt = int(len(batch.column(3)[0]) ** 0.5)
-                block, b, v = (stacked(batch.column(i), nt, nt) for i in (3, 4, 5))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), listed(block - np.swapaxes(b, 1, 2) @ v)], ["config_id", "i", "j", "block"])
-
-    for p in range(n_pivots):
-        pivot = state.where((F.col("i") == p) & (F.col("j") == p)).select("config_id", "block").mapInArrow(factor, "config_id int, pivot array<double>, gain double, sgn int")
-        pivot = pivot.where("gain is not null")
-        if budget is not None:
-            pivot = pivot.join(done.where(F.col("accepted") < budget).select("config_id"), "config_id")
-        pivot = cut(pivot)
-        row = state.where((F.col("i") == p) & (F.col("j") > p)).select("config_id", "j", F.col("block").alias("b"))
-        u = cut(pivot.join(row, "config_id").select("config_id", "j", "pivot", "b").mapInArrow(solve, "config_id int, j int, b array<double>, v array<double>"))
-        rest = state.where(F.col("i") > p)
-        both = rest.join(u.select("config_id", F.col("j").alias("i"), "b"), ["config_id", "i"], "left").join(u.select("config_id", "j", "v"), ["config_id", "j"], "left")
-        both = cut(both.select("config_id", "i", "j", "block", "b", "v"))
-        changed = both.where("b is not null").mapInArrow(update, "config_id int, i int, j int, block array<double>")
-        state = cut(changed.unionByName(both.where("b is null").select("config_id", "i", "j", "block")))
-        took = F.col("gain").isNotNull()
-        done = done.join(pivot.select("config_id", "gain", "sgn"), "config_id", "left")
-        done = cut(done.select("config_id", "n", (F.col("accepted") + took.cast("int")).alias("accepted"), (F.col("logdet") + F.coalesce("gain", F.lit(0.0))).alias("logdet"), (F.col("sign") * F.coalesce("sgn", F.lit(1))).alias("sign"), F.when(took, F.concat("positions", F.array(F.lit(p)))).otherwise(F.col("positions")).alias("positions")))
-    return done
+    largest = F.array_max(F.transform("block", F.abs))
+    heads = cut(state.groupBy("config_id").agg((F.max("j") + 1).alias("n"), F.max(largest).alias("scale")))
+    rows = "config_id int, i int, j int, block array<double>"
+    done: DataFrame | None = None
+
+    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, scale, room = (pdf[c].iloc[0] for c in ("n", "scale", "room"))
+        cells = {(i, j): np.asarray(b) for i, j, b in zip(pdf["i"], pdf["j"], pdf["block"], strict=True)}
+        put_off = round(len(cells.get((-1, -1), ())) ** 0.5)
+        own = sorted({i for i, _ in cells} - {-1})
+        sizes = {-1: put_off} | dict.fromkeys(own, nt)
+        members = [-1, *own] if put_off else own
+        block = lambda i, j: cells[i, j].reshape(sizes[i], sizes[j]) if (i, j) in cells else cells[j, i].reshape(sizes[j], sizes[i]).T
+        m = np.block([[block(i, j) for j in members] for i in members]) if members else np.zeros((0, 0))
+        if definite:
+            kept, low = [], np.zeros((0, 0))
+            for k, i in enumerate(members):
+                if len(kept) == room:
+                    break
+                at = np.concatenate([np.arange(x * nt, (x + 1) * nt) for x in [*kept, k]])
+                low2, fine = cholesky(m[np.ix_(at, at)][None])
+                if fine[0]:
+                    kept, low = [*kept, k], low2[0]
+            members = [members[k] for k in kept]
+            f, signs, off, left = np.linalg.inv(low) if len(low) else low, np.ones(len(low)), np.zeros((0, len(low))), np.zeros(0)
+            value, sign = 2 * float(np.log(np.diag(low)).sum()), 1
+        else:
+            f, signs, off, left, value, sign = split_factor(m, scale, rank_tolerance(n * nt, scale), last=max(own, default=-1) + 1 >= n)
+        side = [(-1, put_off)] * (-1 in members) + [(i, nt) for i in members if i != -1]
+        pack = lambda x: np.ascontiguousarray(x, np.float64).tobytes()
+        return pd.DataFrame({"config_id": [pdf["config_id"].iloc[0]], "f": [pack(f)], "off": [pack(off)], "signs": [signs], "left": [left], "members": [[i for i, _ in side]], "put_off": [put_off], "logdet": [value], "sign": [sign], "positions": [[i for i in members if i >= 0]]})
+
+    def columns(key: tuple, pdf: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+        if not len(by) or not len(pdf):
+            return pd.DataFrame({c: [] for c in ("config_id", "j", "w", "signs", "off")}, dtype=object)
+        r = by.iloc[0]
+        sizes = {-1: r["put_off"]}
+        own = {(i, j): np.reshape(b, (sizes.get(i, nt), nt)) for i, j, b in zip(pdf["i"], pdf["j"], pdf["block"], strict=True)}
+        places = sorted({j for _, j in own})
+        side = sum(sizes.get(i, nt) for i in r["members"])
+        f, off = (np.frombuffer(r[c]).reshape(-1, side) for c in ("f", "off"))
+        right = np.block([[own[i, j] for j in places] for i in r["members"]]) if len(r["members"]) else np.zeros((0, nt * len(places)))
+        w, rest = f @ right, off @ right
+        part = lambda x, k: np.ascontiguousarray(x[:, k * nt : (k + 1) * nt]).ravel()
+        return pd.DataFrame({"config_id": [key[0]] * len(places), "j": places, "w": [part(w, k) for k in range(len(places))], "signs": [r["signs"]] * len(places), "off": [part(rest, k) for k in range(len(places))]})
+
+    def update(key: tuple, pdf: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+        w = {j: np.reshape(x, (-1, nt)) for j, x in zip(by["j"], by["w"], strict=True)}
+        signs = np.asarray(by["signs"].iloc[0])[:, None] if len(by) else np.zeros((0, 1))
+        blocks = [np.asarray(b) - (w[i].T @ (signs * w[j])).ravel() if i in w and j in w else b for i, j, b in zip(pdf["i"], pdf["j"], pdf["block"], strict=True)]
+        return pdf[["config_id", "i", "j"]].assign(block=pd.Series(blocks, pdf.index, dtype=object))
+
+    tile = lambda c: F.floor(F.col(c) / panel).cast("int")
+    for lo in range(0, n_pivots, panel):
+        hi = lo + panel
+        own = heads if done is None else heads.join(done.groupBy("config_id").agg(F.sum(F.size("positions")).alias("before")), "config_id", "left")
+        room = F.lit(n_pivots) if budget is None else F.lit(budget) - (F.lit(0) if done is None else F.coalesce("before", F.lit(0)))
+        own = own.withColumn("room", room.cast("int")).where("room > 0")
+        found = cut(state.where(F.col("j") < hi).join(own, "config_id").groupBy("config_id").applyInPandas(factor, "config_id int, f binary, off binary, signs array<double>, left array<double>, members array<int>, put_off int, logdet double, sign int, positions array<int>"))
+        result = found.select("config_id", "logdet", "sign", "positions")
+        done = result if done is None else done.union(result)
+        if hi >= n_pivots:
+            break
+        later = F.explode(F.sequence(F.lit(hi // panel), F.lit((n_pivots - 1) // panel))).alias("tj")
+        by = found.select("config_id", later, "f", "off", "signs", "members", "put_off").groupBy("config_id", "tj")
+        rest = state.where((F.col("i") < hi) & (F.col("j") >= hi)).withColumn("tj", tile("j"))
+        w = cut(rest.groupBy("config_id", "tj").cogroup(by).applyInPandas(columns, "config_id int, j int, w array<double>, signs array<double>, off array<double>"))
+        last = F.lit((n_pivots - 1) // panel)
+        pairs = F.array_union(F.transform(F.sequence(F.lit(hi // panel), tile("j")), lambda t: F.struct(t.alias("ti"), tile("j").alias("tj"))), F.transform(F.sequence(tile("j"), last), lambda t: F.struct(tile("j").alias("ti"), t.alias("tj"))))
+        spread = w.select("config_id", "j", "w", "signs", F.inline(pairs)).groupBy("config_id", "ti", "tj")
+        kept = state.where(F.col("i") >= hi).withColumn("ti", tile("i")).withColumn("tj", tile("j"))
+        new = kept.groupBy("config_id", "ti", "tj").cogroup(spread).applyInPandas(update, rows)
+        if not definite:
+            late = w.where(F.size("off") > 0).select("config_id", F.lit(-1).alias("i"), "j", F.col("off").alias("block"))
+            size = F.size("left")
+            diagonal = F.transform(F.sequence(F.lit(0), size * size - 1), lambda k: F.when(k % (size + 1) == 0, F.get("left", F.floor(k / (size + 1)).cast("int"))).otherwise(0.0))
+            new = new.union(late).union(found.where(size > 0).select("config_id", F.lit(-1).alias("i"), F.lit(-1).alias("j"), diagonal.alias("block")))
+        before, state = state, cut(new)
+        for x in (before, w):
+            release(x)
+    signs = F.when(F.min(F.abs("sign")) == 0, 0).otherwise(1 - 2 * (F.count_if(F.col("sign") < 0) % 2)).cast("int")
+    total = done.groupBy("config_id").agg(F.sum("logdet").alias("logdet"), signs.alias("sign"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return heads.select("config_id", "n").join(total, "config_id").select("config_id", "n", F.size("positions").alias("accepted"), "logdet", "sign", "positions")
 
 
 def block_scores(block: Column) -> Column:

@@ -36,3 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def release(df: DataFrame) -> None:
+    """Delete the checkpoint that cut() made for df, which nothing may read any more."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    file = rdd.getCheckpointFile()
+    if file.isDefined():
+        remove(df.sparkSession, file.get())

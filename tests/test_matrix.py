@@ -107,6 +107,58 @@ def test_non_definite_blocks(spark, sf):
         assert (got[0]["logdet"] == -math.inf) == (nt == 1)
 
 
+def indefinite():
+    """Symmetric matrices with singular and negative blocks on the diagonal, regular ones and singular ones."""
+    rng = np.random.default_rng(3)
+    swap = np.array([[0.0, 1, 0, 0], [1, 0, 0, 0], [0, 0, -1, 0], [0, 0, 0, 1]])
+    a = rng.normal(size=(12, 12))
+    hollow = a + a.T
+    for i in range(0, 12, 2):
+        hollow[i : i + 2, i : i + 2] = 0
+    low = rng.normal(size=(12, 5))
+    tiny = np.diag(np.full(12, 1e-9)) + np.fliplr(np.eye(12))
+    return {"swap": swap, "hollow": hollow, "even": -hollow, "singular": low @ low.T, "tiny": tiny, "zero": np.zeros((4, 4)), "definite": a @ a.T + np.eye(12), "negative": np.diag([1.0, -1, -1, 1, 1, -1, 1, -1.0]) + 0.01}
+
+
+@pytest.mark.parametrize("nt", [1, 2])
+@pytest.mark.parametrize(("side", "panel"), [(8_000, None), (0, 4), (0, None)])
+def test_one_result_by_either_way(spark, side, panel, nt):
+    """All of these matrices side by side in one, a configuration each."""
+    rows, lists, want, begin = [], [], [], 0
+    for name, m in indefinite().items():
+        n, k = len(m) // nt, m - np.eye(len(m))
+        rows += [(begin + i, begin + j, k[i * nt : (i + 1) * nt, j * nt : (j + 1) * nt].ravel().tolist()) for i in range(n) for j in range(i, n)]
+        lists.append([*range(begin, begin + n)])
+        sign, value = np.linalg.slogdet(m)
+        want.append(value if sign > 0 and name not in ("singular", "zero") else -math.inf)
+        begin += n
+    found = objective.config_logdet(spark.createDataFrame(rows, blocks.SCHEMA), configs(spark, lists), 1.0, dense_side=side, panel=panel)
+    assert [r["logdet"] for r in found.orderBy("config_id").collect()] == pytest.approx(want, abs=1e-8)
+
+
+def test_panels_make_few_checkpoints(spark, k4, dense, monkeypatch):
+    made, real = [], objective.cut
+    monkeypatch.setattr(objective, "cut", lambda df: made.append(real(df)) or made[-1])
+    ids = random.Random(2).sample(range(60), 40)
+    got = objective.config_logdet(k4, configs(spark, [ids, ids[:7]]), R, dense_side=0).orderBy("config_id").collect()
+    assert [r["logdet"] for r in got] == pytest.approx([logdet(dense, ids), logdet(dense, ids[:7])])
+    assert len(made) <= 10
+
+
+def test_only_asked_blocks_are_made(spark, sf, k4, dense):
+    k, asked = fixtures.k_matrix(spark, sf, 4), []
+    counted = blocks.Generated(k.ids.where("sensor_id < 60"), lambda pairs: asked.append(pairs.count()) or k.of(pairs), 4)
+    assert objective.singleton_scores(counted, R).count() == baseline.prescreen(counted).count() == 60
+    assert asked == [60, 60]
+    asked.clear()
+    ids = [17, 3, 40]
+    got = {r["sensor_id"]: r["score"] for r in objective.schur_gains(counted, configs(spark, [ids]), R).collect()}
+    assert sum(asked) <= 4 * 60 + 6
+    assert got == pytest.approx({r["sensor_id"]: r["score"] for r in objective.schur_gains(k4, configs(spark, [ids]), R).collect()})
+    found = greedy.greedy_select(counted, 3, R).orderBy("step").collect()
+    assert [r["sensor_id"] for r in found] == [r["sensor_id"] for r in greedy.greedy_select(k4, 3, R).orderBy("step").collect()]
+
+
 def test_budgets_and_no_valid_candidate(spark, sf, k4):
     assert greedy.greedy_select(k4, 0, R).count() == 0
     few = fixtures.sensors(spark, sf).where("sensor_id < 3")
@@ -126,6 +178,10 @@ def test_resume_is_the_straight_run(spark, k4, tmp_path):
     resumed = greedy.greedy_select(k4, 4, R, restart=path).orderBy("step").collect()
     assert [r["sensor_id"] for r in resumed] == [r["sensor_id"] for r in straight]
     assert [r["logdet"] for r in resumed] == pytest.approx([r["logdet"] for r in straight])
+    text = tmp_path / "s.txt"
+    text.write_text("".join(f"{r['sensor_id']} {r['logdet']:.18e}\n" for r in straight[:2]))
+    resumed = greedy.greedy_select(k4, 4, R, restart=str(text)).orderBy("step").collect()
+    assert [(r["sensor_id"], pytest.approx(r["logdet"])) for r in resumed] == [(r["sensor_id"], r["logdet"]) for r in straight]
     state = greedy.resume_state(k4, greedy.read_selection(spark, path), R)
     assert state.scores().count() == 59
     assert greedy.read_selection(spark, str(tmp_path / "nothing")).count() == 0

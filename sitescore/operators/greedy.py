@@ -6,7 +6,7 @@ complement, the score and the blocks of the last few picks; older blocks lie in
 picks that are written once and never again. A pick reads one row of the matrix's blocks by a
 pushed-down filter, broadcasts the winner's part (k blocks), reads the chunks in one pass, and
 checkpoints the new front alone: the plan of a pick doesn't depend on the picks before, and what
-it reads and computes is linear in their number.
+it reads and computes is linear in their number. A front is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from ..sources.pieces import numbered_lines
 from .blocks import Generated, Matrix, asked, diagonal_blocks, normalised, oriented, regularize
 from .objective import best_candidate
 from .running import running
-from .state import cut, remove
+from .state import cut, release, remove
 
 SELECTION = "step int, sensor_id int, gain double, logdet double"
 CHECKPOINT_EVERY = 10
@@ -147,7 +147,9 @@ def advance(state: State, blocks: Matrix, winner: int, r_sq: float, triangle: st
     if state.n_recent + 1 < CHUNK:
         return State(front, state.n_recent + 1, state.chunks)
     chunk = cut(front.select("sensor_id", F.col("recent").alias("y")))
-    return State(cut(front.withColumn("recent", F.lit(b""))), 0, [*state.chunks, chunk])
+    own = State(cut(front.withColumn("recent", F.lit(b""))), 0, [*state.chunks, chunk])
+    release(front)
+    return own
 
 
 def write_selection(selection: DataFrame, path: str) -> None:
@@ -227,7 +229,10 @@ def greedy_select(blocks: Matrix, budget: int, r_sq: float, candidates: DataFram
         if checkpoint and len(picks) % CHECKPOINT_EVERY == 0:
             write_selection(spark.createDataFrame(picks, SELECTION), checkpoint)
         if len(picks) < budget:
-            state = advance(state, blocks, winner["sensor_id"], r_sq, triangle)
+            before, state = state, advance(state, blocks, winner["sensor_id"], r_sq, triangle)
+            release(before.front)  # the next one is safe
+    for x in (state.front, *state.chunks):
+        release(x)
     out = spark.createDataFrame(picks, SELECTION)
     if checkpoint:
         write_selection(out, checkpoint)
@@ -238,5 +243,6 @@ def resume_state(blocks: Matrix, prefix: DataFrame, r_sq: float, triangle: str =
     """The state after the picks of prefix(step, sensor_id), one pass for each, without a search."""
     state = initial_state(blocks, r_sq, None, triangle)
     for r in prefix.orderBy("step").collect():
-        state = advance(state, blocks, r["sensor_id"], r_sq, triangle)
+        before, state = state, advance(state, blocks, r["sensor_id"], r_sq, triangle)
+        release(before.front)
     return state

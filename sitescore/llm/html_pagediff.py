@@ -50,9 +50,11 @@ ARTICLE_CLASSES = frozenset("article-body articlebody article-content post-conte
 #: Words of class and id names that mark what isn't the article, if all other words of the name say no more than where or how large it is.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar footer header masthead topbar cookie cookies consent gdpr notice notices popup modal newsletter comment comments disqus pagination pager".split()
+    "sidebar footer header masthead topbar cookie cookies consent gdpr notice notices popup modal newsletter comment comments disqus pagination pager "
+    "related share sharing social subscribe reviews".split()
 )
-NEUTRAL = frozenset("box bar block list item container wrapper wrap slot unit area section inner outer top bottom left right main site page global primary secondary sticky fixed module panel group thread form links widget policy cookie".split())
+COMMENTS = frozenset("comment comments disqus reviews".split())
+NEUTRAL = frozenset("box bar block list item container wrapper wrap slot unit area section inner outer top bottom left right main site page global primary secondary sticky fixed module panel group thread form links widget policy cookie reader readers user users button buttons".split())
 
 #: A tag whose quoted values may hold >; quotes without a second one are plain characters.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""")
@@ -93,7 +95,7 @@ def marked(name: str, own: dict[str, str]) -> str:
     """What in an element's attributes says that it isn't the article, or an empty text."""
     if (role := own.get("role", "").strip().lower()) in ROLES:
         return role
-    if name not in CONTAINERS:
+    if name not in CONTAINERS and name != "article":
         return ""
     return next(filter(None, map(named, [*own.get("class", "").split(), own.get("id", "")])), "")
 
@@ -106,8 +108,8 @@ def article_like(name: str, own: dict[str, str]) -> int:
 
 
 class Tree:
-    """The open elements: whether each rules its text out (1: but for headings), and how much of an article
-    it is. Where elements of a name are is kept beside, so that closing one needs no search."""
+    """The open elements: whether each rules its text out (1: but for headings, 2: but for an article, 3: all), and how
+    much of an article it is. Where elements of a name are is kept beside, so that closing one needs no search."""
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
@@ -222,9 +224,11 @@ def parse(html: str | None) -> Page:
         if name in HEADINGS and closed == 1:
             tree.push(name, 0, level)
             continue
-        mark = "" if name in ("html", "body", "main") or like == 2 else marked(name, own)
-        if mark or name in PRUNED:
-            closed = 1 if closed <= 1 and level and "header" in (mark, name) else 2
+        mark = "" if name in ("html", "body", "main") else marked(name, own)
+        if mark in COMMENTS:
+            closed, like = 3, 0  # for good: each comment may be an article
+        elif name in PRUNED or mark and like < 2:
+            closed = closed if closed == 3 else 1 if closed <= 1 and level and "header" in (mark, name) else 2
         elif like and closed == 2 and not tree.last(PRUNED):
             closed, level = 0, 0  # a container was ruled out by its name, yet it holds the article
         if name in BLOCKS or name in PRUNED or closed != tree.stack[-1][1] or like > level or name in ("td", "th") or tree.last((name,)):

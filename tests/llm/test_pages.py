@@ -54,6 +54,11 @@ def text(html):
         ("<article><p>a <math><mi>x</mi></math> <svg><text>s</text></svg><noscript>n</noscript></p><select><option>o</select><button>b</button></article>", "a x sn"),
         ("<article><span role=alert>no <span>no</span> no</span><p>a<title>t</title></p></article>", "a"),
         ('<article><p title="a > b">x</p><p title=">y</p><p>z</p></article>', "x\ny\nz"),
+        ("<article><p>text</p></article><section id=comments><article>a comment that is longer than the text</article></section>", "text"),
+        ("<article><p>text</p><div class=comments><main><article>a comment</article></main></div><p>end</p></article>", "text\nend"),
+        ("<article><p>text</p></article><article class=comment>a comment that is longer than the text</article>", "text"),
+        ("<article><p>text</p><div class=reader-comments>c</div><div class='share-buttons'>s</div><div class=related>r</div><div class=subscribe-box>s</div><div class=user-reviews>u</div></article>", "text"),
+        ("<div class=promo-box><article>in a promo box</article></div>", "in a promo box"),
         ("<article><p>x < y</p><![CDATA[c & d]]><![CDATA[e<?php f ?><!x></ ></article><p>after <a href='x", "x < y\nc & d"),
     ],
 )

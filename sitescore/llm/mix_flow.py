@@ -38,38 +38,72 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     times its source's size; the excess goes to the others by weight until none is above.
     """
     order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    out: dict[str | None, float] = {}
-    rest, open_ = float(sum(size.values())), [s for s, _ in order]
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if rest * weight[s] / total > copies * size[s]]
-        if not full:
-            return out | {s: rest * weight[s] / total for s in open_}
-        out |= {s: float(copies * size[s]) for s in full}
-        rest -= sum(out[s] for s in full)
-        open_ = [s for s in open_ if s not in out]
-    return out
+    whole = sum(n for _, n in order)
+    level, open_ = 0.0, None
+    while True:
+        full, caps = [0] * len(weights), 0
+        for i, (_, n) in enumerate(order):
+            if weights[i % len(weights)] * level > copies * n:
+                full[i % len(weights)] += 1
+                caps += copies * n
+        free = [len(range(k, len(order), len(weights))) - n for k, n in enumerate(full)]
+        if not sum(free) or sum(free) == open_:
+            break
+        level, open_ = water_level(whole - caps, free, weights), sum(free)
+    return {s: min(weights[i % len(weights)] * level, float(copies * n)) for i, (s, n) in enumerate(order)}
+
+
+def water_level(rest: int, free: list[int], weights: tuple[float, ...]) -> float:
+    """The tokens for a weight of one if rest is shared out to free[k] sources of each weight."""
+    return rest / sum(n * w for n, w in zip(free, weights, strict=True))
 
 
 def route(patterns: dict[tuple, int], quota: dict, copies: int = COPIES) -> dict[tuple, dict]:
-    """Min-cost flow from patterns (tuples of sources, with their tokens) to quotas.
+    """Min-cost flow from patterns (tuples of different sources, no two of the same ones, with their tokens) to quotas.
 
     The c-th copy of a token costs c. Returns the tokens that each pattern gives to each source.
+    Patterns that share no source, not even by way of others, are solved apart, and each network in
+    the order of its sources; so the flow is the same in whatever order, and with whatever other
+    networks, its patterns come.
+    """
+    place = {s: i for i, s in enumerate(sorted({s for p in patterns for s in p}, key=lambda s: (s is None, 0 if s is None else s)))}
+    own = {p: sorted(p, key=place.__getitem__) for p in patterns}
+    parent = list(range(len(place)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for p in own.values():
+        for s in p:
+            parent[root(place[s])] = root(place[p[0]])
+    networks: dict[int, list[tuple]] = {}
+    for p in sorted(patterns, key=lambda p: [place[s] for s in own[p]]):
+        if p:
+            networks.setdefault(root(place[own[p][0]]), []).append(p)
+    flow: dict[tuple, dict] = {p: {} for p in patterns}
+    for names in networks.values():
+        flow |= network(names, own, patterns, quota, copies)
+    return flow
+
+
+def network(names: list[tuple], own: dict[tuple, list], size: dict[tuple, int], quota: dict, copies: int) -> dict[tuple, dict]:
+    """route() for the connected patterns names, of the sources own[p] and the tokens size[p] each.
+
     Only the arcs into patterns cost anything, and each copy more than the one before; so the
     shortest paths of cost c are those over the c-th copies and free arcs, and the flow is the
     least costly if each cost in turn gets a largest flow (by layers and blocking flows).
     """
-    names = list(patterns)
-    sources = sorted({s for p in names for s in p}, key=lambda s: (s is None, str(s)))
+    sources = list(dict.fromkeys(s for p in names for s in own[p]))
     node = {("p", p): i for i, p in enumerate(names)} | {("s", s): len(names) + i for i, s in enumerate(sources)}
     #: arcs[i] are a node's (number of the arc, other end); arc e ^ 1 leads back.
     arcs: list[list[tuple[int, int]]] = [[] for _ in node]
     room: list[float] = []
     at: dict[tuple, int] = {}
     for p in names:
-        for s in p:
+        for s in own[p]:
             a, b = node["p", p], node["s", s]
             at[p, s] = len(room)
             arcs[a].append((len(room), b))
@@ -79,7 +113,7 @@ def route(patterns: dict[tuple, int], quota: dict, copies: int = COPIES) -> dict
     small = 1e-9 * max([1.0, *left])
     first = len(names)
     for _ in range(copies):
-        offer = [float(patterns[p]) for p in names]
+        offer = [float(size[p]) for p in names]
         while True:
             # Layers from the patterns that still have something of this copy to the sources with quota left.
             layer = [-1] * len(node)
@@ -178,7 +212,8 @@ def allotted(sums: list[tuple[tuple, int]], weights: tuple[float, ...], copies:
             size[s] = size.get(s, 0) + n
     # A token in several sources counts once in the whole that is shared out.
     whole, each = sum(patterns.values()), sum(size.values())
-    target = {s: x * whole / each if each else 0.0 for s, x in targets(list(size.items()), weights, copies).items()}
+    share = whole / each if each else 0.0
+    target = {s: x * share for s, x in targets(list(size.items()), weights, copies).items()}
     flow = route(patterns, target, copies)
     return [(list(p), sum(size[s] for s in p), float(sum(target[s] for s in p)), float(sum(flow[p].values()))) for p in patterns]
 
@@ -205,19 +240,20 @@ def allotted_apart(sums: DataFrame, weights: tuple[float, ...], copies: int) ->
     weight = F.get(F.array(*map(F.lit, map(float, weights))), (F.col("at") % n).cast("int"))
     sources = checkpoint(sources.select("source", "size", "at", weight.alias("weight")))
     whole, total = sums.agg(F.sum("size")).first()[0] or 0, sources.agg(F.sum("size")).first()[0] or 0
-    # The water level: tokens for a weight of one, where all is handed out.
     level, open_ = 0.0, None
     while True:
         full = F.col("weight") * level > copies * F.col("size")
-        r = sources.agg(F.sum(F.when(~full, F.col("weight"))).alias("w"), F.sum(F.when(full, copies * F.col("size"))).alias("s"), F.count_if(~full).alias("n")).first()
-        if r["n"] == open_ or not r["n"]:
+        caps, *free = sources.agg(F.sum(F.when(full, copies * F.col("size"))), *(F.count_if(~full & (F.col("at") % n == k)) for k in range(n))).first()
+        if not sum(free) or sum(free) == open_:
             break
-        level, open_ = (total - (r["s"] or 0)) / r["w"], r["n"]
+        level, open_ = water_level(total - (caps or 0), free, weights), sum(free)
     share = whole / total if total else 0.0
     sources = sources.select("source", F.col("size").alias("source_size"), "at", (F.least(F.col("weight") * level, (copies * F.col("size")).cast("double")) * share).alias("target"))
     sources = checkpoint(sources)
     each = checkpoint(each.join(sources, each["source"].eqNullSafe(sources["source"])).drop(sources["source"]))
-    by = each.groupBy("pattern", "size").agg(F.min("at").alias("low"), F.sum("source_size").alias("source_size"), F.sum("target").alias("sum"), F.sort_array(F.collect_list(F.struct("at", "target"))).alias("own"))
+    by = each.groupBy("pattern", "size").agg(F.min("at").alias("low"), F.sum("source_size").alias("source_size"), F.sort_array(F.collect_list(F.struct("at", "target"))).alias("own"))
+    # Added up in the order of the sources, as on the driver.
+    by = by.withColumn("sum", F.aggregate("own", F.lit(0.0), lambda a, x: a + x["target"]))
     edges = by.select(F.col("low").alias("a"), F.explode("own.at").alias("b"))
     roots = connected_components(edges)
     by = by.join(roots.select(F.col("a").alias("low"), "root"), "low", "left").withColumn("root", F.coalesce("root", "low"))

@@ -21,8 +21,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SAMPLE_ROWS = 2_000
-#: So often each sampled text is judged where a rule's cost is measured, and so many times that is done.
-REPEATS, TIMES = 4, 2
+#: So often a rule is timed over the sample; the shortest time counts.
+TIMES = 2
 #: So many repeated windows of a text are looked up in a list; more are found by sorting.
 FEW = 64
 MEASURES = "__quality_measures"
@@ -134,9 +134,9 @@ RULES: dict[str, Callable] = {
 def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rules: dict[str, Callable] | None = None, lazy: bool = False) -> list[tuple[str, float, float]]:
     """The rules as (name, rejected share, seconds a row), those with the most rejections per second first.
 
-    Measured on an even hash sample of about sample_rows documents. Each rule is tried once, which
-    compiles it and counts its rejections; then it is timed over the sample REPEATS times over, and
-    what a rule that reads no text takes is subtracted, so a job's start doesn't count. A rule's
+    Measured on an even hash sample of about sample_rows documents. A rule's first run compiles
+    it and counts its rejections, the next ones are timed, and what a rule that reads no text
+    takes is subtracted, so a job's start doesn't count. A rule's
     seconds are what it adds to the measures, or, where lazy, those that it computes for itself.
     Rules that reject nothing come last, cheap ones first; ties, and an empty table, keep the order of names.
     """
@@ -146,27 +146,25 @@ def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rules: dict[str, Calla
     t = F.coalesce(F.col("text"), F.lit(""))
     sample = checkpoint(sample.select("text") if lazy else measures(sample).select("text", MEASURES))
     m = lazily(t) if lazy else F.col(MEASURES)
-    n = sample.count()
-    more = sample.crossJoin(F.broadcast(docs.sparkSession.range(REPEATS).toDF("again")))  # REPEATS rows
 
-    def seconds(rejects: Column) -> float:
-        # The round is part of the counted value, so that no round can be left out.
-        count = more.agg(F.count_if(rejects & (F.col("again") >= 0)))
-        count.first()
+    def measure(rejects: Column) -> tuple[int, int, float]:
+        """The sample's rows, those of them that are rejected, and the seconds."""
+        count = sample.agg(F.count("*"), F.count_if(rejects))
+        rows, out = count.first()
         best = float("inf")
         for _ in range(TIMES):
             began = time.perf_counter()
             count.first()
             best = min(best, time.perf_counter() - began)
-        return best
+        return rows, out, best
 
     found = []
-    nothing = seconds(F.length(t) < 0)
+    rows, _, nothing = measure(F.length(t) < 0)
+    n = max(1, rows)
     for name in sorted(rules):
-        rejects = rules[name](m, t)
-        out = sample.agg(F.count_if(rejects)).first()[0]
-        found.append((name, out / max(1, n), max(seconds(rejects) - nothing, 1e-4) / max(1, n * REPEATS)))
-    return sorted(found, key=lambda x: (-x[1] / x[2], x[2] if x[1] == 0 and n else 0, x[0]))
+        _, out, seconds = measure(rules[name](m, t))
+        found.append((name, out / n, max(seconds - nothing, 1e-4) / n))
+    return sorted(found, key=lambda x: (-x[1] / x[2], x[2] if x[1] == 0 and rows else 0, x[0]))
 
 
 def cascade(order: list[str], rules: dict[str, Callable] | None = None, text: str = "text", lazy: bool = False) -> Column:

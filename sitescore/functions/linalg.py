@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+# The factors and the step of the splitmix generator.
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+STEP = 0x9E3779B97F4A7C15
+
 
 def cholesky(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower factors, whether each block is positive definite) of blocks of shape (n, nt, nt).
@@ -82,3 +86,19 @@ def listed(values: np.ndarray) -> pa.Array:
 def nullable(values: np.ndarray) -> pa.Array:
     """A double column with null for NaN."""
     return pa.array(values, mask=np.isnan(values))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of the splitmix generator."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
+    return x ^ (x >> np.uint64(31))
+
+
+def normal_blocks(rows: np.ndarray, cols: np.ndarray, nt: int, seed: int) -> np.ndarray:
+    """Standard normal blocks, nt x nt for each (row, col). A value depends on its seed, pair and place alone: the pair's
+    key steps on by STEP, two mixed numbers are two uniform ones of 53 bits, and these a value (Box and Muller)."""
+    key = mixed((rows.astype(np.uint64) << np.uint64(32) | cols.astype(np.uint64)) ^ mixed(np.array([seed], np.uint64)))
+    place = np.arange(1, 2 * nt * nt + 1, dtype=np.uint64) * np.uint64(STEP)
+    u = ((mixed(key[:, None] + place) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return (np.sqrt(-2 * np.log(u[:, ::2])) * np.cos(2 * np.pi * u[:, 1::2])).reshape(-1, nt, nt)

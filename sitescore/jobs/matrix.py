@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.linalg import MIX, STEP
 from ..operators import baseline, blocks, greedy, objective
 from ..operators.state import shared_path
 from ..sources import fixtures as fx
@@ -36,11 +37,10 @@ def cells(k: DataFrame) -> DataFrame:
 
 
 def s1_synthetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each sensor the blocks and values of its column, and whether their mean and variance are those of
-    standard normal values (within six standard errors) and single precision."""
+    """For each sensor the blocks and values of its column, their mean and variance, and whether all have single precision."""
     cell = blocks.blocks_to_entries(blocks.synthetic_blocks(fx.sensors(spark, sf_dir), 2, "single"))
-    by = cell.groupBy(F.col("block_col").alias("sensor_id")).agg((F.count("*") / 4).cast("long").alias("n_blocks"), F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.bool_and(F.col("value") == F.col("value").cast("float")).alias("single"))
-    return by.select("sensor_id", "n_blocks", F.col("n").alias("n_values"), ((F.abs("m") < 6 / F.sqrt("n")) & (F.abs(F.col("v") - 1) < 6 * F.sqrt(2 / F.col("n")))).alias("normal"), "single")
+    by = cell.groupBy(F.col("block_col").alias("sensor_id")).agg(F.count_distinct("block_row").alias("n_blocks"), F.count("*").alias("n_values"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.bool_and(F.col("value") == F.col("value").cast("float")).alias("single"))
+    return by.select("sensor_id", "n_blocks", "n_values", r6("mean"), r6("variance"), "single")
 
 
 def s2_matrix_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,13 +363,28 @@ st AS (SELECT config_id, 0 AS p, i, sensor_id, v AS d, []::DOUBLE[] AS ys FROM c
 SINGLE = f"""singles AS (SELECT sensor_id, CASE WHEN a > 0 AND a * d - b * c > 0 THEN ln(a * d - b * c) END AS score FROM (SELECT block_row AS sensor_id,
   max(CASE WHEN t = 0 AND t2 = 0 THEN {R} * value + 1 END) AS a, max(CASE WHEN t = 0 AND t2 = 1 THEN {R} * value END) AS b,
   max(CASE WHEN t = 1 AND t2 = 0 THEN {R} * value END) AS c, max(CASE WHEN t = 1 AND t2 = 1 THEN {R} * value + 1 END) AS d FROM k WHERE block_row = block_col GROUP BY block_row))"""
+WRAP = 1 << 64
+
+
+def mixed_sql(x: str) -> str:
+    """functions.linalg.mixed() of an unsigned number of 64 bits."""
+    for shift, factor in zip((30, 27), MIX, strict=True):
+        x = f"(xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT % {WRAP}::UHUGEINT)::UBIGINT"
+    return f"xor({x}, {x} >> 31)"
+
+
 PICK = "step::INT AS step, sensor_id"
 UNIFORM = """CASE WHEN {k} <= 0 THEN []::INT[] WHEN {k} >= {n} THEN range({n})::INT[] WHEN {k} = 1 THEN [({n} - 1) // 2]::INT[]
   WHEN {n} % greatest({k}, 1) = 0 THEN list_transform(range({k}), lambda i: i * ({n} // greatest({k}, 1)))::INT[]
   ELSE list_transform(range({k}), lambda i: round_even(i * (({n} - 1)::DOUBLE / greatest({k} - 1, 1)), 0))::INT[] END"""
 
 SQL: dict[str, str] = {
-    "s1_synthetic_blocks": f"WITH {fx.SENSORS} SELECT sensor_id, (SELECT count(*) FROM sensors) AS n_blocks, 4 * (SELECT count(*) FROM sensors) AS n_values, true AS normal, true AS single FROM sensors",
+    "s1_synthetic_blocks": f"""WITH {fx.SENSORS}, pairs AS (SELECT a.sensor_id AS r, b.sensor_id AS c, (a.sensor_id::BIGINT * 4294967296 + b.sensor_id)::UBIGINT AS x FROM sensors a, sensors b),
+keyed AS (SELECT r, c, {mixed_sql('x')} AS key FROM pairs),
+two AS (SELECT r, c, i, ((key::UHUGEINT + (2 * i + 1)::UHUGEINT * {STEP}::UHUGEINT) % {WRAP}::UHUGEINT)::UBIGINT AS p, ((key::UHUGEINT + (2 * i + 2)::UHUGEINT * {STEP}::UHUGEINT) % {WRAP}::UHUGEINT)::UBIGINT AS q FROM keyed, range(4) t(i)),
+uniform AS (SELECT r, c, (({mixed_sql('p')} >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992::DOUBLE AS u, (({mixed_sql('q')} >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992::DOUBLE AS w FROM two),
+cells AS (SELECT r, c, (sqrt(-2 * ln(u)) * cos(2 * pi() * w))::FLOAT::DOUBLE AS value FROM uniform)
+SELECT c AS sensor_id, count(DISTINCT r) AS n_blocks, count(*) AS n_values, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, bool_and(value = value::FLOAT::DOUBLE) AS single FROM cells GROUP BY c""",
     "s2_matrix_info": f"WITH {fx.k_sql(2)} SELECT (max(t) + 1)::INT AS nt, (max(block_row) + 1)::INT AS nd, (count(*) // 4)::BIGINT AS n_blocks FROM k",
     "s3_entries_blocks": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(value, 6) AS value FROM k",
     "s4_diagonal_blocks": f"WITH {fx.k_sql(4)} SELECT block_row AS sensor_id, t, t2, round(value, 6) AS value FROM k WHERE block_row = block_col",

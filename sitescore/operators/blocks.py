@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import block_size, entries, nan_to_zero, symmetric, transpose
-from ..functions.linalg import listed
+from ..functions.linalg import listed, normal_blocks
 
 SCHEMA = "block_row int, block_col int, block array<double>"
 
@@ -56,8 +56,8 @@ def sensors_of(blocks: Matrix) -> DataFrame:
 
 
 def synthetic_blocks(candidates: DataFrame, nt: int = 420, precision: str = "single", seed: int = 0) -> DataFrame:
-    """A full matrix of standard normal values for candidates(sensor_id), the same for any partitioning as
-    each block has its own seed."""
+    """A full matrix of standard normal values for candidates(sensor_id, from 0 on), the same for any partitioning
+    as each value is a function of the seed and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +65,7 @@ def synthetic_blocks(candidates: DataFrame, nt: int = 420, precision: str = "sin
             most = max(1, (4 << 20) // (nt * nt))
             for lo in range(0, len(rows), most):
                 i, j = rows[lo : lo + most], cols[lo : lo + most]
-                values = np.stack([np.random.default_rng((seed, int(a), int(b))).standard_normal((nt, nt)) for a, b in zip(i, j, strict=True)])
-                values = values.astype(np.float32 if precision == "single" else np.float64).astype(np.float64)
+                values = normal_blocks(i, j, nt, seed).astype(np.float32 if precision == "single" else np.float64).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), listed(values)], ["block_row", "block_col", "block"])
 
     # The matrix has a block for every pair of candidates.

@@ -292,6 +292,24 @@ def test_synthetic_blocks_ignore_partitioning(spark):
     b = blocks.synthetic_blocks(five.repartition(3), 3, "single", 7).repartition(3)
     one, two = ({(r[0], r[1]): tuple(r[2]) for r in x.collect()} for x in (a, b))
     assert one == two and len(one) == 25
+    other = blocks.synthetic_blocks(five, 3, "single", 8).collect()
+    assert not {x for r in other for x in r["block"]} & {x for v in one.values() for x in v}
+
+
+def test_synthetic_values_are_standard_normal_and_independent():
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(300), indexing="ij"))
+    values = linalg.normal_blocks(i, j, 2, 3)
+    flat = values.ravel()
+    n = len(flat)
+    assert len(np.unique(flat)) > 0.999 * n
+    assert abs(flat.mean()) < 5 / n**0.5 and abs(flat.var() - 1) < 5 * (2 / n) ** 0.5
+    assert abs((flat**4).mean() - 3) < 5 * (96 / n) ** 0.5 and (np.abs(flat) > 4).any()
+    # Neighbours within a block, along a row and along a column of the matrix don't hang together.
+    matrix = values.reshape(300, 300, 4)
+    for x, y in ((matrix[..., :-1], matrix[..., 1:]), (matrix[:, :-1], matrix[:, 1:]), (matrix[:-1], matrix[1:]), (matrix, matrix.transpose(1, 0, 2))):
+        apart = x is not matrix
+        own = (x * y)[~np.eye(300, dtype=bool)] if not apart else x * y
+        assert abs(own.mean()) < 5 / (own.size / (1 if apart else 2)) ** 0.5
     assert blocks.matrix_bytes(600, 420, "double") == 252_000**2 * 8
 
 

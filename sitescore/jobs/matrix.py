@@ -363,14 +363,25 @@ st AS (SELECT config_id, 0 AS p, i, sensor_id, v AS d, []::DOUBLE[] AS ys FROM c
 SINGLE = f"""singles AS (SELECT sensor_id, CASE WHEN a > 0 AND a * d - b * c > 0 THEN ln(a * d - b * c) END AS score FROM (SELECT block_row AS sensor_id,
   max(CASE WHEN t = 0 AND t2 = 0 THEN {R} * value + 1 END) AS a, max(CASE WHEN t = 0 AND t2 = 1 THEN {R} * value END) AS b,
   max(CASE WHEN t = 1 AND t2 = 0 THEN {R} * value END) AS c, max(CASE WHEN t = 1 AND t2 = 1 THEN {R} * value + 1 END) AS d FROM k WHERE block_row = block_col GROUP BY block_row))"""
-WRAP = 1 << 64
+LOW = (1 << 32) - 1
 
 
-def mixed_sql(x: str) -> str:
-    """functions.linalg.mixed() of an unsigned number of 64 bits."""
-    for shift, factor in zip((30, 27), MIX, strict=True):
-        x = f"(xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT % {WRAP}::UHUGEINT)::UBIGINT"
-    return f"xor({x}, {x} >> 31)"
+def product_sql(y: str, factor: int) -> str:
+    """y times the factor, modulo 2 to 64, by halves of 32 bits that don't overflow."""
+    l, h, fl, fh = f"({y} & {LOW}::UBIGINT)", f"({y} >> 32)", f"{factor & LOW}::UBIGINT", f"{factor >> 32}::UBIGINT"
+    cross = f"({h} * {fl} & {LOW}::UBIGINT) + ({l} * {fh} & {LOW}::UBIGINT)"
+    return f"(({l} * {fl} >> 32) + {cross} & {LOW}::UBIGINT) * 4294967296::UBIGINT + ({l} * {fl} & {LOW}::UBIGINT)"
+
+
+def mixed_sql(name: str, source: str, keep: str, x: str) -> str:
+    """Relation name(keep, x): functions.linalg.mixed() of x, an unsigned number of 64 bits of the source; each step in a
+    relation of its own, so that it is worked out once."""
+    parts = []
+    for n, (shift, factor) in enumerate(zip((30, 27), MIX, strict=True)):
+        parts.append(f"{name}{n}x AS MATERIALIZED (SELECT {keep}, xor({x}, {x} >> {shift}) AS {x} FROM {source})")
+        parts.append(f"{name}{n} AS MATERIALIZED (SELECT {keep}, {product_sql(x, factor)} AS {x} FROM {name}{n}x)")
+        source = f"{name}{n}"
+    return ", ".join([*parts, f"{name} AS (SELECT {keep}, xor({x}, {x} >> 31) AS {x} FROM {source})"])
 
 
 PICK = "step::INT AS step, sensor_id"
@@ -380,9 +391,11 @@ UNIFORM = """CASE WHEN {k} <= 0 THEN []::INT[] WHEN {k} >= {n} THEN range({n})::
 
 SQL: dict[str, str] = {
     "s1_synthetic_blocks": f"""WITH {fx.SENSORS}, pairs AS (SELECT a.sensor_id AS r, b.sensor_id AS c, (a.sensor_id::BIGINT * 4294967296 + b.sensor_id)::UBIGINT AS x FROM sensors a, sensors b),
-keyed AS (SELECT r, c, {mixed_sql('x')} AS key FROM pairs),
-two AS (SELECT r, c, i, ((key::UHUGEINT + (2 * i + 1)::UHUGEINT * {STEP}::UHUGEINT) % {WRAP}::UHUGEINT)::UBIGINT AS p, ((key::UHUGEINT + (2 * i + 2)::UHUGEINT * {STEP}::UHUGEINT) % {WRAP}::UHUGEINT)::UBIGINT AS q FROM keyed, range(4) t(i)),
-uniform AS (SELECT r, c, (({mixed_sql('p')} >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992::DOUBLE AS u, (({mixed_sql('q')} >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992::DOUBLE AS w FROM two),
+{mixed_sql('keyed', 'pairs', 'r, c', 'x')},
+steps AS (SELECT i, {product_sql('(i + 1)::UBIGINT', STEP)} AS s FROM range(8) t(i)),
+stepped AS (SELECT r, c, i, ((x >> 32) + (s >> 32) + ((x & {LOW}) + (s & {LOW}) >> 32) & {LOW}) * 4294967296::UBIGINT + ((x & {LOW}) + (s & {LOW}) & {LOW}) AS x FROM keyed, steps),
+{mixed_sql('draws', 'stepped', 'r, c, i', 'x')},
+uniform AS (SELECT r, c, max(v) FILTER (i % 2 = 0) AS u, max(v) FILTER (i % 2 = 1) AS w FROM (SELECT r, c, i, ((x >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992::DOUBLE AS v FROM draws) GROUP BY r, c, i // 2),
 cells AS (SELECT r, c, (sqrt(-2 * ln(u)) * cos(2 * pi() * w))::FLOAT::DOUBLE AS value FROM uniform)
 SELECT c AS sensor_id, count(DISTINCT r) AS n_blocks, count(*) AS n_values, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, bool_and(value = value::FLOAT::DOUBLE) AS single FROM cells GROUP BY c""",
     "s2_matrix_info": f"WITH {fx.k_sql(2)} SELECT (max(t) + 1)::INT AS nt, (max(block_row) + 1)::INT AS nd, (count(*) // 4)::BIGINT AS n_blocks FROM k",
@@ -400,7 +413,7 @@ SELECT config_id, (min(sensor_id) * 4)::INT AS row_start, ((max(sensor_id) + 1)
     "s10_checkpoint_objective": f"WITH {fx.SAMPLES} SELECT sample_id, round(format('{{:.6f}}', logdet)::DOUBLE, 4) AS objective FROM samples WHERE logdet < 'inf'::DOUBLE",
     "s14_read_coords": f"WITH {fx.SENSORS} SELECT sensor_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM sensors",
     "p1_clean_nan": f"WITH {fx.k_sql(4, 'nan')} SELECT block_row, block_col, t, t2, CASE WHEN isnan(value) THEN 0 ELSE round(value, 6) END AS value FROM k WHERE block_row = block_col",
-    "p2_symmetrize": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(value + 0.5::DOUBLE * CASE WHEN block_row = block_col THEN (t + t2) / 2.0::DOUBLE ELSE t END, 6) AS value FROM k",  # a diagonal block of k is symmetric
+    "p2_symmetrize": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(value + 0.5::DOUBLE * CASE WHEN block_row = block_col THEN (t + t2) / 2.0::DOUBLE ELSE t END, 6) + 0.0::DOUBLE AS value FROM k",  # a diagonal block of k is symmetric
     "p3_regularize": f"WITH {fx.k_sql(2)} SELECT block_row, block_col, t, t2, round(4 * value + CASE WHEN block_row = block_col AND t = t2 THEN 1 ELSE 0 END, 6) AS value FROM k",
     "p4_exclude_sensors": f"WITH {fx.SENSORS} SELECT sensor_id FROM sensors WHERE sensor_id NOT IN (3, 17, 5)",
     "p5_remaining_candidates": f"WITH {fx.SENSORS}, {fx.SELECTION} SELECT sensor_id FROM sensors WHERE sensor_id NOT IN (SELECT sensor_id FROM selection)",

@@ -5,30 +5,37 @@ rarest shingle alone (the necessary prefix, as containment asks for all of them)
 counted over all documents. Where a document has that shingle, its place in the window gives the
 only start at which the window can be; the document must reach from there to the window's end,
 and then the words are compared.
+
+A benchmark of one block is broadcast with its index. A larger one is joined: a table of fixed size
+has the counts, each window goes to its rarest shingle's hash, and so do the places of that hash in
+the documents with the words around them, which is all that a comparison needs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
 WINDOW = 10
 SHINGLE = 3
-#: Bound on the benchmark text that is broadcast at once; more is taken in several blocks.
+#: Bound on the benchmark text that is broadcast; more is joined by a shuffle.
 BLOCK_BYTES = 8 << 20
 #: Candidate windows of a text that are compared at once.
 CANDIDATES = 1 << 16
-#: Documents whose shingles are counted where the benchmark takes several blocks; which shingle indexes a
-#: window decides on the work only, never on the result.
-SAMPLE_ROWS = 20_000
+#: In the join a bitmap of 2 to this many bits tells which hashes matter, and a table of 2 to this many slots has the
+#: counts. What shares a bit or a slot adds to the work, never to the result.
+BITS, SLOTS = 27, 22
+#: The commonest HOT of the hashes with more than PLACES places are dealt to several tasks.
+PLACES, HOT = 50_000, 100_000
 #: Fixed value: ASCII but letters and digits separates words.
 SEPARATORS = bytes(32 if chr(b) not in "0123456789abcdefghijklmnopqrstuvwxyz" and b < 128 else b for b in range(256))
 
@@ -175,21 +182,142 @@ def counted(docs: DataFrame, index: Index) -> None:
     shared.unpersist()
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[Index]:
-    """One Index for each block of whole items, of about block_bytes of text. Rarity is counted over all
-    documents for a single block, over a sample for several, which then cost one pass each."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    if n > 1:
-        share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
-        docs = checkpoint(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(share * (1 << 30))))
-    for i in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        index = Index.of([(r["item"], r["text"]) for r in own.collect()])
-        if index.windows:
-            counted(docs, index)
-            yield index
+def known(benchmark: DataFrame) -> DataFrame:
+    """(item, text) of the items with a text."""
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
+
+
+def index_of(docs: DataFrame, items: DataFrame, block_bytes: int) -> Index | None:
+    """The Index of items of at most block_bytes of text, rarity counted over all documents; None for more."""
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        return None
+    index = Index.of([(r["item"], r["text"]) for r in items.collect()])
+    if index.windows:
+        counted(docs, index)
+    else:
+        index.prefix = {}
+    return index
+
+
+def hashes(words: list[bytes], sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each size the hashes of all shingles of so many words, in the order of their places."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = {}
+    for k in sizes:
+        m = max(0, len(own) - k + 1)
+        h = np.full(m, k, np.uint64)
+        for i in range(k):
+            h = (h ^ own[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        out[k] = h.view(np.int64)
+    return out
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """2 to BITS bits, those of keys(h) set."""
+    spots = keys.select(F.col("h").bitwiseAND((1 << BITS) - 1).alias("spot"))
+    marks = spots.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << BITS - 6, "<i8")
+    table[marks["at"].to_numpy()] = marks["bits"].to_numpy()
+    return table.view(np.uint8)
+
+
+def marked(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bits of some hashes are set."""
+    spot = h & 8 * len(table) - 1
+    return (table[spot >> 3] >> (spot & 7) & 1).astype(bool)
+
+
+def joined(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, start, stop, window) of the windows found in docs, key being the digest of a text, and (window, item) of all.
+
+    The documents are read twice, however large the benchmark is: for the counts, and for the places.
+    """
+    context = docs.sparkSession.sparkContext
+
+    def shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for text in frame["text"]:
+                own = words(text)
+                k = min(SHINGLE, len(own))
+                if k:
+                    yield pd.DataFrame({"k": k, "h": np.unique(hashes(own, [k])[k])})
+
+    shingles = checkpoint(items.select("text").mapInPandas(shingled, "k int, h long").distinct())
+    sizes = sorted(r["k"] for r in shingles.select("k").distinct().collect())
+    asked = context.broadcast(bitmap(shingles))
+
+    def sums(batches):
+        counts = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                for h in hashes(words(text.as_py()), sizes).values():
+                    np.add.at(counts, h[marked(asked.value, h)] & (1 << SLOTS) - 1, 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    got = docs.select("text").mapInArrow(sums, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOTS, np.int64)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    rarity = context.broadcast(counts)
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for item, text in zip(frame["item"], frame["text"], strict=True):
+                own = words(text)
+                n = min(WINDOW, len(own))
+                if not n:
+                    continue
+                k = min(SHINGLE, n)
+                h = hashes(own, [k])[k]
+                each = np.lib.stride_tricks.sliding_window_view(rarity.value[h & len(rarity.value) - 1], n - k + 1)
+                for lo in range(0, len(each), 10_000):
+                    place = each[lo : lo + 10_000].argmin(1)
+                    at = np.arange(lo, lo + len(place))
+                    texts = [b" ".join(own[i : i + n]).decode("utf-8") for i in at]
+                    yield pd.DataFrame({"item": item, "n": n, "words": texts, "h": h[at + place], "place": place, "places": each[at, place]})
+
+    rows = checkpoint(items.mapInPandas(placed, "item string, n int, words string, h long, place int, places long").withColumn("window", F.sha2("words", 256)).distinct())
+    windows = rows.drop("item").dropDuplicates(["window"])
+    prefix = context.broadcast(bitmap(windows))
+    before, after = WINDOW - 1, WINDOW
+
+    def around(batches):
+        for batch in batches:
+            keys, at, left, near, h = [], [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = words(text.as_py())
+                for of in hashes(own, sizes).values():
+                    for i in np.flatnonzero(marked(prefix.value, of)).tolist():
+                        keys.append(key)
+                        at.append(i)
+                        left.append(min(i, before))
+                        near.append([w.decode("utf-8") for w in own[max(0, i - before) : i + after]])
+                        h.append(int(of[i]))
+                        if len(keys) == CANDIDATES:
+                            yield pa.RecordBatch.from_pydict({"key": keys, "at": at, "left": left, "near": near, "h": h}, AROUND)
+                            keys, at, left, near, h = [], [], [], [], []
+            yield pa.RecordBatch.from_pydict({"key": keys, "at": at, "left": left, "near": near, "h": h}, AROUND)
+
+    # Equal texts have equal places, which meet before the join. A hash with very many is dealt by place.
+    places = docs.select(digest(F.col("text")).alias("key"), "text").mapInArrow(around, "key string, at long, left int, near array<string>, h long").dropDuplicates(["key", "at", "h"])
+    hot = windows.where(F.col("places") > PLACES).groupBy("h").agg(F.max("places").alias("places")).orderBy(F.desc("places"), "h").limit(HOT)
+    hot = F.broadcast(checkpoint(hot.select("h", F.ceil(F.col("places") / PLACES).cast("int").alias("parts"))))
+    windows = windows.join(hot, "h", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts", "places")
+    places = places.join(hot, "h", "left").withColumn("part", F.pmod(F.xxhash64("key", "at"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    own = F.array_join(F.slice("near", F.greatest(F.col("left") - F.col("place"), F.lit(0)) + 1, F.col("n")), " ")
+    found = places.join(windows, ["h", "part"]).where(F.col("place") <= F.col("left")).where(own == F.col("words"))
+    start = F.col("at") - F.col("place")
+    return checkpoint(found.select("key", start.alias("start"), (start + F.col("n")).alias("stop"), "window")), rows.select("window", "item").distinct()
+
+
+#: The columns of the places with the words around them.
+AROUND = pa.schema([("key", pa.string()), ("at", pa.int64()), ("left", pa.int32()), ("near", pa.list_(pa.string())), ("h", pa.int64())])
+
+
+def digest(text: Column) -> Column:
+    """What a text has depends on nothing but the text: its digest stands for it."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -199,24 +327,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     occurs. Null texts have no words, on either side; an item with a null id counts under an empty
     one. Repeated rows come back as often as they came; texts of any length are searched whole; other
     columns are ignored. No text is shuffled: a benchmark of at most block_bytes is broadcast and documents are judged where they
-    are read; a larger one is broadcast block by block, and only what was found is brought together.
+    are read; a larger one is joined with the places that may hold its windows. Both give the same rows.
     """
-    found = [_found(docs, index) for index in indexes(docs, benchmark, block_bytes)]
-    if not found:
-        found = [_found(docs, Index({}, {}, {}, {}, {}, {}, {}))]
-    if len(found) == 1:
-        out = docs.select("doc_id", found[0](F.col("text")).alias("__h")).select("doc_id", "__h.*")
+    items = known(benchmark)
+    index = index_of(docs, items, block_bytes)
+    if index is not None:
+        out = docs.select("doc_id", _found(docs, index)(F.col("text")).alias("__h")).select("doc_id", "__h.*")
     else:
-        # What a text has depends on nothing but the text: its digest stands for it.
-        key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("__key")
-        parts = [docs.select(key, f(F.col("text")).alias("__h")).where(F.size("__h.items") > 0).select("__key", "__h.starts", "__h.ends", "__h.items").dropDuplicates(["__key"]) for f in found]
-        union = parts[0]
-        for x in parts[1:]:
-            union = union.union(x)
-        by = union.groupBy("__key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        hits, owners = joined(docs, items)
+        spans = hits.select("key", "start", "stop").distinct().groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("ends"))
+        named = hits.select("key", "window").distinct().join(owners, "window").select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        by = spans.join(named, "key")
         none = F.array().cast("array<string>")
-        sizes = docs.select(key, "doc_id", _found(docs, Index({}, {}, {}, {}, {}, {}, {}))(F.col("text"))["n_words"].alias("n_words"))
-        out = sizes.join(by, "__key", "left").select("doc_id", "n_words", F.coalesce("starts", none.cast("array<long>")).alias("starts"), F.coalesce("ends", none.cast("array<long>")).alias("ends"), F.coalesce("items", none).alias("items"))
+        sizes = docs.select(digest(F.col("text")).alias("key"), "doc_id", _found(docs, Index({}, {}, {}, {}, {}, {}, {}))(F.col("text"))["n_words"].alias("n_words"))
+        out = sizes.join(by, "key", "left").select("doc_id", "n_words", F.coalesce("starts", none.cast("array<long>")).alias("starts"), F.coalesce("ends", none.cast("array<long>")).alias("ends"), F.coalesce("items", none).alias("items"))
 
     @F.pandas_udf("long")
     def hit(starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -238,10 +362,12 @@ def _found(docs: DataFrame, index: Index):
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without a window of an item, with the columns of docs."""
-    out = docs
-    for index in indexes(docs, benchmark, block_bytes):
-        out = out.where(F.size(_found(docs, index)(F.col("text"))["items"]) == 0)
-    return out
+    items = known(benchmark)
+    index = index_of(docs, items, block_bytes)
+    if index is not None:
+        return docs.where(F.size(_found(docs, index)(F.col("text"))["items"]) == 0) if index.windows else docs
+    bad = joined(docs, items)[0].select(F.col("key").alias("__key")).distinct()
+    return docs.join(bad, digest(docs["text"]) == bad["__key"], "left_anti")
 
 
 #: The same in DuckDB.

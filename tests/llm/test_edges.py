@@ -15,6 +15,7 @@ OPERATORS = {
     "pii": lambda d, labels, bench: pii_feistel.pseudonymised(d),
     "mix": lambda d, labels, bench: mix_flow.mix(d),
     "decontam": lambda d, labels, bench: decontam_prefix.contamination(d, bench),
+    "decontam_joined": lambda d, labels, bench: decontam_prefix.contamination(d, bench, 8),
     "tokens": lambda d, labels, bench: token_separator.token_counts(d),
     "lines": lambda d, labels, bench: line_dedup.deduplicated(d),
     "masks": lambda d, labels, bench: filter_audit.masks(d).withColumn("doc_id", F.explode(F.array_repeat("doc_id", F.col("n").cast("int")))),
@@ -23,6 +24,7 @@ FILTERS = {
     "simhash": lambda d, labels, bench: simhash_anchors.keep_one(d),
     "toxicity": lambda d, labels, bench: toxicity_segments.keep_clean(d, labels),
     "decontam": lambda d, labels, bench: decontam_prefix.keep_uncontaminated(d, bench),
+    "decontam_joined": lambda d, labels, bench: decontam_prefix.keep_uncontaminated(d, bench, 8),
     "pii": lambda d, labels, bench: pii_feistel.replaced(d),
 }
 

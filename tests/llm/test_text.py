@@ -261,11 +261,40 @@ def test_contamination_against_brute_force(spark, edge, benchmark, block_bytes):
 def test_prefix_is_the_rarest_shingle(spark):
     items = [(1, "a b c d e f g h i j")]
     docs = spark.createDataFrame([(i, "a b c d e f g h" if i % 2 else "b c d x h i j") for i in range(10)], "doc_id long, text string")
-    index = next(dp.indexes(docs, spark.createDataFrame(items, "item_id long, text string"), 1 << 20))
+    index = dp.index_of(docs, dp.known(spark.createDataFrame(items, "item_id long, text string")), 1 << 20)
     assert len(index.prefix[3]) == 1
     assert index.own[3].tolist() == [[10, 0, 6]]  # g h i is in no document
 
 
+@pytest.mark.parametrize(("bits", "slots", "places", "hot"), [(27, 22, 1, 100), (27, 22, 3, 2), (6, 0, 50_000, 100)])
+def test_large_benchmarks_are_joined_with_one_result(spark, monkeypatch, bits, slots, places, hot):
+    """Hot hashes that are dealt, and tables so small that every hash shares its place, leave the rows as they are."""
+    for name, value in zip(("BITS", "SLOTS", "PLACES", "HOT"), (bits, slots, places, hot), strict=True):
+        monkeypatch.setattr(dp, name, value)
+    rng = random.Random(bits + places)
+    vocabulary = [f"w{i}" for i in range(30)] + ["\u00e9t\u00e9", "Z"]
+    passage = [rng.choice(vocabulary) for _ in range(14)]
+    docs = []
+    for i in range(60):
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        at = rng.choice([0, len(own), rng.randint(0, len(own))])
+        docs.append((i // 2, " ".join(own[:at] + passage[rng.randint(0, 3) :] * (i % 3) + own[at:])))
+    items = [(1, " ".join(passage)), (2, " ".join(passage[2:13])), (3, "w1 w2"), (4, "Z"), (None, "w3 w4 w5 w6"), (5, " ".join(passage) + "!")]
+    one, two = (dp.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size) for size in (1 << 20, 1))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    want = sorted(str((i, n, hit, found)) for i, n, hit, found in brute_contamination(docs, items))
+    assert sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in two.collect()) == want
+
+
+def test_a_large_benchmark_on_the_tables(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one, two = (dp.contamination(docs, items, size).collect() for size in (8 << 20, 1))
+    assert sorted(map(str, one)) == sorted(map(str, two))
+    hits, owners = dp.joined(docs, dp.known(items))
+    assert 0 < hits.count() and hits.select("key").distinct().count() == docs.join(spark.createDataFrame([(r["doc_id"],) for r in one if r["contaminated"]], "doc_id long"), "doc_id").select("text").distinct().count()
+    assert owners.select("item").distinct().count() == items.where("length(text) > 0").count()
+
+
 def test_empty_list_of_items_has_the_digest_of_nothing(spark, sf):
     from sitescore.llm.queries import op8_decontam_prefix
 

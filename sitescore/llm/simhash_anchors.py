@@ -6,11 +6,13 @@ perfect code: the Golay code of length 23 (covering radius 3), and the Hamming c
 anchor within the covering radius of each block. Another fingerprint at t bits or fewer is,
 block by block, at most radius + d bits from that home, the d of the blocks adding up to t or
 less; so each fingerprint is replicated to every anchor within radius plus threshold, and the
-fingerprints that share an anchor (one as its home) are compared.
+fingerprints that share an anchor (one as its home) are compared. candidates() takes pairs beyond
+the threshold from the anchors as well, for an exact comparison of the texts to follow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cache
 from itertools import combinations
 
@@ -32,6 +34,18 @@ THIRD_BLOCK_FROM = 1 << 24
 #: Length, generator polynomial and covering radius of each block's code.
 BLOCKS = ((23, 0b110001110101, 3), (23, 0b110001110101, 3), (15, 0b10011, 1))
 CHUNK = 1 << 16
+#: Fingerprints whose anchors are made at once, some 60 each.
+STEP = 512
+#: Fixed value: candidates() takes fingerprints at an anchor that differ in up to this many bits.
+WIDE = 12
+
+
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """The bits set in over half of n unsigned hashes, given in parts, as a signed 64-bit number."""
+    count = np.zeros(64, np.int64)
+    for h in parts:
+        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * count > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -43,14 +57,15 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    count, n = np.zeros(64, np.int64), max(1, len(words) - k + 1)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    for lo in range(0, n, CHUNK):
-        part = words[lo : lo + CHUNK + k - 1]
-        shingles = zip(*(part[i:] for i in range(k)), strict=False) if len(part) >= k else [part]
-        h = np.fromiter((digest(join(s), SEED) for s in shingles), np.uint64)
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view(np.int64)[0])
+    n, digest, join = max(1, len(words) - k + 1), xxhash.xxh64_intdigest, b" ".join
+
+    def hashes():
+        for lo in range(0, n, CHUNK):
+            part = words[lo : lo + CHUNK + k - 1]
+            shingles = zip(*(part[i:] for i in range(k)), strict=False) if len(part) >= k else [part]
+            yield np.fromiter((digest(join(s), SEED) for s in shingles), np.uint64)
+
+    return majority(hashes(), n)
 
 
 @F.pandas_udf(T.LongType())
@@ -115,8 +130,8 @@ def anchored(fps: DataFrame, threshold: int, blocks: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for lo in range(0, len(fp), 16_384):
-                at, anchor = anchors(np.ascontiguousarray(fp[lo : lo + 16_384]), threshold, blocks)
+            for lo in range(0, len(fp), STEP):
+                at, anchor = anchors(np.ascontiguousarray(fp[lo : lo + STEP]), threshold, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[lo + at]), pa.array(node[lo + at])], ["anchor", "fp", "node"])
 
     return fps.select("fp", "node").mapInArrow(run, "anchor long, fp long, node long")
@@ -131,6 +146,25 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, third_block_from: int = TH
     return home.join(near, (home["anchor"] == near["anchor"]) & close).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
+def candidates(fps: DataFrame, most: int = WIDE, threshold: int = THRESHOLD, third_block_from: int = THIRD_BLOCK_FROM) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, each once, of fps(fp, node): nodes of one fingerprint, or of fingerprints
+    that share an anchor and differ in up to most bits, which may be more than threshold.
+
+    These are stars: a fingerprint's nodes with the smallest of them, which stands for them at the
+    anchors, and all that reach an anchor with the smallest and the largest node that is at home there.
+    So the pairs of a group of any size grow with the group, not with its square. Repeated
+    fingerprints may come in any number; an empty table has no pairs.
+    """
+    heads = checkpoint(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    blocks = 2 if heads.count() < third_block_from else 3
+    home = F.struct("node", "fp")
+    ends = anchored(heads, 0, blocks).groupBy("anchor").agg(F.min(home).alias("low"), F.max(home).alias("high"))
+    both = anchored(heads, threshold, blocks).join(ends, "anchor").select("node", "fp", F.explode(F.array("low", "high")).alias("end"))
+    close = both.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("end.fp"))) <= most).select("node", F.col("end.node").alias("end"))
+    equal = fps.join(heads.select("fp", F.col("node").alias("end")), "fp").select("node", "end")
+    return close.union(equal).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, third_block_from: int = THIRD_BLOCK_FROM) -> DataFrame:
     """One row (doc_id, fp, component_id, copies) for each row of docs(doc_id, text, ...).
 

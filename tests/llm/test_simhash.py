@@ -87,6 +87,30 @@ def test_links_and_components(spark, third_block_from):
     assert [roots.get(i, i) for i in range(len(fps))] == brute_components(len(fps), want)
 
 
+@pytest.mark.parametrize("third_block_from", [1, 1 << 24])
+def test_candidates_of_the_anchors(spark, third_block_from):
+    """At each anchor what reaches it meets the smallest and the largest node at home there, up to 12 bits apart."""
+    rng = random.Random(6)
+    fps = []
+    for _ in range(12):
+        x = rng.getrandbits(64)
+        fps += [x ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 0, 1, 3, 6, 9]))) for _ in range(rng.randint(2, 30))]
+    rng.shuffle(fps)
+    node, want, home, reach = {}, set(), {}, {}
+    for i, x in enumerate(fps):
+        want |= {(node.setdefault(x, i), i)}
+    for x, i in node.items():
+        one, blocks = np.array([x], np.uint64).view(np.int64), 3 if third_block_from == 1 else 2
+        home.setdefault(sa.anchors(one, 0, blocks)[1][0], []).append((i, x))
+        for a in sa.anchors(one, 2, blocks)[1]:
+            reach.setdefault(a, []).append((i, x))
+    want |= {(min(i, j), max(i, j)) for a, at in home.items() for j, y in (min(at), max(at)) for i, x in reach[a] if (x ^ y).bit_count() <= 12}
+    want = {(i, j) for i, j in want if i != j}
+    df = spark.createDataFrame([(np.uint64(x).astype(np.int64).item(), i) for i, x in enumerate(fps)], "fp long, node long")
+    assert sorted(map(tuple, sa.candidates(df, third_block_from=third_block_from).collect())) == sorted(want)
+    assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in want)
+
+
 def test_long_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(500, 900)] + [(7, 7), (3, 4), (3, 4)]
     got = {r["a"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from sitescore.llm import common
 from sitescore.llm import simhash_anchors as sa
 from sitescore.llm.common import connected_components
 
@@ -135,3 +136,27 @@ def test_keep_one(edge):
     found = sa.near_duplicates(edge).collect()
     want = sorted({str(r["component_id"]) for r in found if r["doc_id"] is not None} | {"None"}) + ["None"]
     assert kept == sorted(want)
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    cuts, plain = [], common.checkpoint
+    monkeypatch.setattr(common, "checkpoint", lambda df: cuts.append(1) or plain(df))
+    stars = [(10 * i + j, 10 * i) for i in range(20) for j in range(1, 9)]
+    df = spark.createDataFrame([*stars, *((b, a) for a, b in stars), (None, 1), (3, None), (7, 7)], "a long, b long")
+    assert sorted(map(tuple, connected_components(df).collect())) == stars
+    assert len(cuts) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stars_joined_by_links_of_their_roots(spark, seed):
+    """Random edges, and links between the roots that these have and nodes of no edge: the same as all of them at once."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    root = brute_components(400, edges)
+    links = [(root[rng.randrange(400)], root[rng.randrange(400)]) for _ in range(60)]
+    df = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = [tuple(r) for r in common.joined_stars(connected_components(df(edges)), df(links)).collect()]
+    want = brute_components(400, edges + links)
+    assert sorted(got) == [(i, r) for i, r in enumerate(want) if i != r]
+    known = connected_components(df(edges))
+    assert sorted(map(tuple, common.joined_stars(known, df([])).collect())) == sorted(map(tuple, known.collect()))

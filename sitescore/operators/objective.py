@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import block_size, transpose
 from ..functions.linalg import cholesky, log_dets, nullable, rank_tolerance, signed_log_det, split_factor, stacked
-from .blocks import Matrix, asked, cross_blocks, diagonal_blocks, normalised, oriented, regularize, sensors_of, side
+from .blocks import Generated, Matrix, asked, cross_blocks, diagonal_blocks, normalised, oriented, regularize, sensors_of, side
 from .state import cut, release
 
 #: Configurations of more values than this a side are scored block by block instead of in one task.
 DENSE_SIDE = 8_000
 #: Larger ones are eliminated so many sensors at a time, and so many values a side at most.
 PANEL, PANEL_SIDE = 16, 4_096
+#: Positions of a configuration whose features are multiplied in one place.
+FEATURED = 4_096
 #: Selections of more values than this a side aren't factored on the driver.
 PLAIN_SIDE = 2_000
 
@@ -51,13 +54,21 @@ def config_submatrix(blocks: Matrix, configs: DataFrame, r_sq: float, triangle:
 def config_logdet(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str = "upper", dense_side: int = DENSE_SIDE, panel: int | None = None) -> DataFrame:
     """(config_id, logdet); -inf where the determinant isn't positive.
 
-    Each configuration goes by its own size: one of up to dense_side values a side is assembled in a
-    task, larger ones are eliminated panel by panel, all of them together. The value doesn't depend on
-    the way: both track the determinant's sign, elimination puts off what a panel can't divide by, and a
+    Each configuration goes by its own size: one of more values a side than the matrix has features, where
+    these are known, by featured_logdet(), which makes none of its blocks; else one of up to dense_side values is
+    assembled in a task, and larger ones are eliminated panel by panel, all of them together. The value doesn't
+    depend on the way: all track the determinant's sign, elimination puts off what a panel can't divide by, and a
     matrix that is singular but for rounding has -inf in both. Of diagonal blocks the lower triangle counts.
     """
     nt = side(blocks)
     sizes = cut(configs.groupBy("config_id").agg(F.count("*").alias("n")))
+    if isinstance(blocks, Generated) and blocks.features is not None:
+        wide = F.col("n") * nt > blocks.width
+        part = lambda fits: configs.join(sizes.where(fits).select("config_id"), "config_id", "left_semi")
+        featured = featured_logdet(blocks.features, part(wide), nt, r_sq)
+        if sizes.where(~wide).isEmpty():
+            return featured
+        return featured.union(config_logdet(replace(blocks, features=None), part(~wide), r_sq, triangle, dense_side, panel))
     most = sizes.agg(F.max("n")).first()[0] or 0
 
     def dense(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,6 +91,31 @@ def config_logdet(blocks: Matrix, configs: DataFrame, r_sq: float, triangle: str
     return dense_ones.union(found.select("config_id", F.when(F.col("sign") > 0, F.col("logdet")).otherwise(F.lit(float("-inf")))))
 
 
+def featured_logdet(features: DataFrame, configs: DataFrame, nt: int, r_sq: float) -> DataFrame:
+    """(config_id, logdet) of configurations of a matrix known by features(sensor_id, f).
+
+    With the features of a configuration's sensors below each other, x, det(I + r_sq x x') is det(I + r_sq x' x), and
+    x' x has as many values a side as there are features, whatever the configuration's size. It is added up over FEATURED
+    positions in one place, and over these sums. Rows with a NaN count as zero, as their products with any row do.
+    """
+
+    def squared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["f"].to_numpy()).reshape(len(pdf) * nt, -1)
+        x[np.isnan(x).any(1)] = 0
+        return pd.DataFrame({"config_id": [key[0]], "n": [len(x)], "square": [(x.T @ x).tobytes()]})
+
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = r_sq * sum(np.frombuffer(b) for b in pdf["square"])
+        n = round(len(m) ** 0.5)
+        m = m.reshape(n, n) + np.eye(n)
+        value, sign = signed_log_det(m, rank_tolerance(int(pdf["n"].sum()), np.abs(m).max())) if np.isfinite(m).all() else (0.0, 0)
+        return pd.DataFrame({"config_id": [key[0]], "logdet": [value if sign > 0 else -np.inf]})
+
+    own = configs.join(features, "sensor_id").select("config_id", F.floor(F.col("position") / FEATURED).alias("part"), "f")
+    squares = own.groupBy("config_id", "part").applyInPandas(squared, "config_id int, n long, square binary")
+    return squares.groupBy("config_id").applyInPandas(total, "config_id int, logdet double")
+
+
 def pivoted(upper: DataFrame, n_pivots: int, nt: int, budget: int | None = None, definite: bool = True, panel: int | None = None) -> DataFrame:
     """Elimination of many configurations at once, a panel of positions at a time.
 

@@ -356,3 +356,34 @@ def test_uniform_score(spark, k4, dense):
 
 def test_split_samples_cover_what_is_missing(spark, sf):
     assert sum(r["n_samples"] for r in matrix.p7_split_samples(spark, sf).collect()) == 123_457 - 1000
+
+
+@pytest.mark.parametrize("nt", [1, 2])
+def test_large_configurations_by_features(spark, sf, nt, monkeypatch):
+    """A configuration of more values than features has the same value as by its blocks, and none of these is made."""
+    monkeypatch.setattr(objective, "FEATURED", 16)
+    k, m = fixtures.k_matrix(spark, sf, nt), assemble(matrix_of(spark, sf, nt))
+    rng = random.Random(4)
+    lists = [rng.sample(range(N), n) for n in (50, 57, 60)]
+
+    def made(pairs):
+        raise AssertionError("no block is needed")
+
+    bare = blocks.Generated(k.ids, made, nt, k.features, k.width)
+    got = objective.config_logdet(bare, configs(spark, lists), R).orderBy("config_id").collect()
+    assert [r["logdet"] for r in got] == pytest.approx([logdet(m, ids) for ids in lists], abs=1e-9)
+    # Beside small ones, each by its own way.
+    mixed = [lists[0], [3, 9]]
+    got = objective.config_logdet(k, configs(spark, mixed), R, dense_side=0).orderBy("config_id").collect()
+    assert [r["logdet"] for r in got] == pytest.approx([logdet(m, ids) for ids in mixed], abs=1e-9)
+
+
+def test_features_with_nan_are_read_as_their_blocks(spark):
+    rng = np.random.default_rng(8)
+    f = rng.normal(size=(9, 4))
+    f[2, 1] = np.nan
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(f)], "sensor_id int, f array<double>")
+    k = spark.createDataFrame([(i, j, [float(f[i] @ f[j])]) for i in range(9) for j in range(9)], blocks.SCHEMA)
+    known = blocks.Generated(rows.select("sensor_id"), lambda pairs: blocks.asked(k, pairs), 1, rows, 4)
+    both = [objective.config_logdet(x, configs(spark, [[*range(9)]]), R).first()["logdet"] for x in (k, known)]
+    assert both[0] == pytest.approx(both[1])

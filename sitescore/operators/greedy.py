@@ -4,7 +4,7 @@ Each candidate keeps its part of the factor, y (one block for each sensor picked
 Schur complement. The state has two parts. The front, rewritten at each pick, has the Schur
 complement, the score and the blocks of the last few picks; older blocks lie in chunks of CHUNK
 picks that are written once and never again. A pick reads one row of the matrix's blocks by a
-pushed-down filter, broadcasts the winner's part (k blocks), reads the chunks in one pass, and
+pushed-down filter, or makes it from the sensors' features where these are known, broadcasts the winner's part (k blocks), reads the chunks in one pass, and
 checkpoints the new front alone: the plan of a pick doesn't depend on the picks before, and what
 it reads and computes is linear in their number. A front is deleted when the next one is written.
 """
@@ -21,9 +21,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import nan_to_zero
 from ..functions.linalg import log_dets
 from ..sources.pieces import numbered_lines
-from .blocks import Generated, Matrix, asked, diagonal_blocks, normalised, oriented, regularize
+from .blocks import Generated, Matrix, asked, diagonal_blocks, featured_row, normalised, oriented, regularize
 from .objective import best_candidate
 from .running import running
 from .state import cut, release, remove
@@ -83,6 +84,9 @@ def initial_state(blocks: Matrix, r_sq: float, candidates: DataFrame | None = No
 def matrix_row(blocks: Matrix, sensor: int, triangle: str = "upper") -> DataFrame:
     """(sensor_id, k): the blocks K[sensor, c] for every c, read with a filter on the sensor."""
     c = F.lit(sensor)
+    if isinstance(blocks, Generated) and blocks.features is not None:
+        found = featured_row(blocks, sensor)
+        return found if triangle == "stored" else found.withColumn("k", nan_to_zero(F.col("k")))
     if isinstance(blocks, Generated):
         other = F.col("sensor_id")
         row, col = (c, other) if triangle == "stored" else (F.least(c, other), F.greatest(c, other))
@@ -208,8 +212,8 @@ def greedy_select(blocks: Matrix, budget: int, r_sq: float, candidates: DataFram
     restart names a saved selection: its picks are replayed without a search and the selection goes
     on from there. checkpoint names a path to which the selection is saved every CHECKPOINT_EVERY
     picks and at the end; on_pick is called with the number and the sensor of each pick. Equal gains
-    go to the smallest sensor_id. blocks are best read from files (read_blocks), as each pick filters
-    them by the winner.
+    go to the smallest sensor_id. blocks are best read from files (read_matrix), as each pick filters
+    them, or the features that they are products of, by the winner.
     """
     spark = blocks.sparkSession
     prefix = [(r["sensor_id"], r["gain"]) for r in read_selection(spark, restart).orderBy("step").collect()] if restart else []

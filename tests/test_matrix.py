@@ -387,3 +387,43 @@ def test_features_with_nan_are_read_as_their_blocks(spark):
     known = blocks.Generated(rows.select("sensor_id"), lambda pairs: blocks.asked(k, pairs), 1, rows, 4)
     both = [objective.config_logdet(x, configs(spark, [[*range(9)]]), R).first()["logdet"] for x in (k, known)]
     assert both[0] == pytest.approx(both[1])
+
+
+def test_selection_by_features_makes_no_block_off_the_diagonal(spark, sf, k4, dense):
+    """A known product is kept in files by its features, a row for each sensor, and gives the picks of its blocks."""
+    k = fixtures.k_matrix(spark, sf, 4)
+    asked = []
+    few = blocks.Generated(k.ids.where(f"sensor_id < {N}"), lambda pairs: asked.append(pairs.where("block_row <> block_col").count()) or k.of(pairs), 4, k.features.where(f"sensor_id < {N}"), k.width)
+    found = greedy.greedy_select(few, 5, R).orderBy("step").collect()
+    assert [r["sensor_id"] for r in found] == EXPECTED[4][0] and found[-1]["logdet"] == pytest.approx(EXPECTED[4][1], abs=1e-8)
+    assert asked == [0]
+    for c in (0, 31):
+        for triangle in ("upper", "stored"):
+            got = {r["sensor_id"]: r["k"] for r in greedy.matrix_row(few, c, triangle).collect()}
+            assert len(got) == N and all(np.allclose(np.reshape(x, (4, 4)), dense[c, :, i]) for i, x in got.items())
+
+
+def test_matrix_files(spark, sf, k4, tmp_path):
+    known, plain = fixtures.k_matrix(spark, sf, 2), fixtures.k_matrix(spark, sf, 2, "bad")
+    n = known.ids.count()
+    for name, k, rows in (("known", known, n), ("plain", blocks.Generated(plain.ids.where("sensor_id < 9"), plain.of, 2), 81), ("table", k4, N * N)):
+        blocks.write_matrix(k, str(tmp_path / name))
+        assert spark.read.parquet(str(tmp_path / name)).count() == rows
+    got = blocks.read_matrix(spark, str(tmp_path / "known"))
+    assert (got.nt, got.width, got.ids.count()) == (2, fixtures.WINDOW, n)
+    pairs = spark.createDataFrame([(5, 3), (3, 5), (7, 7)], "block_row int, block_col int")
+    by = lambda k: {(r[0], r[1]): r[2] for r in blocks.asked(k, pairs).collect()}
+    own, want = by(got), by(known)
+    assert own.keys() == want.keys() and all(own[x] == pytest.approx(want[x]) for x in want)
+    assert blocks.read_matrix(spark, str(tmp_path / "plain")).count() == 81
+
+
+@pytest.mark.parametrize("query", ["c9_greedy_select"])
+def test_selections_write_no_blocks(spark, sf, query, monkeypatch):
+    def written(*_):
+        raise AssertionError("blocks grow with the square of the sensors")
+
+    monkeypatch.setattr(blocks, "write_blocks", written)
+    monkeypatch.setattr(matrix, "BUDGET", 3)
+    monkeypatch.setattr(matrix, "RESUMED", 14)
+    assert matrix.QUERIES[query](spark, sf).count() > 0

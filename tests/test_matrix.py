@@ -418,7 +418,7 @@ def test_matrix_files(spark, sf, k4, tmp_path):
     assert blocks.read_matrix(spark, str(tmp_path / "plain")).count() == 81
 
 
-@pytest.mark.parametrize("query", ["c9_greedy_select", "c10_extend_state"])
+@pytest.mark.parametrize("query", ["c9_greedy_select", "c10_extend_state", "c11_resume_state"])
 def test_selections_write_no_blocks(spark, sf, query, monkeypatch):
     def written(*_):
         raise AssertionError("blocks grow with the square of the sensors")

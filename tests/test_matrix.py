@@ -427,3 +427,16 @@ def test_selections_write_no_blocks(spark, sf, query, monkeypatch):
     monkeypatch.setattr(matrix, "BUDGET", 3)
     monkeypatch.setattr(matrix, "RESUMED", 14)
     assert matrix.QUERIES[query](spark, sf).count() > 0
+
+
+def test_matrix_info_is_that_of_all_blocks(spark, sf, tmp_path, monkeypatch):
+    k = fixtures.k_matrix(spark, sf, 2)
+    few = blocks.Generated(k.ids.where("sensor_id < 20"), k.of, 2, k.features.where("sensor_id < 20"), k.width)
+    blocks.write_blocks(blocks.every(few), str(tmp_path / "blocks"))
+    blocks.write_matrix(few, str(tmp_path / "matrix"))
+    table = blocks.matrix_info(blocks.read_blocks(spark, str(tmp_path / "blocks")))
+    kept = blocks.matrix_info(blocks.read_matrix(spark, str(tmp_path / "matrix")))
+    assert table.first() == kept.first() == blocks.matrix_info(few).first() == (2, 20, 400)
+    assert [(x.name, x.dataType) for x in table.schema] == [(x.name, x.dataType) for x in kept.schema]
+    monkeypatch.setattr(blocks, "write_blocks", None)  # the query writes none
+    assert matrix.s2_matrix_info(spark, sf).first() == (2, 500, 250_000)

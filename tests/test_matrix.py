@@ -440,3 +440,25 @@ def test_matrix_info_is_that_of_all_blocks(spark, sf, tmp_path, monkeypatch):
     assert [(x.name, x.dataType) for x in table.schema] == [(x.name, x.dataType) for x in kept.schema]
     monkeypatch.setattr(blocks, "write_blocks", None)  # the query writes none
     assert matrix.s2_matrix_info(spark, sf).first() == (2, 500, 250_000)
+
+
+@pytest.mark.parametrize("nt", [1, 3])
+def test_synthetic_columns_are_those_of_all_blocks(spark, nt, monkeypatch):
+    """Ids over several tiles, some repeated; the values stay in the tasks, and all pairs of ids are in them."""
+    monkeypatch.setattr(blocks, "TILE", 8)
+    monkeypatch.setattr(blocks, "VALUES", 40)
+    ids = [*range(30), 3, 29, 29]
+    own = spark.createDataFrame([(i,) for i in ids], "sensor_id int").repartition(3)
+    want: dict = {}
+    for r in blocks.synthetic_blocks(own, nt, "single", 5).collect():
+        want.setdefault(r["block_col"], []).append((r["block_row"], r["block"]))
+    found = blocks.synthetic_columns(own, nt, "single", 5)
+    got = {r["sensor_id"]: r for r in found.collect()}
+    assert got.keys() == want.keys() == {*ids}
+    for c, rows in want.items():
+        values = np.array([b for _, b in rows])
+        assert (got[c]["n_blocks"], got[c]["n_values"], got[c]["single"]) == (30, values.size, True)
+        assert values.size == len(ids) * ids.count(c) * nt * nt
+        assert (got[c]["mean"], got[c]["variance"]) == pytest.approx((values.mean(), values.var()))
+    assert not any(r["single"] for r in blocks.synthetic_columns(own, nt, "double", 5).collect())
+    assert "n_blocks" in found.columns and matrix.s1_synthetic_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().count("Generate ") == 0

@@ -462,3 +462,16 @@ def test_synthetic_columns_are_those_of_all_blocks(spark, nt, monkeypatch):
         assert (got[c]["mean"], got[c]["variance"]) == pytest.approx((values.mean(), values.var()))
     assert not any(r["single"] for r in blocks.synthetic_columns(own, nt, "double", 5).collect())
     assert "n_blocks" in found.columns and matrix.s1_synthetic_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().count("Generate ") == 0
+
+
+@pytest.mark.parametrize("query", ["p3_regularize"])
+def test_pairs_of_tiles_are_not_dealt_out(spark, sf, query):
+    """No exchange stands above the join of all pairs of tiles."""
+    plan = matrix.QUERIES[query](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    join = min(i for i in (plan.find("CartesianProduct"), plan.find("BroadcastNestedLoopJoin")) if i >= 0)
+    assert "Exchange" not in plan[:join]
+
+
+def test_tiles_of_any_size_make_the_same_matrix(spark, sf, dense, monkeypatch):
+    monkeypatch.setattr(fixtures, "TILE", 7)
+    assert np.allclose(assemble(fixtures.k_blocks(spark, sf, 4).where(f"block_row < {N} and block_col < {N}")), dense)

@@ -464,7 +464,7 @@ def test_synthetic_columns_are_those_of_all_blocks(spark, nt, monkeypatch):
     assert "n_blocks" in found.columns and matrix.s1_synthetic_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().count("Generate ") == 0
 
 
-@pytest.mark.parametrize("query", ["p3_regularize"])
+@pytest.mark.parametrize("query", ["p2_symmetrize", "p3_regularize"])
 def test_pairs_of_tiles_are_not_dealt_out(spark, sf, query):
     """No exchange stands above the join of all pairs of tiles."""
     plan = matrix.QUERIES[query](spark, sf)._jdf.queryExecution().executedPlan().toString()

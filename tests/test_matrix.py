@@ -475,3 +475,40 @@ def test_pairs_of_tiles_are_not_dealt_out(spark, sf, query):
 def test_tiles_of_any_size_make_the_same_matrix(spark, sf, dense, monkeypatch):
     monkeypatch.setattr(fixtures, "TILE", 7)
     assert np.allclose(assemble(fixtures.k_blocks(spark, sf, 4).where(f"block_row < {N} and block_col < {N}")), dense)
+
+
+@pytest.mark.parametrize("nt", [1, 3])
+@pytest.mark.parametrize("way", ["together", "mixed", "apart"])
+def test_blocks_of_cells_wherever_they_are(spark, nt, way):
+    """Whole blocks are put together in place, in any order inside, cut by batches or not; the rest meet by a shuffle."""
+    n = 24
+    rng = random.Random(nt)
+    m = np.random.default_rng(1).normal(size=(n, n))
+    cells = []
+    for a in range(0, n, nt):
+        for b in range(0, n, nt):
+            own = [(i, j, float(m[i, j])) for i in range(a, a + nt) for j in range(b, b + nt)]
+            rng.shuffle(own) if way == "mixed" else None
+            cells += own
+    if way == "apart":
+        rng.shuffle(cells)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        df = blocks.entries_to_blocks(spark.createDataFrame(cells, "i int, j int, value double").repartition(3) if way == "apart" else spark.createDataFrame(cells, "i int, j int, value double").coalesce(1), nt)
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == (n // nt) ** 2
+    for r in rows:
+        assert np.array_equal(np.reshape(r["block"], (nt, nt)), m[r["block_row"] * nt :, r["block_col"] * nt :][:nt, :nt])
+
+
+def test_entries_of_blocks_are_not_shuffled_by_block(spark, sf):
+    """What the shuffle of cells wrote: nothing, if blocks lie together."""
+    df = matrix.s3_entries_blocks(spark, sf)
+    assert df.count() == 1_000_000
+    cells = blocks.blocks_to_entries(fixtures.k_blocks(spark, sf, 2).where("block_row < 9")).selectExpr("block_row * 2 + t i", "block_col * 2 + t2 j", "value")
+    rest = blocks.entries_to_blocks(cells, 2)
+    assert rest.count() == 9 * 500
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "places" in plan and "Union" in plan
